@@ -156,7 +156,8 @@ def size_sweep(
     with cached(train, test) as (train_rows, test_rows):
         _materialise(train_rows, test_rows)
         for fraction in fractions:
-            with cached(sample(train_rows, fraction)) as (subset,):
+            whole = fraction == 1.0
+            with cached(train_rows if whole else sample(train_rows, fraction)) as (subset,):
                 (num_ratings,) = _materialise(subset)
                 if warmup:
                     fit(subset, params)

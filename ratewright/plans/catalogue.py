@@ -131,8 +131,10 @@ def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.withColumns({name: F.round(name, places) for name in doubles})
 
 
-def _baskets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return split.hash_split(basket_ratings(spark, sf_dir), MD5)
+def _baskets(
+    spark: SparkSession, sf_dir: str, mode: str = MD5
+) -> tuple[DataFrame, DataFrame]:
+    return split.hash_split(basket_ratings(spark, sf_dir), mode)
 
 
 # --- Profile ---------------------------------------------------------------------------
@@ -298,6 +300,18 @@ def unseen_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coldstart.unseen_items(*_baskets(spark, sf_dir))
 
 
+@_register(f"{_WITH_SPLIT} SELECT DISTINCT user_id FROM test WHERE NOT {_USER_SEEN_SQL}")
+def test_only_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucketed = split.with_split_bucket(basket_ratings(spark, sf_dir), MD5)
+    return coldstart.test_only_keys(bucketed, S.USER)
+
+
+@_register(f"{_WITH_SPLIT} SELECT DISTINCT item_id FROM test WHERE NOT {_ITEM_SEEN_SQL}")
+def test_only_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucketed = split.with_split_bucket(basket_ratings(spark, sf_dir), MD5)
+    return coldstart.test_only_keys(bucketed, S.ITEM)
+
+
 @_register(
     f"{_WITH_SPLIT} SELECT {_RATING_COLUMNS_SQL} FROM test WHERE NOT {_ITEM_SEEN_SQL}"
 )
@@ -362,7 +376,7 @@ def rmse_of_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register()
 def als_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = _baskets(spark, sf_dir)
+    train, _ = _baskets(spark, sf_dir, XXHASH64)
     model = als.fit(train)
     users = als.user_factors(model).withColumn("side", F.lit("user"))
     items = als.item_factors(model).withColumn("side", F.lit("item"))
@@ -371,7 +385,7 @@ def als_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register()
 def als_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _baskets(spark, sf_dir)
+    train, test = _baskets(spark, sf_dir, XXHASH64)
     return als.score(als.fit(train), test)
 
 
@@ -396,19 +410,19 @@ def als_cv_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register()
 def als_block_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.block_sweep(*_baskets(spark, sf_dir), blocks=(1, 4), runs=2)
+    return sweep.block_sweep(*_baskets(spark, sf_dir, XXHASH64), blocks=(1, 4), runs=2)
 
 
 @_register()
 def als_size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.size_sweep(
-        *_baskets(spark, sf_dir), fractions=(0.25, 0.5, 1.0), runs=1, warmup=False
+        *_baskets(spark, sf_dir, XXHASH64), fractions=(0.25, 0.5, 1.0), runs=1, warmup=False
     )
 
 
 @_register()
 def als_repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _baskets(spark, sf_dir)
+    train, test = _baskets(spark, sf_dir, XXHASH64)
     clean = coldstart.clean_test(train, test)
     return sweep.repeated_runs(train, clean, runs=2, dataset="baskets")
 

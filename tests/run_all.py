@@ -19,6 +19,7 @@ def main(sf_dir: str, *names: str) -> int:
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
         .getOrCreate()

@@ -1,0 +1,132 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from data import ratings, rows
+from ratewright import schema as S
+from ratewright.sources import (
+    parse_ratings,
+    read_double_colon,
+    read_fold,
+    read_header_csv,
+    read_parquet,
+    read_tab,
+    run_log_frame,
+    work_path,
+    write_json,
+    write_parquet,
+    write_single_csv,
+)
+
+GOOD = [(1, 2, 3.0, 4), (5, 6, 4.5, 8)]
+
+
+def _file(tmp_path, *lines):
+    path = tmp_path / "ratings.txt"
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+@pytest.mark.parametrize("infer", [False, True])
+def test_tab(spark, tmp_path, infer):
+    path = _file(tmp_path, "1\t2\t3\t4", "5\t6\t4.5\t8")
+    parsed = read_tab(spark, path, infer_schema=infer)
+    assert parsed.ratings.schema.simpleString() == S.RATINGS.simpleString()
+    assert rows(parsed.ratings) == GOOD
+    assert parsed.rejected.count() == 0
+
+
+def test_inferred_integers_hash_like_given_types(spark, tmp_path):
+    path = _file(tmp_path, "1\t2\t3\t4", "5\t6\t4\t8")
+    hashes = [
+        rows(read_tab(spark, path, infer_schema=i).ratings.select(F.xxhash64(*S.HASH_COLUMNS)))
+        for i in (False, True)
+    ]
+    assert hashes[0] == hashes[1]
+
+
+def test_double_colon_keeps_malformed_lines_apart(spark, tmp_path):
+    path = _file(
+        tmp_path, "1::2::3::4", "x::1::2::3", "5::6::4.5::8", "7::8::::9", "3000000000::1::2::3"
+    )
+    parsed = read_double_colon(spark, path)
+    assert rows(parsed.ratings) == GOOD
+    assert parsed.rejected.count() == 3
+    bad_lines = {r[0] for r in parsed.rejected.select("_corrupt_record").collect()}
+    assert {"x::1::2::3", "3000000000::1::2::3"} <= bad_lines
+
+
+def test_header_csv(spark, tmp_path):
+    path = _file(tmp_path, "userId,movieId,rating,timestamp", "1,2,3.0,4", "5,6,4.5,8")
+    assert rows(read_header_csv(spark, path).ratings) == GOOD
+
+
+def test_parquet_narrows_keys_with_a_check(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    wide = spark.createDataFrame(
+        [*GOOD, (3_000_000_000, 1, 2.0, 3), (1, None, 2.0, 3), (1, 1, float("nan"), 3)],
+        "user_id BIGINT, item_id BIGINT, rating DOUBLE, timestamp BIGINT",
+    )
+    write_parquet(wide, path)
+    parsed = read_parquet(spark, path)
+    assert rows(parsed.ratings) == GOOD
+    assert parsed.rejected.count() == 3
+
+
+def test_parse_splits_every_row_once(spark):
+    frame = spark.createDataFrame([(1, None, 1.0, None), (1, 1, 1.0, None)], S.RATINGS)
+    parsed = parse_ratings(frame)
+    assert (parsed.ratings.count(), parsed.rejected.count()) == (1, 1)
+
+
+def test_missing_file(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        read_tab(spark, str(tmp_path / "absent"))
+
+
+def test_fold_files(spark, tmp_path):
+    (tmp_path / "u2.base").write_text("1\t2\t3\t4\n")
+    (tmp_path / "u2.test").write_text("5\t6\t4.5\t8\n")
+    train, test = read_fold(spark, str(tmp_path), 2)
+    assert (rows(train), rows(test)) == ([GOOD[0]], [GOOD[1]])
+
+
+def test_run_log_frame(spark):
+    log = run_log_frame(spark, [{"run": 1, "rmse": 0.5}, {"run": 2, "dataset": "d"}])
+    assert log.schema == S.RUN_LOG
+    assert [(r.run, r.rmse, r.dataset) for r in log.orderBy("run").collect()] == [
+        (1, 0.5, None),
+        (2, None, "d"),
+    ]
+    with pytest.raises(ValueError, match="speed"):
+        run_log_frame(spark, [{"speed": 1}])
+
+
+def test_single_csv_is_one_file_and_refuses_large_input(spark, tmp_path):
+    path = tmp_path / "out"
+    write_single_csv(ratings(spark, GOOD).repartition(2), str(path))
+    assert len(list(path.glob("*.csv"))) == 1
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        write_single_csv(ratings(spark, GOOD), str(tmp_path / "other"), max_rows=1)
+
+
+def test_json_keeps_nulls(spark, tmp_path):
+    path = tmp_path / "json"
+    write_json(run_log_frame(spark, [{"run": 1}]).coalesce(1), str(path))
+    (file,) = path.glob("*.json")
+    assert '"rmse":null' in file.read_text()
+
+
+def test_overwrite(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_parquet(ratings(spark, GOOD), path)
+    write_parquet(ratings(spark, GOOD[:1]), path)
+    assert rows(read_parquet(spark, path).ratings) == GOOD[:1]
+
+
+def test_work_path_is_under_the_configured_folder(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    first, second = work_path(spark, "a"), work_path(spark, "a")
+    assert first.startswith(root) and first != second

@@ -1,0 +1,93 @@
+from __future__ import annotations
+
+import pytest
+
+from data import random_ratings
+from ratewright import schema as S
+from ratewright.operators import als, runlog, split, sweep
+
+QUICK = als.ALSParams(rank=2, max_iter=1, num_user_blocks=2, num_item_blocks=2)
+
+
+@pytest.fixture(scope="module")
+def ratings(spark):
+    frame = random_ratings(spark, n=900, users=300, items=250).cache()
+    yield frame
+    frame.unpersist()
+
+
+def test_full_grid():
+    grid = sweep.config_grid()
+    assert len(grid) == 18
+    assert next(iter(grid)) == "rank_5_reg_param_0.05_max_iter_5"
+    assert grid["rank_20_reg_param_0.15_max_iter_10"].rank == 20
+    with pytest.raises(ValueError, match="same name"):
+        sweep.config_grid(ranks=(5, 5))
+
+
+def test_name_uniqueness_finds_a_clash(spark):
+    configs = spark.createDataFrame([("a",), ("a",), ("b",)], "model_name STRING")
+    assert tuple(sweep.name_uniqueness(configs).first()) == (3, 2, False)
+
+
+def test_cross_validation_runs_every_pair_once(spark, ratings):
+    grid = sweep.config_grid((1, 2), (0.1,), (1,), QUICK)
+    log = sweep.cross_validate_hashed(ratings, grid, k=2, dataset="d")
+    assert log.schema == S.RUN_LOG
+    found = log.collect()
+    assert {(r.fold, r.model_name) for r in found} == {(f, n) for f in (0, 1) for n in grid}
+    assert len(found) == 4
+    for r in found:
+        assert r.train_count + r.test_count == 900
+        assert 0 < r.coverage < 1 and r.rmse > 0 and r.dataset == "d"
+    assert ratings.is_cached  # the caller's cache is left alone
+    summary = runlog.grid_summary(log).collect()
+    assert [r.num_folds for r in summary] == [2, 2]
+    assert summary[0].mean_rmse <= summary[1].mean_rmse
+
+
+def test_parallel_fits_give_the_same_models(ratings):
+    grid = sweep.config_grid((1, 2), (0.1, 0.2), (1,), QUICK)
+
+    def results(parallelism):
+        log = sweep.cross_validate_hashed(ratings, grid, k=2, parallelism=parallelism)
+        return sorted((r.fold, r.model_name, round(r.rmse, 9)) for r in log.collect())
+
+    assert results(1) == results(4)
+
+
+def test_given_folds(ratings):
+    folds = [(1, *split.hash_split(ratings))]
+    log = sweep.cross_validate(folds, {"only": QUICK})
+    assert [(r.fold, r.model_name) for r in log.collect()] == [(1, "only")]
+    with pytest.raises(ValueError, match="no folds"):
+        sweep.cross_validate([], {"only": QUICK})
+
+
+def test_block_sweep(ratings):
+    log = sweep.block_sweep(*split.hash_split(ratings), blocks=(1, 3), runs=2, params=QUICK)
+    found = log.collect()
+    assert [(r.num_user_blocks, r.num_item_blocks, r.run) for r in found] == [
+        (1, 1, 1), (1, 1, 2), (3, 3, 1), (3, 3, 2),
+    ]
+    # The same blocks and seed give the same model.
+    for r in runlog.block_summary(log).collect():
+        assert r.std_rmse == pytest.approx(0, abs=1e-9)
+
+
+@pytest.mark.parametrize("sample", [split.hash_sample, split.bernoulli_sample])
+def test_size_sweep(ratings, sample):
+    train, test = split.hash_split(ratings)
+    log = sweep.size_sweep(train, test, (0.25, 1.0), runs=1, params=QUICK, sample=sample)
+    small, full = runlog.size_summary(log).collect()
+    assert full.train_count == train.count() > small.train_count
+    assert small.mean_coverage < full.mean_coverage < 1
+
+
+def test_repeated_runs(spark, ratings):
+    train, test = split.hash_split(ratings)
+    log = sweep.repeated_runs(train, test, QUICK, runs=2, dataset="d", num_cores=1)
+    assert [(r.run, r.num_cores, r.dataset) for r in log.collect()] == [(1, 1, "d"), (2, 1, "d")]
+    (row,) = runlog.scaling_report(log).collect()
+    assert (row.speedup, row.efficiency, row.num_runs) == (1.0, 1.0, 2)
+    assert not train.is_cached and not test.is_cached
