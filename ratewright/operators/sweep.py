@@ -13,7 +13,7 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright.functions.hashing import XXHASH64
@@ -77,12 +77,15 @@ def _materialise(*frames: DataFrame) -> list[int]:
     return [frame.count() for frame in frames]
 
 
-def _run_all(steps: Iterable[Callable[[], dict]], parallelism: int) -> list[dict]:
-    steps = list(steps)
-    if parallelism <= 1:
+def _run_all(
+    spark: SparkSession, steps: Sequence[Callable[[], dict]], parallelism: int
+) -> list[dict]:
+    if parallelism <= 1 or len(steps) <= 1:
         return [step() for step in steps]
+    # Job groups and local properties of the caller carry over to the threads.
+    inherit = inheritable_thread_target(spark)
     with ThreadPool(min(parallelism, len(steps))) as pool:
-        return pool.map(lambda step: step(), [inheritable_thread_target(s) for s in steps])
+        return pool.map(lambda step: step(), [inherit(step) for step in steps])
 
 
 def repeated_runs(
@@ -198,7 +201,7 @@ def cross_validate(
                 partial(run_once, train, test, params, {**tags, "model_name": name})
                 for name, params in grid.items()
             ]
-            records += _run_all(steps, parallelism)
+            records += _run_all(spark, steps, parallelism)
     if spark is None:
         raise ValueError("no folds given")
     return run_log_frame(spark, records)

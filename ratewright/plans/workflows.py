@@ -12,30 +12,47 @@ from ratewright.operators.als import ALSParams
 from ratewright.sources import write_parquet, write_single_csv
 
 
+CLEAN = "clean"
+
+
 def prepare(ratings: DataFrame, out_dir: str, mode: str = XXHASH64) -> DataFrame:
-    """Split ratings, drop cold-start test rows, store everything, and report.
+    """Split ratings, mark cold-start test rows, store everything, and report.
 
-    Writes ``{out_dir}/ratings/split=train``, ``split=test`` and ``{out_dir}/test_clean``.
-    The source is read once: train and test are read back from the written table, where
-    each is a directory, and a lost executor costs a re-read, not a second parse.
+    Writes two tables: ``{out_dir}/ratings``, one directory per split, and
+    ``{out_dir}/test``, the test rows with their seen flags, one directory per ``clean``.
+    The source is read once and the cold-start joins run once. What follows reads the stored
+    tables, so a lost executor costs a re-read, not a second parse or a second join.
     """
     spark = ratings.sparkSession
-    table = f"{out_dir.rstrip('/')}/ratings"
-    write_parquet(split.with_split_label(ratings, mode), table, split.SPLIT)
-    train, test = read_split(spark, table)
-    write_parquet(coldstart.clean_test(train, test), f"{out_dir.rstrip('/')}/test_clean")
-    return coldstart.coldstart_report(train, test)
+    out_dir = out_dir.rstrip("/")
+    write_parquet(split.with_split_label(ratings, mode), f"{out_dir}/ratings", split.SPLIT)
+    flagged = coldstart.with_seen_flags(*read_split(spark, out_dir))
+    write_parquet(flagged.withColumn(CLEAN, coldstart.is_clean()), f"{out_dir}/test", CLEAN)
+    return coldstart.flag_report(_stored_test(spark, out_dir))
 
 
-def read_split(spark: SparkSession, table: str) -> tuple[DataFrame, DataFrame]:
-    """Train and test ratings of a table written by ``prepare``."""
+def read_split(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Train and raw test ratings stored by ``prepare``."""
     schema = T.StructType([*S.RATINGS.fields, T.StructField(split.SPLIT, T.StringType())])
-    ratings = spark.read.schema(schema).parquet(table)
+    ratings = spark.read.schema(schema).parquet(f"{out_dir.rstrip('/')}/ratings")
     parts = (ratings.filter(ratings[split.SPLIT] == part) for part in ("train", "test"))
     train, test = (part.drop(split.SPLIT) for part in parts)
     return train, test
 
 
+def read_clean_test(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Test ratings whose user and item training has seen, stored by ``prepare``."""
+    return _stored_test(spark, out_dir).filter(CLEAN).select(*S.RATING_COLUMNS)
+
+
+def _stored_test(spark: SparkSession, out_dir: str) -> DataFrame:
+    flags = (coldstart.USER_SEEN, coldstart.ITEM_SEEN, CLEAN)
+    schema = T.StructType(
+        [*S.RATINGS.fields, *(T.StructField(f, T.BooleanType()) for f in flags)]
+    )
+    return spark.read.schema(schema).parquet(f"{out_dir.rstrip('/')}/test")
+
+
 def timed_training(
     train: DataFrame,
     test: DataFrame,

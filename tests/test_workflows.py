@@ -4,7 +4,6 @@ from data import random_ratings, rows
 from ratewright import schema as S
 from ratewright.operators import als, coldstart, split
 from ratewright.plans import workflows
-from ratewright.sources import read_parquet
 
 
 def test_prepare_then_train(spark, tmp_path):
@@ -14,8 +13,8 @@ def test_prepare_then_train(spark, tmp_path):
     (report,) = workflows.prepare(ratings, out).collect()
     assert tuple(report) == tuple(coldstart.coldstart_report(train, test).first())
 
-    stored_train, stored_test = workflows.read_split(spark, f"{out}/ratings")
-    clean = read_parquet(spark, f"{out}/test_clean").ratings
+    stored_train, stored_test = workflows.read_split(spark, out)
+    clean = workflows.read_clean_test(spark, out)
     assert stored_train.schema.simpleString() == S.RATINGS.simpleString()
     assert (rows(stored_train), rows(stored_test)) == (rows(train), rows(test))
     assert rows(clean) == rows(coldstart.clean_test(train, test))
