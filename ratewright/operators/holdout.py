@@ -52,7 +52,7 @@ def shuffle_rank(
     """
     ratings = ratings.select(*S.RATING_COLUMNS)
     large = user_totals(ratings).filter(F.col(TOTAL) > rows_per_task)
-    named = large.limit(max_named_users + 1).collect()
+    named = large.orderBy(F.desc(TOTAL)).limit(max_named_users + 1).collect()
     if not named:
         return _rank_by_window(ratings, mode)
     if len(named) > max_named_users:
@@ -102,15 +102,18 @@ def _rank_by_slices(ratings: DataFrame, mode: str, rows_per_task: int) -> DataFr
     lower_slices = (
         Window.partitionBy(S.USER).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
+    # Starts from the same aggregation as the ranks, so Spark reuses that shuffle.
     offsets = (
-        sliced.groupBy(S.USER, "_slice")
-        .agg(F.count("*").alias("_rows"))
+        distinct_rows.groupBy(S.USER, "_slice")
+        .agg(F.sum("_copies").alias("_rows"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(lower_slices), F.lit(0)))
         .drop("_rows")
     )
 
     last = F.col("_offset") + F.col("_last")
-    placed = ranked.join(offsets, [S.USER, "_slice"]).select(
+    # Every slice has an offset; a left join keeps Spark from adding a filter on the slice,
+    # which would hash every row a second time.
+    placed = ranked.join(offsets, [S.USER, "_slice"], "left").select(
         *S.RATING_COLUMNS, TOTAL, (last - F.col("_copies")).alias("_before"), "_copies"
     )
     return _unroll_copies(placed)

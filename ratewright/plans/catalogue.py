@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -376,11 +377,25 @@ def rmse_of_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register()
 def als_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All elements of both factor tables."""
     train, _ = _baskets(spark, sf_dir, XXHASH64)
     model = als.fit(train)
+    users = als.factor_elements(als.user_factors(model)).withColumn("side", F.lit("user"))
+    items = als.factor_elements(als.item_factors(model)).withColumn("side", F.lit("item"))
+    return users.unionByName(items)
+
+
+@_register(
+    f"""{_WITH_SPLIT} SELECT DISTINCT 'user' AS side, user_id AS id, 5 AS num_features FROM train
+    UNION ALL SELECT DISTINCT 'item', item_id, 5 FROM train"""
+)
+def als_factor_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _baskets(spark, sf_dir)
+    model = als.fit(train)
     users = als.user_factors(model).withColumn("side", F.lit("user"))
     items = als.item_factors(model).withColumn("side", F.lit("item"))
-    return users.unionByName(items)
+    size = F.size(als.FEATURES).alias("num_features")
+    return users.unionByName(items).select("side", als.FACTOR_ID, size)
 
 
 @_register()
@@ -402,29 +417,101 @@ def als_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.select("test_count", "prediction_count", "coverage"))
 
 
-@_register()
+def _without_timings(log: DataFrame, *columns: str) -> DataFrame:
+    """The columns of a run log that SQL can check, and whether the others were measured."""
+    measured = (F.col("training_time") > 0) & (F.col("rmse") > 0)
+    counts = ("train_count", "test_count", "prediction_count", "coverage")
+    return _rounded(log.select(*columns, *counts, measured.alias("measured")))
+
+
+_COVERAGE_SQL = """round(prediction_count / CAST(test_count AS DOUBLE), 6) AS coverage,
+    true AS measured"""
+_FOLD_OF_2_SQL = f"CAST({_md5_sql(_KEY_SQL + ", 'fold'")} % 2 AS INTEGER)"
+
+
+@_register(
+    f"""WITH r AS ({BASKET_RATINGS_SQL}),
+    f AS (SELECT *, {_FOLD_OF_2_SQL} AS fold FROM r),
+    seen AS (
+        SELECT fold, count(*) OVER () AS total,
+               count(*) OVER (PARTITION BY user_id)
+                   > count(*) OVER (PARTITION BY user_id, fold)
+               AND count(*) OVER (PARTITION BY item_id)
+                   > count(*) OVER (PARTITION BY item_id, fold) AS clean
+        FROM f),
+    sizes AS (
+        SELECT fold, any_value(total) - count(*) AS train_count, count(*) AS test_count,
+               count(*) FILTER (WHERE clean) AS prediction_count
+        FROM seen GROUP BY fold),
+    grid AS (SELECT unnest([0.05, 0.1])::DOUBLE AS reg_param)
+    SELECT fold, 'rank_5_reg_param_' || reg_param || '_max_iter_5' AS model_name,
+           5 AS rank, reg_param, 5 AS max_iter,
+           train_count, test_count, prediction_count, {_COVERAGE_SQL}
+    FROM sizes, grid"""
+)
 def als_cv_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = sweep.config_grid(ranks=(5,), reg_params=(0.05, 0.1), max_iters=(5,))
-    return sweep.cross_validate_hashed(basket_ratings(spark, sf_dir), grid, k=2)
+    log = sweep.cross_validate_hashed(basket_ratings(spark, sf_dir), grid, 2, MD5)
+    return _without_timings(log, "fold", "model_name", "rank", "reg_param", "max_iter")
 
 
-@_register()
+_SPLIT_SIZES_SQL = f"""{_WITH_SPLIT},
+    sizes AS (
+        SELECT (SELECT count(*) FROM train) AS train_count, count(*) AS test_count,
+               count(*) FILTER (WHERE {_USER_SEEN_SQL} AND {_ITEM_SEEN_SQL})
+                   AS prediction_count
+        FROM test)"""
+
+
+@_register(
+    f"""{_SPLIT_SIZES_SQL}, b AS (SELECT unnest([1, 4]) AS blocks),
+    k AS (SELECT unnest([1, 2]) AS run)
+    SELECT run, blocks AS num_user_blocks, blocks AS num_item_blocks,
+           train_count, test_count, prediction_count, {_COVERAGE_SQL} FROM sizes, b, k"""
+)
 def als_block_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.block_sweep(*_baskets(spark, sf_dir, XXHASH64), blocks=(1, 4), runs=2)
+    log = sweep.block_sweep(*_baskets(spark, sf_dir), blocks=(1, 4), runs=2)
+    return _without_timings(log, "run", "num_user_blocks", "num_item_blocks")
 
 
-@_register()
+@_register(
+    f"""{_WITH_SPLIT},
+    slots AS (SELECT user_id, item_id, {_SAMPLE_SQL} AS slot FROM train),
+    fractions AS (SELECT unnest([25, 50, 100]) AS percent),
+    sizes AS (
+        SELECT percent,
+               (SELECT count(*) FROM slots WHERE slot < percent) AS train_count,
+               (SELECT count(*) FROM test) AS test_count,
+               (SELECT count(*) FROM test
+                WHERE user_id IN (SELECT user_id FROM slots WHERE slot < percent)
+                  AND item_id IN (SELECT item_id FROM slots WHERE slot < percent))
+                   AS prediction_count
+        FROM fractions)
+    SELECT 1 AS run, percent / 100.0::DOUBLE AS subset_fraction,
+           train_count, test_count, prediction_count, {_COVERAGE_SQL} FROM sizes"""
+)
 def als_size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.size_sweep(
-        *_baskets(spark, sf_dir, XXHASH64), fractions=(0.25, 0.5, 1.0), runs=1, warmup=False
+    log = sweep.size_sweep(
+        *_baskets(spark, sf_dir),
+        fractions=(0.25, 0.5, 1.0),
+        runs=1,
+        warmup=False,
+        sample=partial(split.hash_sample, mode=MD5),
     )
+    return _without_timings(log, "run", "subset_fraction")
 
 
-@_register()
+@_register(
+    f"""{_SPLIT_SIZES_SQL}, k AS (SELECT unnest([1, 2]) AS run)
+    SELECT run, 'baskets' AS dataset, 'ALS' AS algorithm, train_count,
+           prediction_count AS test_count, prediction_count,
+           CAST(1 AS DOUBLE) AS coverage, true AS measured FROM sizes, k"""
+)
 def als_repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _baskets(spark, sf_dir, XXHASH64)
+    train, test = _baskets(spark, sf_dir)
     clean = coldstart.clean_test(train, test)
-    return sweep.repeated_runs(train, clean, runs=2, dataset="baskets")
+    log = sweep.repeated_runs(train, clean, runs=2, dataset="baskets")
+    return _without_timings(log, "run", "dataset", "algorithm")
 
 
 # --- Run-log summaries -----------------------------------------------------------------
