@@ -24,7 +24,7 @@ QUOTA = "val_count"
 HELD_OUT = "held_out"
 
 SHUFFLE_SALT = "holdout"
-ROWS_PER_TASK = 5_000_000
+ROWS_PER_TASK = 2_000_000
 # Large users are named to the executors up to this many; with more, all users are sliced.
 MAX_NAMED_USERS = 10_000
 # One copy count is unrolled into at most this many rows at a time.

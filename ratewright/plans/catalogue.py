@@ -83,7 +83,52 @@ def _md5_sql(columns: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', {columns})), 1, 8) AS BIGINT)"
 
 
+def _xxhash_bucket_sql(source: str, keys: list[tuple[str, bool]]) -> str:
+    """A SELECT that adds ``split_bucket`` = pmod(xxhash64(keys), 10) to ``source``.
+
+    The published XXH64 steps for 4-byte and 8-byte values (the flag is True for the latter),
+    chained from seed 42, in 128-bit arithmetic modulo 2^64. Keys must not be negative.
+    """
+    # The five XXH64 primes.
+    p1, p2, p3 = 11400714785074694791, 14029467366897019727, 1609587929392839161
+    p4, p5 = 9650029242287828579, 2870177450012600261
+    wrap = 1 << 64
+
+    def times(value: str, by: int) -> str:
+        return f"(({value}) * {by}::UHUGEINT) % {wrap}"
+
+    def rotated(value: str, left: int) -> str:
+        return f"(({value}) * {1 << left} % {wrap} + ({value}) // {1 << (64 - left)})"
+
+    def folded(right: int) -> str:
+        return f"xor(h, h // {1 << right})"
+
+    steps = ["42::UHUGEINT"]
+    for key, is_long in keys:
+        value = f"CAST({key} AS UHUGEINT)"
+        if is_long:
+            word = times(rotated(times(value, p2), 31), p1)
+            start, turn, factor, addend = p5 + 8, 27, p1, p4
+        else:
+            word = times(value, p1)
+            start, turn, factor, addend = p5 + 4, 23, p2, p3
+        steps += [
+            f"xor((h + {start}) % {wrap}, {word})",
+            f"({times(rotated('h', turn), factor)} + {addend}) % {wrap}",
+            times(folded(33), p2),
+            times(folded(29), p3),
+            folded(32),
+        ]
+    query = f"SELECT *, {steps[0]} AS h FROM {source}"
+    for step in steps[1:]:
+        query = f"SELECT * REPLACE ({step} AS h) FROM ({query})"
+    # As a signed value the upper half is h - 2^64, and -2^64 is 4 modulo 10.
+    bucket = f"CASE WHEN h < {1 << 63} THEN h % 10 ELSE (h + 4) % 10 END"
+    return f"SELECT * EXCLUDE (h), CAST({bucket} AS BIGINT) AS split_bucket FROM ({query})"
+
+
 _KEY_SQL = 'user_id, item_id, "timestamp"'
+_XXHASH_KEYS = [("user_id", False), ("item_id", False), ('"timestamp"', True)]
 _BUCKET_SQL = f"{_md5_sql(_KEY_SQL)} % 10"
 _FOLD_SQL = f"CAST({_md5_sql(_KEY_SQL + ", 'fold'")} % 5 AS INTEGER)"
 _SAMPLE_SQL = f"{_md5_sql(_KEY_SQL + ", 'sample'")} % 100"
@@ -219,7 +264,11 @@ def hash_split_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register()
+@_register(
+    f"""{_WITH_ORDERS}, b AS ({_xxhash_bucket_sql("r", _XXHASH_KEYS)})
+    SELECT {_RATING_COLUMNS_SQL},
+           CASE WHEN split_bucket = 9 THEN 'test' ELSE 'train' END AS split FROM b"""
+)
 def hash_split_xxhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.with_split_label(order_ratings(spark, sf_dir), XXHASH64)
 
@@ -649,6 +698,25 @@ def source_header_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_header_csv(spark, path).ratings
 
 
+@_register(
+    f"""{_WITH_ORDERS} SELECT rating = 5 AS rejected, count(*) AS num_rows,
+    CAST(sum(item_id) AS BIGINT) AS item_sum FROM r GROUP BY 1"""
+)
+def source_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every five-star line gets an unreadable user; the reader keeps those rows apart."""
+    ratings = order_ratings(spark, sf_dir)
+    user = F.when(F.col(S.RATING) == 5, F.lit("?")).otherwise(F.col(S.USER).cast("string"))
+    path = work_path(spark, "text")
+    _write_text(ratings.withColumn(S.USER, user), path, "::", None)
+    kept, rejected = read_double_colon(spark, path)
+    both = kept.select(S.ITEM, F.lit(False).alias("rejected")).unionByName(
+        rejected.select(S.ITEM, F.lit(True).alias("rejected"))
+    )
+    return both.groupBy("rejected").agg(
+        F.count("*").alias("num_rows"), F.sum(S.ITEM).alias("item_sum")
+    )
+
+
 @_register(
     f"""{_WITH_ORDERS}, f AS (SELECT *, {_FOLD_SQL} AS own FROM r),
     k AS (SELECT unnest(range(5)) AS n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +29,14 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Let iterative jobs cut their lineage through reliable checkpoints."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Let iterative jobs cut their lineage through reliable checkpoints.
+
+    A cluster session that names no shared folder goes on without: lost partitions are then
+    recomputed along the full lineage.
+    """
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
+    try:
         spark.sparkContext.setCheckpointDir(work_root(spark))
+    except RuntimeError as error:
+        warnings.warn(f"training without checkpoints: {error}", stacklevel=3)

@@ -14,7 +14,9 @@ from ratewright.operators import holdout
 def skewed(spark):
     """One user with a third of the rows, many of them copies of each other."""
     maker = random.Random(5)
-    data = [(maker.randint(2, 40), maker.randint(0, 9), 3.0, maker.randint(0, 3)) for _ in range(800)]
+    data = [
+        (maker.randint(2, 40), maker.randint(0, 9), 3.0, maker.randint(0, 3)) for _ in range(800)
+    ]
     data += [(1, 5, 4.0, 9)] * 300 + [(1, i, 2.0, i % 7) for i in range(100)]
     return ratings(spark, data).repartition(5)
 

@@ -35,7 +35,8 @@ def test_scan_reads_only_the_columns_in_use(spark, sf_dir):
 
 def test_splits_need_no_shuffle(spark, sf_dir):
     ratings = inputs.basket_ratings(spark, sf_dir)
-    for frame in (*split.hash_split(ratings), split.with_fold(ratings), split.hash_sample(ratings, 0.5)):
+    sample = split.hash_sample(ratings, 0.5)
+    for frame in (*split.hash_split(ratings), split.with_fold(ratings), sample):
         assert "Exchange" not in plan(frame)
 
 
