@@ -18,15 +18,19 @@ CLEAN = "clean"
 def prepare(ratings: DataFrame, out_dir: str, mode: str = XXHASH64) -> DataFrame:
     """Split ratings, mark cold-start test rows, store everything, and report.
 
-    Writes two tables: ``{out_dir}/ratings``, one directory per split, and
-    ``{out_dir}/test``, the test rows with their seen flags, one directory per ``clean``.
-    The source is read once and the cold-start joins run once. What follows reads the stored
-    tables, so a lost executor costs a re-read, not a second parse or a second join.
+    Writes ``{out_dir}/ratings``, one directory per split; the keys of the training set,
+    ``known_users`` and ``known_items``; and ``test``, the test rows with their seen flags,
+    one directory per ``clean``. The source is read once and the cold-start joins run once.
+    Each step reads the stored tables of the one before, so a lost executor costs a re-read,
+    not a second parse or a second join.
     """
     spark = ratings.sparkSession
     out_dir = out_dir.rstrip("/")
     write_parquet(split.with_split_label(ratings, mode), f"{out_dir}/ratings", split.SPLIT)
-    flagged = coldstart.with_seen_flags(*read_split(spark, out_dir))
+    train, test = read_split(spark, out_dir)
+    users = _stored_keys(train, S.USER, f"{out_dir}/known_users")
+    items = _stored_keys(train, S.ITEM, f"{out_dir}/known_items")
+    flagged = coldstart.flag_seen(test, users, items)
     write_parquet(flagged.withColumn(CLEAN, coldstart.is_clean()), f"{out_dir}/test", CLEAN)
     return coldstart.flag_report(_stored_test(spark, out_dir))
 
@@ -45,6 +49,12 @@ def read_clean_test(spark: SparkSession, out_dir: str) -> DataFrame:
     return _stored_test(spark, out_dir).filter(CLEAN).select(*S.RATING_COLUMNS)
 
 
+def _stored_keys(train: DataFrame, key: str, path: str) -> DataFrame:
+    keys = coldstart.key_set(train, key)
+    write_parquet(keys, path)
+    return train.sparkSession.read.schema(keys.schema).parquet(path)
+
+
 def _stored_test(spark: SparkSession, out_dir: str) -> DataFrame:
     flags = (coldstart.USER_SEEN, coldstart.ITEM_SEEN, CLEAN)
     schema = T.StructType(

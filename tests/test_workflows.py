@@ -1,8 +1,9 @@
 from __future__ import annotations
 
-from data import random_ratings, rows
+from data import plan, random_ratings, rows
 from ratewright import schema as S
 from ratewright.operators import als, coldstart, split
+from ratewright.operators.layout import scoped_conf
 from ratewright.plans import workflows
 
 
@@ -32,3 +33,16 @@ def test_prepare_then_train(spark, tmp_path):
     assert two.efficiency == two.speedup / 2
     csv = spark.read.option("header", True).csv(f"{second}/summary_csv")
     assert csv.count() == 2 and csv.columns == summary.columns
+
+
+def test_stored_key_sets_are_broadcast_only_below_the_threshold(spark, tmp_path):
+    out = str(tmp_path / "prepared")
+    workflows.prepare(random_ratings(spark), out)
+    _, test = workflows.read_split(spark, out)
+    users = spark.read.parquet(f"{out}/known_users")
+    items = spark.read.parquet(f"{out}/known_items")
+    found = plan(coldstart.flag_seen(test, users, items))
+    assert found.count("BroadcastHashJoin") == 2 and "hashpartitioning" not in found
+    with scoped_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": 1}):
+        found = plan(coldstart.flag_seen(test, users, items))
+    assert found.count("SortMergeJoin") == 2 and "Broadcast" not in found
