@@ -23,6 +23,8 @@ TEST_BUCKET = 9
 
 FOLD_SALT = "fold"
 SAMPLE_SALT = "sample"
+# Fractions are exact to one millionth.
+SAMPLE_SLOTS = 1_000_000
 
 
 def with_split_bucket(
@@ -96,16 +98,14 @@ def fold_sizes(folded: DataFrame) -> DataFrame:
     return counts.select(FOLD, (total - F.col("test_rows")).alias("train_rows"), "test_rows")
 
 
-def hash_sample(
-    ratings: DataFrame, fraction: float, mode: str = XXHASH64, resolution: int = 100
-) -> DataFrame:
+def hash_sample(ratings: DataFrame, fraction: float, mode: str = XXHASH64) -> DataFrame:
     """Keep about ``fraction`` of the rows, always the same ones.
 
     Samples are nested: the rows kept at 0.25 are among those kept at 0.5.
     """
     _check_fraction(fraction)
-    slot = F.pmod(row_hash(S.HASH_COLUMNS, mode, SAMPLE_SALT), F.lit(resolution))
-    return ratings.filter(slot < F.lit(round(fraction * resolution)))
+    slot = F.pmod(row_hash(S.HASH_COLUMNS, mode, SAMPLE_SALT), F.lit(SAMPLE_SLOTS))
+    return ratings.filter(slot < F.lit(round(fraction * SAMPLE_SLOTS)))
 
 
 def bernoulli_sample(ratings: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

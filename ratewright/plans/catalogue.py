@@ -131,7 +131,7 @@ _KEY_SQL = 'user_id, item_id, "timestamp"'
 _XXHASH_KEYS = [("user_id", False), ("item_id", False), ('"timestamp"', True)]
 _BUCKET_SQL = f"{_md5_sql(_KEY_SQL)} % 10"
 _FOLD_SQL = f"CAST({_md5_sql(_KEY_SQL + ", 'fold'")} % 5 AS INTEGER)"
-_SAMPLE_SQL = f"{_md5_sql(_KEY_SQL + ", 'sample'")} % 100"
+_SAMPLE_SQL = f"{_md5_sql(_KEY_SQL + ", 'sample'")} % 1000000"
 _ORDER_SQL = _md5_sql("user_id, item_id, rating, \"timestamp\", 'holdout'")
 _RATING_COLUMNS_SQL = 'user_id, item_id, rating, "timestamp"'
 
@@ -299,7 +299,7 @@ def kfold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.fold_sizes(split.with_fold(order_ratings(spark, sf_dir), 5, MD5))
 
 
-@_register(f"{_WITH_ORDERS} SELECT {_RATING_COLUMNS_SQL} FROM r WHERE {_SAMPLE_SQL} < 25")
+@_register(f"{_WITH_ORDERS} SELECT {_RATING_COLUMNS_SQL} FROM r WHERE {_SAMPLE_SQL} < 250000")
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.hash_sample(order_ratings(spark, sf_dir), 0.25, MD5)
 
@@ -529,11 +529,11 @@ def als_block_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     fractions AS (SELECT unnest([25, 50, 100]) AS percent),
     sizes AS (
         SELECT percent,
-               (SELECT count(*) FROM slots WHERE slot < percent) AS train_count,
+               (SELECT count(*) FROM slots WHERE slot < percent * 10000) AS train_count,
                (SELECT count(*) FROM test) AS test_count,
                (SELECT count(*) FROM test
-                WHERE user_id IN (SELECT user_id FROM slots WHERE slot < percent)
-                  AND item_id IN (SELECT item_id FROM slots WHERE slot < percent))
+                WHERE user_id IN (SELECT user_id FROM slots WHERE slot < percent * 10000)
+                  AND item_id IN (SELECT item_id FROM slots WHERE slot < percent * 10000))
                    AS prediction_count
         FROM fractions)
     SELECT 1 AS run, percent / 100.0::DOUBLE AS subset_fraction,

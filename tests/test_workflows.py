@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from data import plan, random_ratings, rows
 from ratewright import schema as S
-from ratewright.operators import als, coldstart, split
+from ratewright.operators import als, coldstart, split, sweep
 from ratewright.operators.layout import scoped_conf
 from ratewright.plans import workflows
+from ratewright.sources import read_fold
 
 
 def test_prepare_then_train(spark, tmp_path):
@@ -46,3 +49,21 @@ def test_stored_key_sets_are_broadcast_only_below_the_threshold(spark, tmp_path)
     with scoped_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": 1}):
         found = plan(coldstart.flag_seen(test, users, items))
     assert found.count("SortMergeJoin") == 2 and "Broadcast" not in found
+
+
+def test_grid_search_over_fold_files(spark, tmp_path):
+    folded = split.with_fold(random_ratings(spark, n=900, users=60, items=50), 2)
+    for number in (1, 2):
+        for part, name in zip(split.fold_pair(folded, number - 1), ("base", "test"), strict=True):
+            path = str(tmp_path / f"u{number}.{name}")
+            part.select(F.concat_ws("\t", *S.RATING_COLUMNS).alias("value")).write.text(path)
+    quick = als.ALSParams(num_user_blocks=2, num_item_blocks=2)
+    grid = sweep.config_grid((1, 2), (0.1,), (1,), quick)
+    folds = ((n, *read_fold(spark, str(tmp_path), n)) for n in (1, 2))
+    summary = workflows.grid_search(folds, str(tmp_path / "out"), grid).collect()
+    assert [r.num_folds for r in summary] == [2, 2] and {r.rank for r in summary} == {1, 2}
+    assert summary[0].mean_rmse <= summary[1].mean_rmse
+    stored = spark.read.json(str(tmp_path / "out" / "grid_runs"))
+    assert {(r.fold, r.model_name) for r in stored.collect()} == {
+        (n, name) for n in (1, 2) for name in grid
+    }
