@@ -1,42 +1,43 @@
-"""Where intermediate files go."""
+"""Where intermediate tables go.
+
+One rule for every session: below the folder in ``spark.checkpoint.dir``, and where that is
+unset below the warehouse folder of the session, which a cluster's executors share. Results
+are lazy, so a path is removed when the session's process ends, not before.
+"""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-import warnings
 
 from pyspark.sql import SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
 
-def work_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session, where driver and executors are one process, falls back to a
-    temporary folder of this machine.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="ratewright-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+def work_root(spark: SparkSession) -> str:
+    """The shared folder below which this session keeps intermediate tables."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    return root.rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the work root."""
-    return f"{work_root(spark)}/ratewright-{name}-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Let iterative jobs cut their lineage through reliable checkpoints.
-
-    A cluster session that names no shared folder goes on without: lost partitions are then
-    recomputed along the full lineage.
-    """
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    try:
-        spark.sparkContext.setCheckpointDir(work_root(spark))
-    except RuntimeError as error:
-        warnings.warn(f"training without checkpoints: {error}", stacklevel=3)
+    """A fresh path under the work root, removed when the process ends."""
+    path = f"{work_root(spark)}/ratewright-{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(remove_work_paths)
+    _made.append((spark, path))
+    return path
+
+
+def remove_work_paths() -> None:
+    """Delete every path handed out so far whose session still runs."""
+    while _made:
+        spark, path = _made.pop()
+        context = spark.sparkContext
+        if context._jsc is None:  # stopped: its file system client is gone
+            continue
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
