@@ -181,29 +181,43 @@ def repeated_spans(
     the words to remove. The list of one document is bounded by the number of its words.
     """
     spark = docs.sparkSession
+
+    def stored(frame: DataFrame, name: str) -> DataFrame:
+        # Tables of their own on both sides of a join also let Spark split its hot keys.
+        path = work_path(spark, name)
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
     texts = docs.select(*document_keys(docs, id_col, text_col), utf8(text_col).alias("_text"))
-    path = work_path(spark, "anchors")
-    texts.mapInArrow(_find_anchors(window, seed_words), ANCHORS).write.parquet(path)
-    anchors = spark.read.schema(ANCHORS).parquet(path)
-
-    classes = anchors.groupBy("h", "c").agg(
-        F.count("*").alias("n"),
-        # The three come from one row. Any member will do: all have the same context.
-        *[F.first(x).alias(x) for x in ("_id", "_th", "pos")],
+    anchors = stored(texts.mapInArrow(_find_anchors(window, seed_words), ANCHORS), "anchors")
+    # Most anchors occur once; they end here.
+    seeds = stored(
+        anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "seeds"
+    )
+    anchors = stored(anchors.join(seeds, "h", "left_semi"), "repeated")
+
+    classes = stored(
+        anchors.groupBy("h", "c").agg(
+            F.count("*").alias("n"),
+            # The three come from one row. Any member will do: all have the same context.
+            *[F.first(x).alias(x) for x in ("_id", "_th", "pos")],
+        ),
+        "classes",
     )
     several = classes.groupBy("h").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-    members = classes.join(several.select("h"), "h").select("_id", "_th", "pos")
+    members = classes.join(stored(several.select("h"), "several"), "h").select("_id", "_th", "pos")
     ends = members.groupBy("_id", "_th").agg(F.collect_set("pos").alias("at"))
-    windows = (
+    windows = stored(
         texts.join(ends, ["_id", "_th"])
         .select("_id", "_th", "_text", "at")
-        .mapInArrow(_extend(window, seed_words), WINDOWS)
+        .mapInArrow(_extend(window, seed_words), WINDOWS),
+        "windows",
+    )
+    shared = stored(
+        windows.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w"),
+        "shared",
     )
-    path = work_path(spark, "windows")
-    windows.write.parquet(path)
-    windows = spark.read.schema(WINDOWS).parquet(path)
-    shared = windows.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1")
-    by_window = windows.join(shared.select("h", "w"), ["h", "w"]).select(
+    by_window = windows.join(shared, ["h", "w"]).select(
         "_id", "_th", _span(F.col("start"), F.col("start") + window)
     )
 

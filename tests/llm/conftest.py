@@ -1,6 +1,62 @@
 from __future__ import annotations
 
+import random
 import sys
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """A maker of documents: rows of (doc_id, text, lang, source), the last two optional."""
+
+    def make(rows, partitions=3):
+        full = []
+        for doc_id, text, *rest in rows:
+            lang, source = (*rest, None, None)[:2]
+            full.append((doc_id, text, lang, source, None if text is None else len(text)))
+        return spark.createDataFrame(full, DOCS).repartition(partitions)
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def clashing(docs):
+    """The same with further columns, named like those the operators use inside."""
+    names = ("id", "_id", "_th", "_text", "row", "size", "rank", "t", "h", "c", "fp", "spans", "key",
+             "copies", "c0", "score", "label", "target", "spread", "n", "shard")
+
+    def make(rows):
+        from pyspark.sql import functions as F
+
+        return docs(rows).withColumns({n: F.lit("clash") for n in names})
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def prose():
+    """A maker of text: n words of a small random language."""
+
+    def make(n, seed, words=400):
+        maker = random.Random(seed)
+        lexicon = ["".join(random.Random(f"{w}").choices("abdeginorstu", k=2 + w % 6)) for w in range(words)]
+        return " ".join(maker.choice(lexicon) for _ in range(n))
+
+    return make
+
+
+# Texts that any operator must take.
+ODD = [None, "", " \t\n ", "a", "é", "👍🏽", " ", "x\u001cy", "\0", "0 1 2", "word " * 30_000]
+
+
+@pytest.fixture(scope="session")
+def odd():
+    """Odd texts with ids, two rows without id, and a row three times."""
+    rows = [(i, text, "en", "s1") for i, text in enumerate(ODD)]
+    return [*rows, (None, "a b c", None, None), (None, None, None, None), *[(900, "a b c", "en", "s1")] * 3]

@@ -1,0 +1,86 @@
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import brute
+import pytest
+
+import corpus_pipeline
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, docs, prose, tmp_path_factory):
+    """Documents with near copies, shared passages, benchmark leaks and texts without letters."""
+    maker = random.Random(9)
+    passage, item = prose(55, 5000), prose(40, 6000)
+    rows = []
+    for i in range(60):
+        rows.append((i, prose(maker.randint(60, 200), i), "en", f"s{i % 3}"))
+    words = rows[0][1].split()
+    rows += [(100, rows[0][1], "en", "s0"), (101, " ".join([*words[:-1], "other"]), "en", "s1")]
+    rows += [(200 + i, f"{prose(80, 700 + i)} {passage} {prose(20, 800 + i)}", "en", "s2") for i in range(3)]
+    rows += [(300, f"{prose(50, 901)} {item} {prose(50, 902)}", "en", "s0")]
+    rows += [(400, "12 34", "en", "s0"), (401, None, "en", "s1"), (402, "", None, None), (None, prose(70, 31), "en", "s1")]
+    path = tmp_path_factory.mktemp("corpus")
+    docs(rows).write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(path / "benchmark.parquet"))
+    return str(path), rows
+
+
+def stages(spark, path):
+    """The rows that each stage leaves."""
+    docs, out = spark.read.parquet(f"{path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, path).collect()
+        out.append(rows)
+        docs = spark.createDataFrame(rows, docs.schema)
+    return out
+
+
+def test_each_stage_does_its_work(spark, corpus):
+    path, rows = corpus
+    known, single, cut, clean, mixed = stages(spark, path)
+    assert {r.doc_id for r in known} == {r[0] for r in rows} - {400, 401, 402}
+
+    prints = [(r.doc_id, brute.fingerprint(r.text)) for r in known]
+    names = brute.components(prints)
+    assert sorted(map(str, (r.doc_id for r in single))) == sorted(map(str, set(names.values())))
+    assert not {100, 101} & {r.doc_id for r in single}
+
+    want = {d: n for d, _, n, _ in brute.substrings([(r.doc_id, r.text) for r in single])}
+    before = {r.doc_id: r.text for r in single}
+    for r in cut:
+        lost = len(brute.words(before[r.doc_id])) - len(brute.words(r.text))
+        assert lost == want[r.doc_id] and r.n_chars == len(r.text)
+        if not lost:
+            assert r.text == before[r.doc_id]
+    assert all(want[200 + i] >= 55 for i in range(3))
+
+    assert {r.doc_id for r in clean} == {r.doc_id for r in cut} - {300}
+    texts = {r.doc_id: r.text for r in clean}
+    copies = Counter(r.doc_id for r in mixed)
+    assert set(copies) <= set(texts) and max(copies.values()) <= 2
+    assert all(r.text == texts[r.doc_id] for r in mixed)
+
+
+def test_run_equals_the_stages_and_reruns_agree(spark, corpus):
+    path, _ = corpus
+    first = Counter(map(tuple, corpus_pipeline.run(spark, path).collect()))
+    assert first == Counter(map(tuple, corpus_pipeline.run(spark, path).collect()))
+    assert first == Counter(map(tuple, stages(spark, path)[-1]))
+
+
+def test_empty_documents(spark, docs, tmp_path):
+    path = str(tmp_path)
+    docs([]).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, path)
+    assert found.columns == corpus_pipeline.COLUMNS and found.count() == 0
+
+
+def test_odd_documents(spark, docs, odd, tmp_path):
+    path = str(tmp_path)
+    docs(odd).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, None)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} <= {r[0] for r in odd}

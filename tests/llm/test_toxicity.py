@@ -1,0 +1,67 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+
+from ratewright.llm import toxicity
+
+
+def test_learns_from_positives_and_unlabelled_only():
+    """Toxic texts hold one of three features; a tenth of the unlabelled are toxic as well."""
+    random = np.random.default_rng(3)
+
+    def text(toxic):
+        return np.concatenate([random.choice(np.arange(3, 60), 15, replace=False), [random.integers(3)] * toxic])
+
+    positive = [text(True) for _ in range(300)]
+    unlabelled = [text(i % 10 == 0) for i in range(3000)]
+    weights, bias = toxicity.fit(positive, unlabelled, 60, 0.1)
+    logits = np.array([weights[t.astype(int)].sum() + bias for t in unlabelled])
+    assert (np.sort(logits[::10])[10] > np.sort(np.delete(logits, np.arange(0, 3000, 10)))[-30])
+    assert abs((toxicity._sigmoid(logits) > 0.5).mean() - 0.1) < 0.03
+
+
+def test_calibration_is_monotone_and_right():
+    random = np.random.default_rng(2)
+    toxic = random.normal(2, 1, 2000)
+    every = np.concatenate([random.normal(2, 1, 200), random.normal(-2, 1, 1800)])
+    logits, chances = toxicity.calibrate(toxic, every, 0.1)
+    assert (np.diff(logits) > 0).all() and (np.diff(chances) >= 0).all()
+    for z in (-1.0, 0.0, 0.5, 1.0):
+        true = 0.1 * np.exp(-((z - 2) ** 2) / 2)
+        clean = 0.9 * np.exp(-((z + 2) ** 2) / 2)
+        assert np.interp(z, logits, chances) == pytest.approx(true / (true + clean), abs=0.25)
+
+
+def test_odd_texts_and_missing_labels(spark, docs, odd, clashing):
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (3, 0)], "doc_id bigint, toxic int")
+    model = toxicity.learn(docs(odd), labels)
+    found = toxicity.score(docs(odd), model).collect()
+    assert len(found) == len(odd) and all(0 <= r.score <= 1 for r in found)
+    assert len({r.score for r in found if r.doc_id in (0, 1, 2)}) == 1
+    none = toxicity.learn(docs(odd), labels.filter("toxic = 0"))
+    assert all(r.score < 1e-6 for r in toxicity.score(docs(odd), none).collect())
+    assert toxicity.score(docs([]), model).count() == 0
+    empty = toxicity.learn(docs([]), labels)
+    assert toxicity.score(clashing([(1, "a")]), empty, carry=("doc_id", "t")).columns == ["doc_id", "t", "score"]
+
+
+def test_memory_forgets_without_changing_scores(monkeypatch):
+    numbers = toxicity.Numbers({b"=bad": 0, b"^bad$": 1})
+    monkeypatch.setattr(toxicity, "REMEMBERED_WORDS", 1)
+    assert [numbers.of(t) for t in (b"so bad", b"Bad, bad", b"", None, b"x y z")] == [[0, 1], [0, 1], [], [], []]
+
+
+def test_held_out_quality(spark, sf_dir):
+    from ratewright.llm.queries import op9_toxicity
+
+    big = sf_dir.replace("0.001", "0.1")
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    found = op9_toxicity(spark, big).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found)
+    held = [r for r in found if r.held_out and toxic.get(r.doc_id) is not None]
+    hits = sum(r.predicted == 1 and toxic[r.doc_id] == 1 for r in held)
+    assert hits / sum(r.predicted for r in held) > 0.85
+    assert hits / sum(toxic[r.doc_id] == 1 for r in held) > 0.75
