@@ -2,11 +2,12 @@
 total, and a validation quota from that total.
 
 The position orders a user's ratings by a content hash and then by every column, so it does
-not depend on the partitioning. A plain window would do, but it sorts all ratings of a user
-in one task. Users above ``rows_per_task`` ratings are therefore ranked in several tasks:
-their hash range is cut into slices of about that size, each slice is ranked on its own, and
-the sizes of the lower slices are added. Equal rows are ranked as one row with a count, so
-not even a user whose ratings are all copies of each other lands in one task.
+not depend on the partitioning. One window per user would sort all ratings of a user in one
+task. So every user's hash range is cut into the same number of slices, whatever the user's
+size: ratings are ranked within their slice, and the sizes of a user's lower slices, at most
+``slices`` numbers, are added. Equal rows are ranked as one row with a count, so not even a user
+whose ratings are all copies of each other lands in one task. It is one lazy plan, and the
+same for every input.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ QUOTA = "val_count"
 HELD_OUT = "held_out"
 
 SHUFFLE_SALT = "holdout"
-ROWS_PER_TASK = 2_000_000
-# Large users are named to the executors up to this many; with more, all users are sliced.
-MAX_NAMED_USERS = 10_000
+# A power of two, so that slices are equal parts of the hash range.
+SLICES = 64
 # One copy count is unrolled into at most this many rows at a time.
 COPIES_PER_CHUNK = 100_000
 
 _ORDER = "_order"
+_SLICE = "_slice"
 _TIE_BREAK = (S.ITEM, S.TIMESTAMP, S.RATING)
 
 
@@ -39,82 +40,36 @@ def user_totals(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy(S.USER).agg(F.count("*").alias(TOTAL))
 
 
-def shuffle_rank(
-    ratings: DataFrame,
-    mode: str = XXHASH64,
-    rows_per_task: int = ROWS_PER_TASK,
-    max_named_users: int = MAX_NAMED_USERS,
-) -> DataFrame:
+def shuffle_rank(ratings: DataFrame, mode: str = XXHASH64, slices: int = SLICES) -> DataFrame:
     """Add ``row_num`` (1..total, random order) and ``total`` to every rating.
 
-    Looks for large users first: a count per user that reads one column and brings at most
-    ``max_named_users`` + 1 ids to the driver. With none, the result is one window.
+    The number of slices changes the plan's parallelism only, not the ranks.
     """
-    ratings = ratings.select(*S.RATING_COLUMNS)
-    large = user_totals(ratings).filter(F.col(TOTAL) > rows_per_task)
-    named = large.orderBy(F.desc(TOTAL)).limit(max_named_users + 1).collect()
-    if not named:
-        return _rank_by_window(ratings, mode)
-    if len(named) > max_named_users:
-        totals = user_totals(ratings).select(F.col(S.USER).cast("bigint").alias("_user"), TOTAL)
-        on = F.col(S.USER).cast("bigint") == F.col("_user")
-        return _rank_by_slices(ratings.join(totals, on).drop("_user"), mode, rows_per_task)
-
-    # A local relation of at most max_named_users rows, so the broadcast is bounded.
-    users = ratings.sparkSession.createDataFrame(
-        [(r[S.USER], r[TOTAL]) for r in named], f"{S.USER} INT, {TOTAL} BIGINT"
-    )
-    small_rows = ratings.join(F.broadcast(users), S.USER, "left_anti")
-    large_rows = ratings.join(F.broadcast(users), S.USER)
-    return _rank_by_window(small_rows, mode).unionByName(
-        _rank_by_slices(large_rows, mode, rows_per_task)
+    order = order_hash(S.RATING_COLUMNS, mode, SHUFFLE_SALT)
+    distinct_rows = (
+        ratings.select(*S.RATING_COLUMNS)
+        .withColumn(_ORDER, order)
+        .withColumn(_SLICE, F.floor(F.col(_ORDER) / F.lit(ORDER_SPACE // slices)))
+        .groupBy(*S.RATING_COLUMNS, _ORDER, _SLICE)
+        .agg(F.count("*").alias("_copies"))
     )
-
-
-def _rank_by_window(ratings: DataFrame, mode: str) -> DataFrame:
     user = Window.partitionBy(S.USER)
-    return (
-        ratings.withColumn(_ORDER, order_hash(S.RATING_COLUMNS, mode, SHUFFLE_SALT))
-        .withColumn(
-            ROW_NUM, F.row_number().over(user.orderBy(_ORDER, *_TIE_BREAK)).cast("bigint")
-        )
-        .withColumn(TOTAL, F.count("*").over(user))
-        .drop(_ORDER)
-    )
-
-
-def _rank_by_slices(ratings: DataFrame, mode: str, rows_per_task: int) -> DataFrame:
-    """The same ranks as ``_rank_by_window``, for rows that already carry ``total``."""
-    num_slices = F.ceil(F.col(TOTAL) / F.lit(rows_per_task))
-    sliced = ratings.withColumn(
-        _ORDER, order_hash(S.RATING_COLUMNS, mode, SHUFFLE_SALT)
-    ).withColumn("_slice", F.floor(F.col(_ORDER) * num_slices / F.lit(ORDER_SPACE)))
-
-    in_slice = Window.partitionBy(S.USER, "_slice").orderBy(_ORDER, *_TIE_BREAK)
-    distinct_rows = sliced.groupBy(*S.RATING_COLUMNS, TOTAL, _ORDER, "_slice").agg(
-        F.count("*").alias("_copies")
-    )
-    ranked = distinct_rows.withColumn(
-        "_last",
-        F.sum("_copies").over(in_slice.rowsBetween(Window.unboundedPreceding, 0)),
-    )
-
-    lower_slices = (
-        Window.partitionBy(S.USER).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    lower = user.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     # Starts from the same aggregation as the ranks, so Spark reuses that shuffle.
     offsets = (
-        distinct_rows.groupBy(S.USER, "_slice")
+        distinct_rows.groupBy(S.USER, _SLICE)
         .agg(F.sum("_copies").alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(lower_slices), F.lit(0)))
+        .withColumn("_offset", F.coalesce(F.sum("_rows").over(lower), F.lit(0)))
+        .withColumn(TOTAL, F.sum("_rows").over(user))
         .drop("_rows")
     )
-
-    last = F.col("_offset") + F.col("_last")
+    in_slice = Window.partitionBy(S.USER, _SLICE).orderBy(_ORDER, *_TIE_BREAK)
+    last = F.sum("_copies").over(in_slice.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = distinct_rows.withColumn("_before", last - F.col("_copies"))
     # Every slice has an offset; a left join keeps Spark from adding a filter on the slice,
     # which would hash every row a second time.
-    placed = ranked.join(offsets, [S.USER, "_slice"], "left").select(
-        *S.RATING_COLUMNS, TOTAL, (last - F.col("_copies")).alias("_before"), "_copies"
+    placed = ranked.join(offsets, [S.USER, _SLICE], "left").select(
+        *S.RATING_COLUMNS, TOTAL, (F.col("_offset") + F.col("_before")).alias("_before"), "_copies"
     )
     return _unroll_copies(placed)
 
@@ -140,16 +95,13 @@ def with_quota(ranked: DataFrame, fraction: float = 0.2) -> DataFrame:
 
 
 def user_holdout(
-    ratings: DataFrame,
-    fraction: float = 0.2,
-    mode: str = XXHASH64,
-    rows_per_task: int = ROWS_PER_TASK,
+    ratings: DataFrame, fraction: float = 0.2, mode: str = XXHASH64, slices: int = SLICES
 ) -> DataFrame:
     """Every rating with rank, total, quota and ``held_out``.
 
     The first ``val_count`` ratings of each user's random order are held out.
     """
-    ranked = with_quota(shuffle_rank(ratings, mode, rows_per_task), fraction)
+    ranked = with_quota(shuffle_rank(ratings, mode, slices), fraction)
     return ranked.withColumn(HELD_OUT, F.col(ROW_NUM) <= F.col(QUOTA))
 
 

@@ -69,8 +69,9 @@ def with_scaling(
     """
     baseline = summary.filter(F.col("num_cores") == F.lit(baseline_cores))
     if by:
-        base = baseline.select(*by, F.col(MEAN_TIME).alias("_base"))
-        joined = summary.join(base, list(by), "left")
+        base = baseline.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(MEAN_TIME).alias("_base"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        joined = summary.join(base, same, "left").drop(*(f"_{c}" for c in by))
         base_time = F.col("_base")
     else:
         joined = summary

@@ -65,12 +65,16 @@ def with_split_label(ratings: DataFrame, mode: str = XXHASH64) -> DataFrame:
     return with_split_bucket(ratings, mode).withColumn(SPLIT, label).drop(BUCKET)
 
 
-def split_reconciliation(bucketed: DataFrame, test_bucket: int = TEST_BUCKET) -> DataFrame:
-    """One row: total, train and test sizes, and whether the parts add up to the whole."""
-    return bucketed.agg(
-        F.count("*").alias("total_rows"),
-        F.count_if(~is_test(test_bucket)).alias("train_rows"),
-        F.count_if(is_test(test_bucket)).alias("test_rows"),
+def split_reconciliation(source: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
+    """One row: sizes of the source and of the separated sets, and whether the sets add up to
+    the source. Each frame is counted on its own, so a row lost between them shows."""
+    counts = [
+        frame.select(F.lit(name).alias("part"))
+        for name, frame in (("total", source), ("train", train), ("test", test))
+    ]
+    every = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return every.agg(
+        *(F.count_if(F.col("part") == p).alias(f"{p}_rows") for p in ("total", "train", "test"))
     ).withColumn(
         "reconciled", F.col("train_rows") + F.col("test_rows") == F.col("total_rows")
     )

@@ -18,17 +18,18 @@ from pyspark.sql import functions as F
 
 from ratewright.functions.hashing import XXHASH64
 from ratewright.operators import split
-from ratewright.operators.als import ALSParams, fit
+from ratewright.operators.als import ALSParams, fit, release
 from ratewright.operators.evaluate import run_once
 from ratewright.operators.layout import cached
 from ratewright.sources.runlog import run_log_frame
 
-# The axes of the full grid (18 configurations), the block counts and the
-# fractions of the size sweep.
+# The axes of the full grid (18 configurations), the
+# fractions of the size sweep. One block would put all ratings in one task, so block counts
+# start at two.
 GRID_RANKS = (5, 10, 20)
 GRID_REG_PARAMS = (0.05, 0.1, 0.15)
 GRID_MAX_ITERS = (5, 10)
-BLOCK_COUNTS = (1, 2, 4, 10)
+BLOCK_COUNTS = (2, 4, 10, 20)
 SIZE_FRACTIONS = (0.25, 0.5, 1.0)
 
 
@@ -106,7 +107,7 @@ def repeated_runs(
     with cached(train, test) as (train_rows, test_rows):
         train_count, _ = _materialise(train_rows, test_rows)
         if warmup:
-            fit(train_rows, params)
+            release(fit(train_rows, params))
         tags = {"dataset": dataset, "num_cores": cores, "train_count": train_count}
         records = [
             run_once(train_rows, test_rows, params, {**tags, "run": run})
@@ -163,7 +164,7 @@ def size_sweep(
             with cached(train_rows if whole else sample(train_rows, fraction)) as (subset,):
                 (num_ratings,) = _materialise(subset)
                 if warmup:
-                    fit(subset, params)
+                    release(fit(subset, params))
                 tags = {
                     "dataset": dataset,
                     "num_cores": spark.sparkContext.defaultParallelism,

@@ -1,14 +1,15 @@
 """Registered queries, each with the SQL that must give the same rows.
 
-Averages and ratios are rounded to six places on both sides. Queries that time fits, train
-models or depend on physical partitions have no SQL; tests check their properties.
+Averages and ratios are rounded to six places on both sides. Queries that train models, sample
+or depend on physical partitions return the properties that SQL can state: the factors solve
+their equations, a prediction is the product of its factors, a group is where its key hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +42,20 @@ from ratewright.sources import (
     write_single_csv,
 )
 
+# The user of the query that lists one user's ratings: any that every scale holds.
+ONE_USER = 101
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The same inputs in SQL.
 ORDER_RATINGS_SQL = """
-    SELECT CAST(o_custkey AS INTEGER) AS user_id, CAST(l_partkey AS INTEGER) AS item_id,
+    SELECT CAST(o_custkey AS BIGINT) AS user_id, CAST(l_partkey AS BIGINT) AS item_id,
            1 + floor((l_quantity - 1) / 10) AS rating,
            CAST(epoch(o_orderdate) AS BIGINT) AS "timestamp"
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 BASKET_RATINGS_SQL = """
-    SELECT CAST(l_orderkey AS INTEGER) AS user_id,
-           CAST(l_partkey * 8 + l_linenumber AS INTEGER) AS item_id,
+    SELECT CAST(l_orderkey AS BIGINT) AS user_id,
+           CAST(l_partkey * 8 + l_linenumber AS BIGINT) AS item_id,
            1 + floor((l_quantity - 1) / 10) AS rating,
            CAST(epoch(l_shipdate) AS BIGINT) AS "timestamp"
     FROM lineitem"""
@@ -83,11 +87,11 @@ def _md5_sql(columns: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', {columns})), 1, 8) AS BIGINT)"
 
 
-def _xxhash_bucket_sql(source: str, keys: list[tuple[str, bool]]) -> str:
+def _xxhash_bucket_sql(source: str, keys: list[str]) -> str:
     """A SELECT that adds ``split_bucket`` = pmod(xxhash64(keys), 10) to ``source``.
 
-    The published XXH64 steps for 4-byte and 8-byte values (the flag is True for the latter),
-    chained from seed 42, in 128-bit arithmetic modulo 2^64. Keys must not be negative.
+    The published XXH64 steps for 8-byte values, chained from seed 42, in 128-bit arithmetic
+    modulo 2^64. Keys must not be negative.
     """
     # The five XXH64 primes.
     p1, p2, p3 = 11400714785074694791, 14029467366897019727, 1609587929392839161
@@ -104,17 +108,11 @@ def _xxhash_bucket_sql(source: str, keys: list[tuple[str, bool]]) -> str:
         return f"xor(h, h // {1 << right})"
 
     steps = ["42::UHUGEINT"]
-    for key, is_long in keys:
-        value = f"CAST({key} AS UHUGEINT)"
-        if is_long:
-            word = times(rotated(times(value, p2), 31), p1)
-            start, turn, factor, addend = p5 + 8, 27, p1, p4
-        else:
-            word = times(value, p1)
-            start, turn, factor, addend = p5 + 4, 23, p2, p3
+    for key in keys:
+        word = times(rotated(times(f"CAST({key} AS UHUGEINT)", p2), 31), p1)
         steps += [
-            f"xor((h + {start}) % {wrap}, {word})",
-            f"({times(rotated('h', turn), factor)} + {addend}) % {wrap}",
+            f"xor((h + {p5 + 8}) % {wrap}, {word})",
+            f"({times(rotated('h', 27), p1)} + {p4}) % {wrap}",
             times(folded(33), p2),
             times(folded(29), p3),
             folded(32),
@@ -128,7 +126,7 @@ def _xxhash_bucket_sql(source: str, keys: list[tuple[str, bool]]) -> str:
 
 
 _KEY_SQL = 'user_id, item_id, "timestamp"'
-_XXHASH_KEYS = [("user_id", False), ("item_id", False), ('"timestamp"', True)]
+_XXHASH_KEYS = ["user_id", "item_id", '"timestamp"']
 _BUCKET_SQL = f"{_md5_sql(_KEY_SQL)} % 10"
 _FOLD_SQL = f"CAST({_md5_sql(_KEY_SQL + ", 'fold'")} % 5 AS INTEGER)"
 _SAMPLE_SQL = f"{_md5_sql(_KEY_SQL + ", 'sample'")} % 1000000"
@@ -238,9 +236,9 @@ def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.preview(order_ratings(spark, sf_dir), 5, *order)
 
 
-@_register(f"{_WITH_ORDERS} SELECT {_RATING_COLUMNS_SQL} FROM r WHERE user_id = 873")
+@_register(f"{_WITH_ORDERS} SELECT {_RATING_COLUMNS_SQL} FROM r WHERE user_id = {ONE_USER}")
 def one_user_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.ratings_of_user(order_ratings(spark, sf_dir), 873)
+    return profile.ratings_of_user(order_ratings(spark, sf_dir), ONE_USER)
 
 
 # --- Splits, folds, samples ------------------------------------------------------------
@@ -279,9 +277,12 @@ def hash_split_xxhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) FILTER (WHERE {_BUCKET_SQL} = 9) AS test_rows, true AS reconciled FROM r"""
 )
 def split_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.split_reconciliation(
-        split.with_split_bucket(order_ratings(spark, sf_dir), MD5)
-    )
+    """The stored sets of a split, against the source they were cut from."""
+    ratings, path = order_ratings(spark, sf_dir), work_path(spark, "split")
+    write_parquet(split.with_split_label(ratings, MD5), path, split.SPLIT)
+    stored = spark.read.parquet(path)
+    parts = (stored.filter(F.col(split.SPLIT) == part) for part in ("train", "test"))
+    return split.split_reconciliation(ratings, *parts)
 
 
 @_register(f"{_WITH_ORDERS} SELECT {_RATING_COLUMNS_SQL}, {_FOLD_SQL} AS fold FROM r")
@@ -304,9 +305,26 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.hash_sample(order_ratings(spark, sf_dir), 0.25, MD5)
 
 
-@_register()
+@_register(
+    f"""{_WITH_ORDERS} SELECT count(*) AS source_rows, CAST(0 AS BIGINT) AS foreign_rows,
+    true AS near_fraction FROM r"""
+)
 def bernoulli_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.bernoulli_sample(order_ratings(spark, sf_dir), 0.25)
+    """Spark's own sample: rows it holds more often than the source, and its size."""
+    source = order_ratings(spark, sf_dir)
+    kept = split.bernoulli_sample(source, 0.25)
+    both = source.select("*", F.lit(0).alias("kept")).unionByName(
+        kept.select("*", F.lit(1).alias("kept"))
+    )
+    rows = both.groupBy(*S.RATING_COLUMNS).agg(
+        F.count_if(F.col("kept") == 0).alias("n"), F.count_if(F.col("kept") == 1).alias("k")
+    )
+    share = F.sum("k") / F.sum("n")
+    return rows.agg(
+        F.sum("n").alias("source_rows"),
+        F.sum(F.greatest(F.col("k") - F.col("n"), F.lit(0))).alias("foreign_rows"),
+        share.between(0.2, 0.3).alias("near_fraction"),
+    )
 
 
 # --- Per-user holdout ------------------------------------------------------------------
@@ -329,8 +347,8 @@ def user_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"{_RANKED_SQL} SELECT *, row_num <= val_count AS held_out FROM quota")
 def user_holdout_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same holdout with every user above 40 ratings ranked in slices of 40."""
-    return holdout.user_holdout(order_ratings(spark, sf_dir), 0.2, MD5, rows_per_task=40)
+    """The same holdout with eight slices a user in place of the default."""
+    return holdout.user_holdout(order_ratings(spark, sf_dir), 0.2, MD5, slices=8)
 
 
 # --- Cold start ------------------------------------------------------------------------
@@ -382,7 +400,8 @@ def absent_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE {_USER_SEEN_SQL} AND {_ITEM_SEEN_SQL}"""
 )
 def clean_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coldstart.clean_test(*_baskets(spark, sf_dir))
+    bucketed = split.with_split_bucket(basket_ratings(spark, sf_dir), MD5)
+    return coldstart.clean_bucketed(bucketed)
 
 
 _REPORT_SQL = f"""{_WITH_SPLIT},
@@ -399,10 +418,20 @@ _REPORT_SQL = f"""{_WITH_SPLIT},
 
 @_register(_REPORT_SQL)
 def coldstart_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(coldstart.coldstart_report(*_baskets(spark, sf_dir)))
+    bucketed = split.with_split_bucket(basket_ratings(spark, sf_dir), MD5)
+    return _rounded(coldstart.flag_report(coldstart.flag_bucketed(bucketed)))
 
 
-@_register(_REPORT_SQL)
+@_register(
+    f"""SELECT c.*, p.*, p.num_ratings AS source_rows, p.num_ratings - c.test_rows AS train_rows,
+    CAST(0 AS BIGINT) AS rejected_rows, true AS reconciled
+    FROM ({_REPORT_SQL}) c, (
+        SELECT *, round(num_ratings / (CAST(users AS DOUBLE) * items), 6) AS density,
+               round(1 - num_ratings / (CAST(users AS DOUBLE) * items), 6) AS sparsity
+        FROM (SELECT count(*) AS num_ratings, count(DISTINCT user_id) AS users,
+                     count(DISTINCT item_id) AS items, min(rating) AS min_rating,
+                     max(rating) AS max_rating FROM ({BASKET_RATINGS_SQL}))) p"""
+)
 def prepared_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The data-preparation workflow, reporting from the tables it stored."""
     out = work_path(spark, "prepared")
@@ -424,33 +453,85 @@ def rmse_of_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.rmse_of(scored))
 
 
-@_register()
+def _blocks(spark: SparkSession, **changes: object) -> als.ALSParams:
+    """Parameters with a block count that grows with the cluster."""
+    return als.ALSParams(**changes).for_cluster(spark)
+
+
+@_register(
+    f"""{_WITH_SPLIT} SELECT count(DISTINCT user_id) AS users, count(DISTINCT user_id) AS solved,
+    count(DISTINCT item_id) AS items, 5 * count(DISTINCT item_id) AS item_elements FROM train"""
+)
 def als_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All elements of both factor tables."""
-    train, _ = _baskets(spark, sf_dir, XXHASH64)
-    model = als.fit(train)
-    users = als.factor_elements(als.user_factors(model)).withColumn("side", F.lit("user"))
-    items = als.factor_elements(als.item_factors(model)).withColumn("side", F.lit("item"))
-    return users.unionByName(items)
+    """Both factor tables: the users whose normal equations hold, and the item elements.
+
+    The last half-step of a fit solves for the users, given the items.
+    """
+    train, _ = _baskets(spark, sf_dir)
+    params = _blocks(spark)
+    model = als.fit(train, params)
+    solved = als.normal_equations(model, train, params)
+    users = solved.agg(F.count("*").alias("users"), F.count_if("solved").alias("solved"))
+    elements = als.factor_elements(als.item_factors(model))
+    items = elements.agg(
+        F.count_if(F.col("position") == 0).alias("items"), F.count("*").alias("item_elements")
+    )
+    return users.select("*", *(items.select(c).scalar().alias(c) for c in items.columns))
 
 
 @_register(
-    f"""{_WITH_SPLIT} SELECT DISTINCT 'user' AS side, user_id AS id, 5 AS num_features FROM train
-    UNION ALL SELECT DISTINCT 'item', item_id, 5 FROM train"""
+    f"""{_WITH_SPLIT} SELECT DISTINCT 'user' AS side, CAST(user_id AS INTEGER) AS id, 5 AS num_features FROM train
+    UNION ALL SELECT DISTINCT 'item', CAST(item_id AS INTEGER), 5 FROM train"""
 )
 def als_factor_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _baskets(spark, sf_dir)
-    model = als.fit(train)
+    model = als.fit(train, _blocks(spark))
     users = als.user_factors(model).withColumn("side", F.lit("user"))
     items = als.item_factors(model).withColumn("side", F.lit("item"))
     size = F.size(als.FEATURES).alias("num_features")
     return users.unionByName(items).select("side", als.FACTOR_ID, size)
 
 
-@_register()
+@_register(
+    f"""{_WITH_SPLIT} SELECT {_RATING_COLUMNS_SQL}, true AS is_product FROM test
+    WHERE {_USER_SEEN_SQL} AND {_ITEM_SEEN_SQL}"""
+)
 def als_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _baskets(spark, sf_dir, XXHASH64)
-    return als.score(als.fit(train), test)
+    """The test rows a model predicts, and whether each prediction is the factors' product."""
+    train, test = _baskets(spark, sf_dir)
+    model = als.fit(train, _blocks(spark))
+    product = F.abs(F.col(als.PREDICTION) - F.col("product")) < 1e-4
+    scored = als.with_product(model, als.score(model, test))
+    return scored.select(*S.RATING_COLUMNS, product.alias("is_product"))
+
+
+@_register("SELECT count(*) AS num_ratings, true AS learned FROM lineitem")
+def als_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit on all line items, with ratings of planted low rank: RMSE against the mean's."""
+    u, i = F.pmod(S.USER, F.lit(5)), F.pmod(S.ITEM, F.lit(4))
+    planted = order_ratings(spark, sf_dir).withColumn(
+        S.RATING, ((1 + u) * (1 + i) / 4.0).cast("double")
+    )
+    model = als.fit(planted, _blocks(spark, rank=2))
+    scored = als.score_all(model, planted)
+    return scored.agg(
+        F.count("*").alias("num_ratings"),
+        (F.sqrt(F.avg((F.col(S.RATING) - F.col(als.PREDICTION)) ** 2)) < F.stddev_pop(S.RATING) / 4)
+        .alias("learned"),
+    )
+
+
+@_register("SELECT true AS equal")
+def als_logged_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The RMSE in a run's log record, against the stored predictions of the same fit."""
+    train, test = _baskets(spark, sf_dir)
+    params = _blocks(spark)
+    record = evaluate.run_once(train, test, params)
+    path = work_path(spark, "predictions")
+    write_parquet(als.score(als.fit(train, params), test), path)
+    error = F.col(S.RATING) - F.col(als.PREDICTION)
+    again = spark.read.parquet(path).agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    return again.select((F.abs(F.col("rmse") - record["rmse"]) < 1e-4).alias("equal"))
 
 
 @_register(
@@ -461,7 +542,7 @@ def als_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def als_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _baskets(spark, sf_dir)
-    scored = als.score_all(als.fit(train), test)
+    scored = als.score_all(als.fit(train, _blocks(spark)), test)
     metrics = evaluate.prediction_metrics(scored)
     return _rounded(metrics.select("test_count", "prediction_count", "coverage"))
 
@@ -475,12 +556,11 @@ def _without_timings(log: DataFrame, *columns: str) -> DataFrame:
 
 _COVERAGE_SQL = """round(prediction_count / CAST(test_count AS DOUBLE), 6) AS coverage,
     true AS measured"""
-_FOLD_OF_2_SQL = f"CAST({_md5_sql(_KEY_SQL + ", 'fold'")} % 2 AS INTEGER)"
 
 
 @_register(
     f"""WITH r AS ({BASKET_RATINGS_SQL}),
-    f AS (SELECT *, {_FOLD_OF_2_SQL} AS fold FROM r),
+    f AS (SELECT *, {_FOLD_SQL} AS fold FROM r),
     seen AS (
         SELECT fold, count(*) OVER () AS total,
                count(*) OVER (PARTITION BY user_id)
@@ -492,15 +572,22 @@ _FOLD_OF_2_SQL = f"CAST({_md5_sql(_KEY_SQL + ", 'fold'")} % 2 AS INTEGER)"
         SELECT fold, any_value(total) - count(*) AS train_count, count(*) AS test_count,
                count(*) FILTER (WHERE clean) AS prediction_count
         FROM seen GROUP BY fold),
-    grid AS (SELECT unnest([0.05, 0.1])::DOUBLE AS reg_param)
-    SELECT fold, 'rank_5_reg_param_' || reg_param || '_max_iter_5' AS model_name,
-           5 AS rank, reg_param, 5 AS max_iter,
+    grid AS (
+        SELECT * FROM (SELECT unnest([5, 10, 20]) AS rank),
+            (SELECT unnest([0.05, 0.1, 0.15])::DOUBLE AS reg_param),
+            (SELECT unnest([5, 10]) AS max_iter))
+    SELECT fold, 'rank_' || rank || '_reg_param_' || reg_param || '_max_iter_' || max_iter
+               AS model_name,
+           rank, reg_param, max_iter,
            train_count, test_count, prediction_count, {_COVERAGE_SQL}
     FROM sizes, grid"""
 )
 def als_cv_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = sweep.config_grid(ranks=(5,), reg_params=(0.05, 0.1), max_iters=(5,))
-    log = sweep.cross_validate_hashed(basket_ratings(spark, sf_dir), grid, 2, MD5)
+    """Five folds x 18 configurations, four fits at a time."""
+    grid = sweep.config_grid(base=_blocks(spark))
+    log = sweep.cross_validate_hashed(
+        basket_ratings(spark, sf_dir), grid, 5, MD5, parallelism=4
+    )
     return _without_timings(log, "fold", "model_name", "rank", "reg_param", "max_iter")
 
 
@@ -513,13 +600,13 @@ _SPLIT_SIZES_SQL = f"""{_WITH_SPLIT},
 
 
 @_register(
-    f"""{_SPLIT_SIZES_SQL}, b AS (SELECT unnest([1, 4]) AS blocks),
-    k AS (SELECT unnest([1, 2]) AS run)
+    f"""{_SPLIT_SIZES_SQL}, b AS (SELECT unnest([2, 4, 10, 20]) AS blocks),
+    k AS (SELECT unnest([1, 2, 3]) AS run)
     SELECT run, blocks AS num_user_blocks, blocks AS num_item_blocks,
            train_count, test_count, prediction_count, {_COVERAGE_SQL} FROM sizes, b, k"""
 )
 def als_block_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = sweep.block_sweep(*_baskets(spark, sf_dir), blocks=(1, 4), runs=2)
+    log = sweep.block_sweep(*_baskets(spark, sf_dir))
     return _without_timings(log, "run", "num_user_blocks", "num_item_blocks")
 
 
@@ -535,23 +622,22 @@ def als_block_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
                 WHERE user_id IN (SELECT user_id FROM slots WHERE slot < percent * 10000)
                   AND item_id IN (SELECT item_id FROM slots WHERE slot < percent * 10000))
                    AS prediction_count
-        FROM fractions)
-    SELECT 1 AS run, percent / 100.0::DOUBLE AS subset_fraction,
-           train_count, test_count, prediction_count, {_COVERAGE_SQL} FROM sizes"""
+        FROM fractions),
+    k AS (SELECT unnest([1, 2, 3]) AS run)
+    SELECT run, percent / 100.0::DOUBLE AS subset_fraction,
+           train_count, test_count, prediction_count, {_COVERAGE_SQL} FROM sizes, k"""
 )
 def als_size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = sweep.size_sweep(
         *_baskets(spark, sf_dir),
-        fractions=(0.25, 0.5, 1.0),
-        runs=1,
-        warmup=False,
+        params=_blocks(spark),
         sample=partial(split.hash_sample, mode=MD5),
     )
     return _without_timings(log, "run", "subset_fraction")
 
 
 @_register(
-    f"""{_SPLIT_SIZES_SQL}, k AS (SELECT unnest([1, 2]) AS run)
+    f"""{_SPLIT_SIZES_SQL}, k AS (SELECT unnest([1, 2, 3]) AS run)
     SELECT run, 'baskets' AS dataset, 'ALS' AS algorithm, train_count,
            prediction_count AS test_count, prediction_count,
            CAST(1 AS DOUBLE) AS coverage, true AS measured FROM sizes, k"""
@@ -559,7 +645,7 @@ def als_size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def als_repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _baskets(spark, sf_dir)
     clean = coldstart.clean_test(train, test)
-    log = sweep.repeated_runs(train, clean, runs=2, dataset="baskets")
+    log = sweep.repeated_runs(train, clean, _blocks(spark), dataset="baskets")
     return _without_timings(log, "run", "dataset", "algorithm")
 
 
@@ -698,58 +784,78 @@ def source_header_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_header_csv(spark, path).ratings
 
 
+# What is wrong with a line, by the last digit of its item, and how the line then ends.
+_FAULTS = {
+    1: ("?", "::3.0::1"),
+    2: ("7.5", "::3.0::1"),
+    3: ("7", "::3.0::late"),
+    4: ("7", "::3.0::1::9"),
+    5: ("7", "::3.0"),
+    6: ("7", "::Infinity::1"),
+    7: ("7", "::::1"),
+    8: ("9223372036854775808", "::3.0::1"),
+    9: ("7", "::3.0::"),
+}
+
+
 @_register(
-    f"""{_WITH_ORDERS} SELECT rating = 5 AS rejected, count(*) AS num_rows,
-    CAST(sum(item_id) AS BIGINT) AS item_sum FROM r GROUP BY 1"""
+    f"""{_WITH_ORDERS} SELECT item_id % 10 <> 0 AS rejected, count(*) AS num_rows
+    FROM r GROUP BY 1"""
 )
 def source_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every five-star line gets an unreadable user; the reader keeps those rows apart."""
+    """All lines but those of items ending in 0 get one of nine faults; the reader keeps exactly
+    those apart: unreadable, fractional and oversized users, wrong or missing timestamps and
+    ratings, a fifth field, a missing field, an infinite rating."""
     ratings = order_ratings(spark, sf_dir)
-    user = F.when(F.col(S.RATING) == 5, F.lit("?")).otherwise(F.col(S.USER).cast("string"))
+    line = F.concat_ws("::", *S.RATING_COLUMNS)
+    for digit, (user, rest) in _FAULTS.items():
+        broken = F.concat(F.lit(f"{user}::"), F.col(S.ITEM).cast("string"), F.lit(rest))
+        line = F.when(F.col(S.ITEM) % 10 == digit, broken).otherwise(line)
     path = work_path(spark, "text")
-    _write_text(ratings.withColumn(S.USER, user), path, "::", None)
+    ratings.select(line.alias("value")).write.text(path)
     kept, rejected = read_double_colon(spark, path)
-    both = kept.select(S.ITEM, F.lit(False).alias("rejected")).unionByName(
-        rejected.select(S.ITEM, F.lit(True).alias("rejected"))
-    )
-    return both.groupBy("rejected").agg(
-        F.count("*").alias("num_rows"), F.sum(S.ITEM).alias("item_sum")
+    both = kept.select(F.lit(False).alias("rejected")).unionByName(
+        rejected.select(F.lit(True).alias("rejected"))
     )
+    return both.groupBy("rejected").agg(F.count("*").alias("num_rows"))
 
 
 @_register(
-    f"""{_WITH_ORDERS}, f AS (SELECT *, {_FOLD_SQL} AS own FROM r),
+    f"""{_WITH_ORDERS}, f AS (SELECT *, {_FOLD_SQL} AS own, item_id % 7 = 0 AS bad FROM r),
     k AS (SELECT unnest(range(5)) AS n)
-    SELECT CAST(n + 1 AS INTEGER) AS fold, count(*) FILTER (WHERE own <> n) AS train_rows,
-           count(*) FILTER (WHERE own = n) AS test_rows,
-           round(avg(rating) FILTER (WHERE own = n), 6) AS mean_test_rating
+    SELECT CAST(n + 1 AS INTEGER) AS fold, count(*) FILTER (WHERE NOT bad AND own <> n) AS train_rows,
+           count(*) FILTER (WHERE NOT bad AND own = n) AS test_rows,
+           count(*) FILTER (WHERE bad) AS rejected_rows,
+           round(avg(rating) FILTER (WHERE NOT bad AND own = n), 6) AS mean_test_rating
     FROM f, k GROUP BY n"""
 )
 def source_fold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five ready-made fold files, written from one table and read back pair by pair."""
+    """Five ready-made fold files, written from one table and read back pair by pair. Lines of
+    every seventh item have no rating and are counted as rejected."""
     base = work_path(spark, "folds")
     numbers = F.explode(F.sequence(F.lit(0), F.lit(4)))
+    rating = F.when(F.col(S.ITEM) % 7 == 0, F.lit("")).otherwise(F.col(S.RATING).cast("string"))
     member = F.when(F.col("n") == F.col(split.FOLD), F.lit("test")).otherwise(F.lit("base"))
     split.with_fold(order_ratings(spark, sf_dir), 5, MD5).withColumn("n", numbers).select(
-        F.concat_ws("\t", *S.RATING_COLUMNS).alias("value"),
+        F.concat_ws("\t", S.USER, S.ITEM, rating, S.TIMESTAMP).alias("value"),
         F.format_string("u%d.%s", F.col("n") + 1, member).alias("part"),
     ).write.partitionBy("part").text(base)
 
     parts = []
     for fold in range(1, 6):
-        pair = read_fold(spark, base, fold, "part=u{fold}.base", "part=u{fold}.test")
+        parsed = read_fold(spark, base, fold, "part=u{fold}.base", "part=u{fold}.test")
         parts += [
-            rows.withColumn("fold", F.lit(fold)).withColumn("is_test", F.lit(is_test))
-            for rows, is_test in zip(pair, (False, True), strict=True)
+            rows.select(F.lit(fold).alias("fold"), F.lit(kind).alias("kind"), S.RATING)
+            for kind, rows in zip(("train", "test", "rejected"), parsed, strict=True)
         ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    rows = reduce(DataFrame.unionByName, parts)
     return _rounded(
         rows.groupBy("fold").agg(
-            F.count_if(~F.col("is_test")).alias("train_rows"),
-            F.count_if("is_test").alias("test_rows"),
-            F.avg(F.when(F.col("is_test"), F.col(S.RATING))).alias("mean_test_rating"),
+            *(
+                F.count_if(F.col("kind") == kind).alias(f"{kind}_rows")
+                for kind in ("train", "test", "rejected")
+            ),
+            F.avg(F.when(F.col("kind") == "test", F.col(S.RATING))).alias("mean_test_rating"),
         )
     )
 
@@ -769,7 +875,7 @@ def sink_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "csv")
     summary = _rounded(runlog.scaling_report(event_run_log(spark, sf_dir)))
-    write_single_csv(summary, path)
+    write_single_csv(summary, path, "num_cores")
     return spark.read.schema(summary.schema).option("header", True).csv(path)
 
 
@@ -791,14 +897,44 @@ def sink_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Layout ----------------------------------------------------------------------------
 
 
-@_register()
+@_register(
+    f"""{_WITH_ORDERS} SELECT CAST(64 AS BIGINT) AS partitions, count(*) AS num_rows, true AS balanced
+    FROM r"""
+)
 def partition_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.partition_balance(order_ratings(spark, sf_dir), 2)
+    """Rows per partition after a repartition into 64, put into one row."""
+    balance = layout.partition_balance(order_ratings(spark, sf_dir), 64)
+    mean = F.sum("num_rows") / F.count("*")
+    return balance.agg(
+        F.count("*").alias("partitions"),
+        F.sum("num_rows").alias("num_rows"),
+        ((F.min("num_rows") > mean * 0.5) & (F.max("num_rows") < mean * 1.5)).alias("balanced"),
+    )
 
 
-@_register()
+@_register(
+    f"""{_WITH_ORDERS} SELECT rating, count(*) AS num_rows, true AS placed FROM r GROUP BY rating"""
+)
 def group_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.group_partitions(order_ratings(spark, sf_dir), S.RATING)
+    """Each group once, in the one of 200 partitions that its key hashes to."""
+    placed = layout.group_partitions(order_ratings(spark, sf_dir), S.RATING)
+    own = F.col(layout.PARTITION) == F.pmod(F.hash(S.RATING), F.lit(200))
+    return placed.select(S.RATING, "num_rows", own.alias("placed"))
+
+
+@_register(
+    f"""{_WITH_ORDERS} SELECT CAST(48 AS INTEGER) AS wide, CAST(5 AS INTEGER) AS merged,
+    count(*) AS num_rows FROM r"""
+)
+def partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions of a frame after a repartition, and after merging them without a shuffle."""
+    wide = order_ratings(spark, sf_dir).repartition(48)
+    merged = wide.coalesce(5)
+    return merged.agg(F.count("*").alias("num_rows")).select(
+        F.lit(layout.partition_count(wide)).alias("wide"),
+        F.lit(layout.partition_count(merged)).alias("merged"),
+        "num_rows",
+    )
 
 
 @_register(

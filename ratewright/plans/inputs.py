@@ -29,8 +29,8 @@ def order_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").cast("int").alias(S.USER),
-        F.col("l_partkey").cast("int").alias(S.ITEM),
+        F.col("o_custkey").cast("bigint").alias(S.USER),
+        F.col("l_partkey").cast("bigint").alias(S.ITEM),
         _stars(),
         epoch_seconds("o_orderdate").alias(S.TIMESTAMP),
     )
@@ -40,8 +40,8 @@ def basket_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders rate parts by line position: one row per line item, about four per user and
     per item, so that a tenth of the rows holds many users and items the rest does not."""
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("int").alias(S.USER),
-        (F.col("l_partkey") * 8 + F.col("l_linenumber")).cast("int").alias(S.ITEM),
+        F.col("l_orderkey").cast("bigint").alias(S.USER),
+        (F.col("l_partkey") * 8 + F.col("l_linenumber")).cast("bigint").alias(S.ITEM),
         _stars(),
         epoch_seconds("l_shipdate").alias(S.TIMESTAMP),
     )

@@ -2,39 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import uuid
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratewright import schema as S
 from ratewright.functions.hashing import XXHASH64
-from ratewright.operators import coldstart, runlog, split, sweep
+from ratewright.operators import coldstart, profile, runlog, split, sweep
 from ratewright.operators.als import ALSParams
-from ratewright.sources import write_json, write_parquet, write_single_csv
-
+from ratewright.sources import ParsedRatings, write_json, write_parquet, write_single_csv
 
 CLEAN = "clean"
+# Runs that may be averaged and compared: one dataset, one set of parameters.
+RUN_GROUP = ["dataset", "rank", "reg_param", "max_iter", "num_user_blocks", "num_item_blocks"]
 
 
-def prepare(ratings: DataFrame, out_dir: str, mode: str = XXHASH64) -> DataFrame:
+def prepare(
+    ratings: DataFrame | ParsedRatings, out_dir: str, mode: str = XXHASH64
+) -> DataFrame:
     """Split ratings, mark cold-start test rows, store everything, and report.
 
     Writes ``{out_dir}/ratings``, one directory per split; the keys of the training set,
     ``known_users`` and ``known_items``; and ``test``, the test rows with their seen flags,
-    one directory per ``clean``. The source is read once and the cold-start joins run once.
-    Each step reads the stored tables of the one before, so a lost executor costs a re-read,
-    not a second parse or a second join.
+    one directory per ``clean``. The source is read once for the ratings and the cold-start
+    joins run once. Each step reads the stored tables of the one before, so a lost executor
+    costs a re-read, not a second parse or a second join.
+
+    The report row holds the cold-start report, the profile of the stored ratings, and
+    ``source_rows`` (counted on their way into the split), ``train_rows``, ``rejected_rows`` (of
+    parsed ratings) and ``reconciled``: the stored sets add up to the source.
     """
-    spark = ratings.sparkSession
+    parsed = ratings if isinstance(ratings, ParsedRatings) else ParsedRatings(ratings, None)
+    spark = parsed.ratings.sparkSession
     out_dir = out_dir.rstrip("/")
-    write_parquet(split.with_split_label(ratings, mode), f"{out_dir}/ratings", split.SPLIT)
+    seen = Observation()
+    source = parsed.ratings.observe(seen, F.count(F.lit(1)).alias("rows"))
+    write_parquet(split.with_split_label(source, mode), f"{out_dir}/ratings", split.SPLIT)
+    source_rows = seen.get["rows"]
+    rejected_rows = 0 if parsed.rejected is None else parsed.rejected.count()
     train, test = read_split(spark, out_dir)
     users = _stored_keys(train, S.USER, f"{out_dir}/known_users")
     items = _stored_keys(train, S.ITEM, f"{out_dir}/known_items")
     flagged = coldstart.flag_seen(test, users, items)
     write_parquet(flagged.withColumn(CLEAN, coldstart.is_clean()), f"{out_dir}/test", CLEAN)
-    return coldstart.flag_report(_stored_test(spark, out_dir))
+
+    report = coldstart.flag_report(_stored_test(spark, out_dir))
+    whole = profile.matrix_profile(train.unionByName(test))
+    trained = train.agg(F.count("*").alias("train_rows"))
+    return report.select(
+        "*",
+        *(whole.select(c).scalar().alias(c) for c in whole.columns),
+        F.lit(source_rows).cast("bigint").alias("source_rows"),
+        trained.scalar().alias("train_rows"),
+        F.lit(rejected_rows).cast("bigint").alias("rejected_rows"),
+    ).withColumn(
+        "reconciled", F.col("train_rows") + F.col("test_rows") == F.col("source_rows")
+    )
 
 
 def read_split(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -77,23 +103,31 @@ def timed_training(
 ) -> DataFrame:
     """Repeated runs on this session, stored with their scaling summary; returns the summary.
 
-    Runs on other core counts come from other sessions: pass their stored log as
-    ``earlier_runs``, read from a different ``out_dir``.
+    Every session writes its log to a path of its own, ``{out_dir}/runs/session=<id>``, and the
+    summary is over all sessions in ``out_dir`` and ``earlier_runs``, so nothing that was logged
+    is overwritten. Runs of different datasets or parameters are never averaged together: the
+    summary has a group for each, with its own one-core baseline.
     """
     out_dir = out_dir.rstrip("/")
     log = sweep.repeated_runs(train, test, params, runs, True, dataset, num_cores)
+    write_parquet(log, f"{out_dir}/runs/session={uuid.uuid4().hex}")
+    every = read_runs(log.sparkSession, out_dir)
     if earlier_runs is not None:
-        log = earlier_runs.unionByName(log)
-    write_parquet(log, f"{out_dir}/runs")
-    stored = log.sparkSession.read.schema(S.RUN_LOG).parquet(f"{out_dir}/runs")
-    summary = runlog.scaling_report(stored)
+        every = every.unionByName(earlier_runs.select(*every.columns))
+    summary = runlog.scaling_report(every, RUN_GROUP)
     write_parquet(summary, f"{out_dir}/summary")
-    write_single_csv(summary, f"{out_dir}/summary_csv")
+    write_single_csv(summary, f"{out_dir}/summary_csv", *RUN_GROUP, "num_cores")
     return summary
 
 
+def read_runs(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The run logs of all sessions that ``timed_training`` stored in ``out_dir``."""
+    runs = spark.read.schema(S.RUN_LOG).parquet(f"{out_dir.rstrip('/')}/runs")
+    return runs.select(*S.RUN_LOG.fieldNames())
+
+
 def grid_search(
-    folds: Iterable[tuple[int, DataFrame, DataFrame]],
+    folds: Iterable[tuple],
     out_dir: str,
     grid: Mapping[str, ALSParams] | None = None,
     dataset: str | None = None,
@@ -102,10 +136,21 @@ def grid_search(
     """Every configuration on every fold, stored as JSON lines; returns the summary.
 
     ``folds`` are (number, train, test), such as
-    ``((n, *read_fold(spark, base, n)) for n in range(1, 6))``. The default grid has 18
-    configurations. The summary lists the lowest mean RMSE first.
+    ``((n, *read_fold(spark, base, n)) for n in range(1, 6))``, with the rows that are not
+    ratings as a fourth member if there are any. Those are stored as ``{out_dir}/rejected``,
+    one directory per fold. The default grid has 18 configurations. The summary lists the
+    lowest mean RMSE first.
     """
-    log = sweep.cross_validate(folds, grid or sweep.config_grid(), dataset, parallelism)
+
+    def accepted() -> Iterator[tuple[int, DataFrame, DataFrame]]:
+        for number, train, test, *rejected in folds:
+            for rows in rejected:
+                # Kept as text: the columns of a rejected row depend on what is wrong with it.
+                text = rows.select(F.to_json(F.struct(*rows.columns)).alias("row"))
+                write_parquet(text, f"{out_dir.rstrip('/')}/rejected/fold={number}")
+            yield number, train, test
+
+    log = sweep.cross_validate(accepted(), grid or sweep.config_grid(), dataset, parallelism)
     path = f"{out_dir.rstrip('/')}/grid_runs"
     write_json(log, path)
     return runlog.grid_summary(log.sparkSession.read.schema(S.RUN_LOG).json(path))

@@ -9,11 +9,12 @@ ITEM = "item_id"
 RATING = "rating"
 TIMESTAMP = "timestamp"
 
-# timestamp is epoch seconds, never a Spark timestamp.
+# Keys are BIGINT in every relational step; only ``als.fit`` needs them within INT. timestamp is
+# epoch seconds, never a Spark timestamp.
 RATINGS = T.StructType(
     [
-        T.StructField(USER, T.IntegerType()),
-        T.StructField(ITEM, T.IntegerType()),
+        T.StructField(USER, T.LongType()),
+        T.StructField(ITEM, T.LongType()),
         T.StructField(RATING, T.DoubleType()),
         T.StructField(TIMESTAMP, T.LongType()),
     ]

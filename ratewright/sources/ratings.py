@@ -1,9 +1,12 @@
 """Ratings readers.
 
 The file schema is given, so no reader scans the data twice to infer types; inference stays
-available for tab files because the notebooks this replaces used it. Rows that lack a user,
-an item or a rating, or hold a value outside its type, are kept apart in ``rejected``:
-training fails on them, and a hash that skips NULLs would still place them in a split.
+available for tab files because the notebooks this replaces used it. A row becomes canonical
+only if nothing is lost on the way: all four values are there, the line has as many fields as
+the format, each value fits its type unchanged (no fractional or oversized key) and the
+rating is finite. Every other row is kept apart in ``rejected``: training fails on some of
+them, and a hash that skips NULLs would still place them in a split. To see a line's further
+fields the whole line is parsed, so text sources don't prune columns.
 """
 
 from __future__ import annotations
@@ -12,11 +15,12 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratewright import schema as S
 
-RATINGS_DDL = "user_id INT, item_id INT, rating DOUBLE, timestamp BIGINT"
-HEADER_DDL = "userId INT, movieId INT, rating DOUBLE, timestamp BIGINT"
+RATINGS_DDL = "user_id BIGINT, item_id BIGINT, rating DOUBLE, timestamp BIGINT"
+HEADER_DDL = "userId BIGINT, movieId BIGINT, rating DOUBLE, timestamp BIGINT"
 HEADER_NAMES = {"userId": S.USER, "movieId": S.ITEM}
 CORRUPT = "_corrupt_record"
 
@@ -31,16 +35,18 @@ class ParsedRatings(NamedTuple):
 def parse_ratings(frame: DataFrame) -> ParsedRatings:
     """Cast to the canonical types and separate the rows that do not fit them.
 
-    ``frame`` has the canonical names; other columns are kept in ``rejected`` only. Both
-    results read the source independently, so ``ratings`` alone still prunes columns.
+    ``frame`` has the canonical names; other columns are kept in ``rejected`` only.
     """
     cast = {f.name: F.col(f.name).try_cast(f.dataType) for f in S.RATINGS.fields}
-    usable = (
-        cast[S.USER].isNotNull()
-        & cast[S.ITEM].isNotNull()
-        & cast[S.RATING].isNotNull()
-        & ~F.isnan(cast[S.RATING])
-    )
+    usable = F.abs(cast[S.RATING]) < F.lit(float("inf"))  # false for NaN, NULL for NULL
+    for name, value in cast.items():
+        usable &= value.isNotNull()
+        kind = frame.schema[name].dataType
+        if name != S.RATING and isinstance(kind, (T.FractionalType, T.StringType)):
+            usable &= value.cast("double") == F.col(name).try_cast("double")
+    if CORRUPT in frame.columns:
+        usable &= F.col(CORRUPT).isNull()
+    usable = F.coalesce(usable, F.lit(False))
     ratings = frame.filter(usable).select(*[c.alias(n) for n, c in cast.items()])
     return ParsedRatings(ratings, frame.filter(~usable))
 
@@ -57,7 +63,13 @@ def read_tab(spark: SparkSession, path: str, infer_schema: bool = False) -> Pars
     """Tab-separated text without a header; columns are taken by position."""
     if infer_schema:
         inferred = spark.read.csv(path, sep="\t", inferSchema=True)
-        return parse_ratings(inferred.toDF(*S.RATING_COLUMNS))
+        names = [*S.RATING_COLUMNS, *(f"_extra{i}" for i in range(len(inferred.columns) - 4))]
+        missing = [F.lit(None).alias(n) for n in names[len(inferred.columns) :]]
+        frame = inferred.toDF(*names[: len(inferred.columns)]).select("*", *missing)
+        extra = [F.col(n).cast("string") for n in names[4:]]
+        if extra:
+            frame = frame.withColumn(CORRUPT, F.coalesce(*extra))
+        return parse_ratings(frame)
     return parse_ratings(_read_text(spark, path, RATINGS_DDL, sep="\t"))
 
 
@@ -73,10 +85,18 @@ def read_header_csv(spark: SparkSession, path: str) -> ParsedRatings:
 
 
 def read_parquet(spark: SparkSession, path: str) -> ParsedRatings:
-    """Parquet with the canonical column names; wider key types are narrowed with a check."""
+    """Parquet with the canonical column names; other key types are converted with a check."""
     return parse_ratings(spark.read.parquet(path))
 
 
+class ParsedFold(NamedTuple):
+    """Train and test ratings of a fold, and the rows of either file that are not ratings."""
+
+    train: DataFrame
+    test: DataFrame
+    rejected: DataFrame
+
+
 def read_fold(
     spark: SparkSession,
     base: str,
@@ -84,8 +104,11 @@ def read_fold(
     train: str = "u{fold}.base",
     test: str = "u{fold}.test",
     infer_schema: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """Train and test ratings of one ready-made fold, from a path template."""
+) -> ParsedFold:
+    """One ready-made fold, from a path template. ``rejected`` names its ``part``."""
     paths = (f"{base.rstrip('/')}/{name.format(fold=fold)}" for name in (train, test))
-    train_rows, test_rows = (read_tab(spark, p, infer_schema).ratings for p in paths)
-    return train_rows, test_rows
+    train_rows, test_rows = (read_tab(spark, p, infer_schema) for p in paths)
+    rejected = train_rows.rejected.withColumn("part", F.lit("train")).unionByName(
+        test_rows.rejected.withColumn("part", F.lit("test")), allowMissingColumns=True
+    )
+    return ParsedFold(train_rows.ratings, test_rows.ratings, rejected)

@@ -14,8 +14,8 @@ def ratings(spark, rows):
 def random_ratings(spark, n=3000, users=60, items=80, partitions=4):
     i = F.col("id")
     return spark.range(0, n, 1, partitions).select(
-        F.pmod(F.xxhash64(i, F.lit("u")), F.lit(users)).cast("int").alias("user_id"),
-        F.pmod(F.xxhash64(i, F.lit("i")), F.lit(items)).cast("int").alias("item_id"),
+        F.pmod(F.xxhash64(i, F.lit("u")), F.lit(users)).cast("bigint").alias("user_id"),
+        F.pmod(F.xxhash64(i, F.lit("i")), F.lit(items)).cast("bigint").alias("item_id"),
         (1 + F.pmod(F.xxhash64(i, F.lit("r")), F.lit(5))).cast("double").alias("rating"),
         F.pmod(F.xxhash64(i, F.lit("t")), F.lit(1000)).alias("timestamp"),
     )
@@ -27,8 +27,8 @@ def low_rank(spark):
     pairs = spark.range(200 * 100).selectExpr("id div 100 AS u", "id % 100 AS i")
     rating = (1 + u % 5) * (1 + i % 4) / 4.0 + (u % 3) * (i % 7) / 8.0
     kept = pairs.filter(F.pmod(F.xxhash64("u", "i"), F.lit(10)) < 4).select(
-        u.cast("int").alias("user_id"),
-        i.cast("int").alias("item_id"),
+        u.cast("bigint").alias("user_id"),
+        i.cast("bigint").alias("item_id"),
         rating.cast("double").alias("rating"),
         F.lit(0).cast("bigint").alias("timestamp"),
         (F.pmod(F.xxhash64(u, i, F.lit(7)), F.lit(10)) == 9).alias("is_test"),

@@ -4,9 +4,12 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from data import plan, random_ratings, ratings, rows
+from ratewright import schema as S
+from ratewright.functions import order_hash
 from ratewright.functions.hashing import MD5, XXHASH64
 from ratewright.operators import holdout
 
@@ -22,16 +25,27 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("mode", [XXHASH64, MD5])
-@pytest.mark.parametrize(
-    "limits",
-    [{"rows_per_task": 50}, {"rows_per_task": 7}, {"rows_per_task": 7, "max_named_users": 3}],
-    ids=["one-large-user", "many-large-users", "too-many-to-name"],
-)
-def test_sliced_ranks_equal_the_window(spark, mode, limits, monkeypatch):
+@pytest.mark.parametrize("slices", [1, 8, 64, 4096])
+def test_sliced_ranks_equal_the_window(spark, mode, slices, monkeypatch):
     monkeypatch.setattr(holdout, "COPIES_PER_CHUNK", 16)
     frame = skewed(spark)
-    expected = rows(holdout.shuffle_rank(frame, mode))
-    assert rows(holdout.shuffle_rank(frame, mode, **limits)) == expected
+    user = Window.partitionBy("user_id")
+    order = order_hash(S.RATING_COLUMNS, mode, holdout.SHUFFLE_SALT)
+    expected = frame.select(
+        "*",
+        F.row_number().over(user.orderBy(order, "item_id", "timestamp", "rating")).alias("n"),
+        F.count("*").over(user).alias("total"),
+    )
+    assert rows(holdout.shuffle_rank(frame, mode, slices)) == rows(expected)
+
+
+def test_building_the_frame_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("holdout-plan", "")
+    holdout.user_holdout(skewed(spark))
+    jobs = tracker.getJobIdsForGroup("holdout-plan")
+    spark.sparkContext.setJobGroup("other", "")
+    assert list(jobs) == []
 
 
 def test_ranks_number_each_user_once(spark):
@@ -69,19 +83,28 @@ def test_user_with_fewer_than_five_ratings_keeps_all(spark):
     assert holdout.user_holdout(frame).filter("held_out").count() == 0
 
 
-def test_one_exchange_for_rank_and_total(spark):
-    found = plan(holdout.user_holdout(random_ratings(spark)))
-    assert found.count("Exchange hashpartitioning(user_id") == 1
-    assert found.count("Exchange") == 1
-
-
-def test_large_users_are_not_sorted_in_one_task(spark):
-    ranked = holdout.shuffle_rank(skewed(spark), rows_per_task=50)
-    found = plan(ranked)
+def test_no_user_is_sorted_in_one_task(spark):
+    found = plan(holdout.shuffle_rank(skewed(spark)))
     assert "hashpartitioning(user_id" in found and "_slice" in found
     assert "SinglePartition" not in found
 
 
+def test_the_source_is_read_once(spark, tmp_path):
+    random_ratings(spark).write.parquet(str(tmp_path / "r"))
+    ranked = holdout.shuffle_rank(spark.read.parquet(str(tmp_path / "r")))
+    ranked.collect()
+    final = plan(ranked).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") - final.count("ReusedExchange") <= 1
+
+
+def test_keys_beyond_int(spark):
+    big = 1 << 40
+    frame = ratings(spark, [(big + u, big * 3 + i, 1.0, i) for u in range(3) for i in range(10)])
+    held = holdout.user_holdout(frame).collect()
+    assert {r.user_id for r in held} == {big, big + 1, big + 2}
+    assert sum(r.held_out for r in held) == 6
+
+
 def test_empty_input(spark):
     assert holdout.user_holdout(ratings(spark, [])).count() == 0
 

@@ -19,9 +19,7 @@ def test_partition_balance(spark):
 
 def test_group_partitions_follow_the_shuffle(spark):
     frame = random_ratings(spark)
-    settings = {"spark.sql.adaptive.enabled": False, "spark.sql.shuffle.partitions": 3}
-    with layout.scoped_conf(spark, settings):
-        placed = layout.group_partitions(frame, "rating").collect()
+    placed = layout.group_partitions(frame, "rating", width=3).collect()
     assert {r.rating: r.num_rows for r in placed} == {
         r.rating: r.num_ratings for r in profile.rating_histogram(frame).collect()
     }

@@ -5,19 +5,19 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from data import plan
 from ratewright.operators import layout, profile, split
 from ratewright.plans import inputs
+from ratewright.plans.catalogue import CATALOGUE
 from ratewright.sources import read_header_csv, write_parquet
 
 # Fits a model, or runs jobs to build its result: the plan is only that of a small table.
-RUNS_FITS = {n for n in contract.queries() if n.startswith("als_")}
+RUNS_FITS = {n for n in CATALOGUE if n.startswith("als_")}
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - RUNS_FITS))
+@pytest.mark.parametrize("name", sorted(set(CATALOGUE) - RUNS_FITS))
 def test_no_python_and_no_cross_join(spark, sf_dir, name):
-    found = plan(contract.queries()[name](spark, sf_dir))
+    found = plan(CATALOGUE[name].query(spark, sf_dir))
     for node in ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"):
         assert node not in found
     assert "CartesianProduct" not in found and "BroadcastNestedLoopJoin" not in found
@@ -49,11 +49,20 @@ def test_stored_split_is_pruned_and_key_filter_pushed(spark, sf_dir, tmp_path):
     assert "EqualTo(user_id,873)" in found
 
 
-def test_csv_source_parses_only_the_columns_in_use(spark, tmp_path):
+def test_csv_source_sees_whole_lines_whatever_is_selected(spark, tmp_path):
+    """Pruned columns would hide a line's faults: which rows are ratings must not depend on it."""
     path = tmp_path / "r.csv"
-    path.write_text("userId,movieId,rating,timestamp\n1,2,3.0,4\n")
-    found = plan(read_header_csv(spark, str(path)).ratings.select("user_id"))
-    assert "timestamp" not in found.split("ReadSchema: ")[1].split("\n")[0]
+    path.write_text("userId,movieId,rating,timestamp\n1,2,3.0,4\n2,2,3.0,late\n3,2,3.0,4,5\n")
+    found = read_header_csv(spark, str(path)).ratings.select("user_id")
+    assert [r.user_id for r in found.collect()] == [1]
+
+
+def test_cold_start_of_a_bucketed_table_takes_two_scans(spark, sf_dir):
+    for name in ("clean_test", "coldstart_report"):
+        result = CATALOGUE[name].query(spark, sf_dir)
+        result.collect()
+        final = plan(result).split("== Initial Plan ==")[0]
+        assert final.count("FileScan") - final.count("ReusedExchange") <= 2
 
 
 def test_profile_is_one_scan(spark, sf_dir):
@@ -62,7 +71,7 @@ def test_profile_is_one_scan(spark, sf_dir):
 
 
 def test_test_only_keys_are_one_scan_and_one_shuffle(spark, sf_dir):
-    found = plan(contract.queries()["test_only_users"](spark, sf_dir))
+    found = plan(CATALOGUE["test_only_users"].query(spark, sf_dir))
     assert found.count("FileScan") == 1 and found.count("Exchange") == 1
 
 

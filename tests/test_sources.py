@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -49,13 +54,25 @@ def test_inferred_integers_hash_like_given_types(spark, tmp_path):
 
 def test_double_colon_keeps_malformed_lines_apart(spark, tmp_path):
     path = _file(
-        tmp_path, "1::2::3::4", "x::1::2::3", "5::6::4.5::8", "7::8::::9", "3000000000::1::2::3"
+        tmp_path, "1::2::3::4", "x::1::2::3", "5::6::4.5::8", "7::8::::9", f"{1 << 63}::1::2::3"
     )
     parsed = read_double_colon(spark, path)
     assert rows(parsed.ratings) == GOOD
     assert parsed.rejected.count() == 3
     bad_lines = {r[0] for r in parsed.rejected.select("_corrupt_record").collect()}
-    assert {"x::1::2::3", "3000000000::1::2::3"} <= bad_lines
+    assert {"x::1::2::3", f"{1 << 63}::1::2::3"} <= bad_lines
+
+
+FAULTS = ["2\t3\t4.0\tbad", "2\t3\t4.0\t1\t9", "2\t3\t4.0", "2\t3\tInfinity\t1", "2\t3\tNaN\t1",
+          "1.5\t3\t4.0\t1", "2\t\t4.0\t1", "2\t3\t4.0\t"]
+
+
+@pytest.mark.parametrize("infer", [False, True])
+@pytest.mark.parametrize("fault", FAULTS)
+def test_faulty_lines_are_kept_apart(spark, tmp_path, fault, infer):
+    parsed = read_tab(spark, _file(tmp_path, "1\t2\t3\t4", fault, "5\t6\t4.5\t8"), infer)
+    assert rows(parsed.ratings) == GOOD
+    assert parsed.rejected.count() == 1
 
 
 def test_header_csv(spark, tmp_path):
@@ -63,20 +80,20 @@ def test_header_csv(spark, tmp_path):
     assert rows(read_header_csv(spark, path).ratings) == GOOD
 
 
-def test_parquet_narrows_keys_with_a_check(spark, tmp_path):
+def test_parquet_converts_keys_with_a_check(spark, tmp_path):
     path = str(tmp_path / "wide")
     wide = spark.createDataFrame(
-        [*GOOD, (3_000_000_000, 1, 2.0, 3), (1, None, 2.0, 3), (1, 1, float("nan"), 3)],
-        "user_id BIGINT, item_id BIGINT, rating DOUBLE, timestamp BIGINT",
+        [*GOOD, (1.5, 1, 2.0, 3), (1.0, None, 2.0, 3), (1.0, 1, float("nan"), 3), (1e30, 1, 2.0, 3)],
+        "user_id DOUBLE, item_id BIGINT, rating DOUBLE, timestamp BIGINT",
     )
     write_parquet(wide, path)
     parsed = read_parquet(spark, path)
     assert rows(parsed.ratings) == GOOD
-    assert parsed.rejected.count() == 3
+    assert parsed.rejected.count() == 4
 
 
 def test_parse_splits_every_row_once(spark):
-    frame = spark.createDataFrame([(1, None, 1.0, None), (1, 1, 1.0, None)], S.RATINGS)
+    frame = spark.createDataFrame([(1, None, 1.0, 2), (1, 1, 1.0, 2)], S.RATINGS)
     parsed = parse_ratings(frame)
     assert (parsed.ratings.count(), parsed.rejected.count()) == (1, 1)
 
@@ -88,9 +105,10 @@ def test_missing_file(spark, tmp_path):
 
 def test_fold_files(spark, tmp_path):
     (tmp_path / "u2.base").write_text("1\t2\t3\t4\n")
-    (tmp_path / "u2.test").write_text("5\t6\t4.5\t8\n")
-    train, test = read_fold(spark, str(tmp_path), 2)
+    (tmp_path / "u2.test").write_text("5\t6\t4.5\t8\nx\t6\t4.5\t8\n")
+    train, test, rejected = read_fold(spark, str(tmp_path), 2)
     assert (rows(train), rows(test)) == ([GOOD[0]], [GOOD[1]])
+    assert [(r.item_id, r.part) for r in rejected.collect()] == [(6, "test")]
 
 
 def test_run_log_frame(spark):
@@ -104,12 +122,11 @@ def test_run_log_frame(spark):
         run_log_frame(spark, [{"speed": 1}])
 
 
-def test_single_csv_is_one_file_and_refuses_large_input(spark, tmp_path):
+def test_single_csv_is_one_sorted_file(spark, tmp_path):
     path = tmp_path / "out"
-    write_single_csv(ratings(spark, GOOD).repartition(2), str(path))
-    assert len(list(path.glob("*.csv"))) == 1
-    with pytest.raises(ValueError, match="more than 1 rows"):
-        write_single_csv(ratings(spark, GOOD), str(tmp_path / "other"), max_rows=1)
+    write_single_csv(ratings(spark, GOOD[::-1]).repartition(2), str(path), "user_id")
+    (file,) = path.glob("*.csv")
+    assert file.read_text().split()[1:] == ["1,2,3.0,4", "5,6,4.5,8"]
 
 
 def test_json_keeps_nulls(spark, tmp_path):
@@ -130,3 +147,19 @@ def test_work_path_is_under_the_configured_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = work_path(spark, "a"), work_path(spark, "a")
     assert first.startswith(root) and first != second
+
+
+def test_no_work_path_outlives_its_session(tmp_path):
+    """A session of its own that sets no folder: what it writes is gone when it ends."""
+    script = (
+        "import sys; from pyspark.sql import SparkSession; from ratewright.sources import work_path;"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate();"
+        "p = work_path(s, 'x'); s.range(3).write.parquet(p); print('AT', p, s.read.parquet(p).count())"
+    )
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300,
+        env=os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parent.parent)},
+    )
+    _, path, count = next(x for x in done.stdout.splitlines() if x.startswith("AT")).split()
+    folder = Path(path.removeprefix("file:"))
+    assert count == "3" and tmp_path in folder.parents and not folder.exists()
