@@ -165,7 +165,12 @@ def count_tokens(
         "append"
     ).parquet(cache_path)
 
+    # Joined on the digest's hex form: the (small) counts are then shuffled once more after their
+    # aggregation, and Spark can split the rows of a very frequent content.
     rows = docs.select(
-        F.col(id_col).alias("id"), digest, F.octet_length(content).cast("bigint").alias("n_bytes")
+        F.col(id_col).alias("id"),
+        F.sha2(content, 256).alias("name"),
+        F.octet_length(content).cast("bigint").alias("n_bytes"),
     )
-    return rows.join(stored(), "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    counts = stored().select(F.lower(F.hex("digest")).alias("name"), "n_tokens")
+    return rows.join(counts, "name").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
