@@ -66,9 +66,11 @@ def shuffle_rank(ratings: DataFrame, mode: str = XXHASH64, slices: int = SLICES)
     in_slice = Window.partitionBy(S.USER, _SLICE).orderBy(_ORDER, *_TIE_BREAK)
     last = F.sum("_copies").over(in_slice.rowsBetween(Window.unboundedPreceding, 0))
     ranked = distinct_rows.withColumn("_before", last - F.col("_copies"))
-    # Every slice has an offset; a left join keeps Spark from adding a filter on the slice,
-    # which would hash every row a second time.
-    placed = ranked.join(offsets, [S.USER, _SLICE], "left").select(
+    offsets = offsets.withColumnsRenamed({S.USER: "_user", _SLICE: "_user_slice"})
+    # Every slice has an offset, also that of a NULL user. Null-safe equality also keeps Spark
+    # from adding a filter to one side, which would read the source a second time.
+    same = F.col(S.USER).eqNullSafe(F.col("_user")) & F.col(_SLICE).eqNullSafe(F.col("_user_slice"))
+    placed = ranked.join(offsets, same, "left").select(
         *S.RATING_COLUMNS, TOTAL, (F.col("_offset") + F.col("_before")).alias("_before"), "_copies"
     )
     return _unroll_copies(placed)

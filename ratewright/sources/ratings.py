@@ -62,14 +62,11 @@ def _read_text(spark: SparkSession, path: str, ddl: str, **options: object) -> D
 def read_tab(spark: SparkSession, path: str, infer_schema: bool = False) -> ParsedRatings:
     """Tab-separated text without a header; columns are taken by position."""
     if infer_schema:
-        inferred = spark.read.csv(path, sep="\t", inferSchema=True)
-        names = [*S.RATING_COLUMNS, *(f"_extra{i}" for i in range(len(inferred.columns) - 4))]
-        missing = [F.lit(None).alias(n) for n in names[len(inferred.columns) :]]
-        frame = inferred.toDF(*names[: len(inferred.columns)]).select("*", *missing)
-        extra = [F.col(n).cast("string") for n in names[4:]]
-        if extra:
-            frame = frame.withColumn(CORRUPT, F.coalesce(*extra))
-        return parse_ratings(frame)
+        # The types only; the rows are read with them, so that further fields are noticed.
+        inferred = spark.read.csv(path, sep="\t", inferSchema=True).dtypes
+        kinds = [kind for _, kind in inferred[:4]] + ["string"] * (4 - len(inferred))
+        ddl = ", ".join(f"{n} {k}" for n, k in zip(S.RATING_COLUMNS, kinds, strict=True))
+        return parse_ratings(_read_text(spark, path, ddl, sep="\t"))
     return parse_ratings(_read_text(spark, path, RATINGS_DDL, sep="\t"))
 
 

@@ -47,7 +47,7 @@ def test_labels_match_the_pair(spark):
 
 def test_reconciliation(spark):
     ratings = random_ratings(spark)
-    (row,) = split.split_reconciliation(split.with_split_bucket(ratings)).collect()
+    (row,) = split.split_reconciliation(ratings, *split.hash_split(ratings)).collect()
     assert row.total_rows == 3000 and row.reconciled
 
 
