@@ -40,6 +40,8 @@ BLOCK_CHARS = 4_000_000
 CHUNK_CHARS = 400_000
 _FILTER_BITS = 24
 _SPACE = 32
+# Types of ids that are returned as they are; others become strings.
+_ITEM_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 @cache
@@ -233,9 +235,12 @@ def matches(
     q: int = Q,
     rate: float = RATE,
 ) -> DataFrame:
-    """The columns in ``carry``, ``item``, ``shared`` (q-grams), ``distance`` (edits), and
+    """The columns in ``carry``, ``item`` (its id), ``shared`` (q-grams), ``distance`` (edits), and
     ``start`` and ``end`` in the text, for every item found in every row."""
     item_kind = benchmark.schema[item_col].dataType.simpleString()
+    if item_kind not in _ITEM_TYPES:
+        benchmark = benchmark.withColumn(item_col, F.col(item_col).cast("string"))
+        item_kind = "string"
     inner = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(
         *(F.col(c).alias(n) for c, n in zip(carry, inner, strict=True)),
@@ -245,7 +250,9 @@ def matches(
     schema = f"{kinds}item {item_kind}, shared bigint, distance bigint, start bigint, end bigint"
     context = docs.sparkSession.sparkContext
     passes = [
-        rows.mapInArrow(_search(context.broadcast(tuple(build_index(block, q, rate)))), schema)
+        rows.mapInArrow(
+            _search(context.broadcast(tuple(build_index(block, q, rate))), item_kind), schema
+        )
         for block in blocks(benchmark, item_col, item_text_col)
     ]
     return reduce(DataFrame.unionByName, passes).withColumnsRenamed(
@@ -300,7 +307,7 @@ def _drop(shared):
     return run
 
 
-def _search(shared):
+def _search(shared, item_kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
         for batch in batches:
@@ -309,17 +316,15 @@ def _search(shared):
             for first, held in _chunks(texts):
                 found += [(first + hit[0], *hit[1:]) for hit in search(index, held)]
             at, item, *rest = zip(*found, strict=True) if found else [()] * 6
+            names = ["item", "shared", "distance", "start", "end"]
             kept = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     *(c.take(kept) for c in batch.columns[:-1]),
-                    pa.array([index.ids[i] for i in item]),
+                    pa.array([index.ids[i] for i in item], _ITEM_TYPES[item_kind]),
                     *(pa.array(x, pa.int64()) for x in rest),
-                ]
-                if found
-                else [c.slice(0, 0) for c in batch.columns[:-1]]
-                + [pa.array([], pa.int64())] * 5,
-                names=[*batch.schema.names[:-1], "item", "shared", "distance", "start", "end"],
+                ],
+                names=[*batch.schema.names[:-1], *names],
             )
 
     return run

@@ -94,6 +94,13 @@ def test_odd_texts_and_items(spark, docs, odd, prose):
     assert kept.count() == len(odd)
 
 
+def test_ids_of_other_types_and_no_id(spark, docs, prose):
+    rows = [(1, prose(30, 1))]
+    for kind, value, want in (("string", "x", "x"), ("int", 3, 3), ("double", 1.5, "1.5"), ("bigint", None, None)):
+        benchmark = spark.createDataFrame([(value, prose(30, 1))], f"item_id {kind}, text string")
+        assert [r.item for r in decontam.matches(docs(rows), benchmark).collect()] == [want]
+
+
 def test_empty_tables_and_clashing_columns(spark, docs, clashing, prose):
     benchmark = spark.createDataFrame([(1, prose(30, 1))], ITEMS)
     none = spark.createDataFrame([], ITEMS)
