@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratewright.llm.text import mix
 
@@ -39,7 +40,7 @@ HASHES = 3
 PER_LANGUAGE = 2000
 MIN_SHARE = 0.004
 # Characters that are looked up together.
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 100_000
 
 _SPACE = 32
 
@@ -203,7 +204,7 @@ def identify(
             scores: list[np.ndarray] = [np.zeros(0)]
             held: list[str | None] = []
             chars = 0
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             for i, text in enumerate(texts):
                 held.append(text.as_py())
                 chars += len(held[-1] or "") + 3
@@ -213,16 +214,24 @@ def identify(
                     scores.append(score)
                     held, chars = [], 0
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.concatenate(scores))],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"],
+                [
+                    *batch.columns[: len(carry)],
+                    pa.array(names, pa.string()),
+                    pa.array(np.concatenate(scores)),
+                ],
+                names=[*inner, "lang_pred", "score"],
             )
 
-    # Positional names, so that no carried column can clash with the text or the results.
+    # Positional names, so that no carried column can clash with the text or the results. A text
+    # that is carried anyway is not sent twice.
     inner = [f"c{i}" for i in range(len(carry))]
-    rows = docs.select(
-        *(F.col(c).alias(n) for c, n in zip(carry, inner, strict=True)),
-        F.col(text_col).cast("string").alias("t"),
-    )
-    kinds = "".join(f"{n} {t}, " for n, t in rows.dtypes[:-1])
+    columns = [F.col(c).alias(n) for c, n in zip(carry, inner, strict=True)]
+    at = len(carry)
+    if text_col in carry and docs.schema[text_col].dataType == T.StringType():
+        at = carry.index(text_col)
+    else:
+        columns.append(F.col(text_col).cast("string").alias("t"))
+    rows = docs.select(*columns)
+    kinds = "".join(f"{n} {t}, " for n, t in rows.dtypes[: len(carry)])
     out = rows.mapInArrow(run, f"{kinds}lang_pred string, score double")
     return out.withColumnsRenamed(dict(zip(inner, carry, strict=True)))
