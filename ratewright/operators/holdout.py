@@ -2,36 +2,27 @@
 total, and a validation quota from that total.
 
 The position orders a user's ratings by a content hash and then by every column, so it does
-not depend on the partitioning. One window per user would sort all ratings of a user in one
-task. So every user's hash range is cut into the same number of slices, whatever the user's
-size: ratings are ranked within their slice, and the sizes of a user's lower slices, at most
-``slices`` numbers, are added. Equal rows are ranked as one row with a count, so not even a user
-whose ratings are all copies of each other lands in one task. It is one lazy plan, and the
-same for every input.
+not depend on the partitioning. ``ranking.row_numbers`` gives the positions: one window per
+user, and a distributed rank by range for users too large for one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewright import schema as S
 from ratewright.functions import order_hash
-from ratewright.functions.hashing import ORDER_SPACE, XXHASH64
+from ratewright.functions.hashing import XXHASH64
+from ratewright.operators import ranking
+from ratewright.operators.ranking import HOT_ROWS, ROW_NUM, TOTAL
 
-ROW_NUM = "row_num"
-TOTAL = "total"
 QUOTA = "val_count"
 HELD_OUT = "held_out"
 
 SHUFFLE_SALT = "holdout"
-# A power of two, so that slices are equal parts of the hash range.
-SLICES = 64
-# One copy count is unrolled into at most this many rows at a time.
-COPIES_PER_CHUNK = 100_000
 
 _ORDER = "_order"
-_SLICE = "_slice"
 _TIE_BREAK = (S.ITEM, S.TIMESTAMP, S.RATING)
 
 
@@ -40,54 +31,15 @@ def user_totals(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy(S.USER).agg(F.count("*").alias(TOTAL))
 
 
-def shuffle_rank(ratings: DataFrame, mode: str = XXHASH64, slices: int = SLICES) -> DataFrame:
+def shuffle_rank(ratings: DataFrame, mode: str = XXHASH64, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``row_num`` (1..total, random order) and ``total`` to every rating.
 
-    The number of slices changes the plan's parallelism only, not the ranks.
+    ``hot_rows`` changes the way large users are ranked, not the ranks.
     """
     order = order_hash(S.RATING_COLUMNS, mode, SHUFFLE_SALT)
-    distinct_rows = (
-        ratings.select(*S.RATING_COLUMNS)
-        .withColumn(_ORDER, order)
-        .withColumn(_SLICE, F.floor(F.col(_ORDER) / F.lit(ORDER_SPACE // slices)))
-        .groupBy(*S.RATING_COLUMNS, _ORDER, _SLICE)
-        .agg(F.count("*").alias("_copies"))
-    )
-    user = Window.partitionBy(S.USER)
-    lower = user.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    # Starts from the same aggregation as the ranks, so Spark reuses that shuffle.
-    offsets = (
-        distinct_rows.groupBy(S.USER, _SLICE)
-        .agg(F.sum("_copies").alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(lower), F.lit(0)))
-        .withColumn(TOTAL, F.sum("_rows").over(user))
-        .drop("_rows")
-    )
-    in_slice = Window.partitionBy(S.USER, _SLICE).orderBy(_ORDER, *_TIE_BREAK)
-    last = F.sum("_copies").over(in_slice.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = distinct_rows.withColumn("_before", last - F.col("_copies"))
-    offsets = offsets.withColumnsRenamed({S.USER: "_user", _SLICE: "_user_slice"})
-    # Every slice has an offset, also that of a NULL user. Null-safe equality also keeps Spark
-    # from adding a filter to one side, which would read the source a second time.
-    same = F.col(S.USER).eqNullSafe(F.col("_user")) & F.col(_SLICE).eqNullSafe(F.col("_user_slice"))
-    placed = ranked.join(offsets, same, "left").select(
-        *S.RATING_COLUMNS, TOTAL, (F.col("_offset") + F.col("_before")).alias("_before"), "_copies"
-    )
-    return _unroll_copies(placed)
-
-
-def _unroll_copies(placed: DataFrame) -> DataFrame:
-    """One output row per copy. Chunks are spread over tasks before they are unrolled."""
-    chunk = F.col("_chunk") * COPIES_PER_CHUNK
-    size = F.least(F.lit(COPIES_PER_CHUNK), F.col("_copies") - chunk)
-    chunks = placed.withColumn(
-        "_chunk",
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPIES_PER_CHUNK))),
-    ).repartition(*S.RATING_COLUMNS, "_chunk")
-    return chunks.withColumn("_nth", F.explode(F.sequence(F.lit(1), size))).select(
-        *S.RATING_COLUMNS,
-        (F.col("_before") + chunk + F.col("_nth")).alias(ROW_NUM),
-        TOTAL,
+    rows = ratings.select(*S.RATING_COLUMNS).withColumn(_ORDER, order)
+    return ranking.row_numbers(rows, [S.USER], [_ORDER, *_TIE_BREAK], hot_rows).select(
+        *S.RATING_COLUMNS, ROW_NUM, TOTAL
     )
 
 
@@ -97,13 +49,13 @@ def with_quota(ranked: DataFrame, fraction: float = 0.2) -> DataFrame:
 
 
 def user_holdout(
-    ratings: DataFrame, fraction: float = 0.2, mode: str = XXHASH64, slices: int = SLICES
+    ratings: DataFrame, fraction: float = 0.2, mode: str = XXHASH64, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Every rating with rank, total, quota and ``held_out``.
 
     The first ``val_count`` ratings of each user's random order are held out.
     """
-    ranked = with_quota(shuffle_rank(ratings, mode, slices), fraction)
+    ranked = with_quota(shuffle_rank(ratings, mode, hot_rows), fraction)
     return ranked.withColumn(HELD_OUT, F.col(ROW_NUM) <= F.col(QUOTA))
 
 

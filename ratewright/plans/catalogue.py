@@ -347,8 +347,8 @@ def user_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"{_RANKED_SQL} SELECT *, row_num <= val_count AS held_out FROM quota")
 def user_holdout_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same holdout with eight slices a user in place of the default."""
-    return holdout.user_holdout(order_ratings(spark, sf_dir), 0.2, MD5, slices=8)
+    """The same holdout where every user beyond 30 ratings is ranked by range."""
+    return holdout.user_holdout(order_ratings(spark, sf_dir), 0.2, MD5, hot_rows=30)
 
 
 # --- Cold start ------------------------------------------------------------------------
