@@ -15,6 +15,7 @@ from ratewright.llm import (
     importance,
     langid,
     mixing,
+    pieces,
     simhash,
     substring,
     tokens,
@@ -24,6 +25,7 @@ from ratewright.plans.inputs import table
 from ratewright.sources import work_path
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def _crc(id_col: str = "doc_id") -> Column:
@@ -101,6 +103,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors.filter(F.col("vec_id") % 20 == 0), vectors)
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), spans=False
+    )
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("covered").alias("n_covered"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -114,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_toxicity,
         op10_nearest,
+        op11_pieces,
     )
 }
 SQL: dict[str, str] = {"op8_mixing": mixing.op8_mixing_sql()}
