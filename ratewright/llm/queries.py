@@ -12,6 +12,7 @@ from ratewright.llm import (
     ann,
     chat,
     decontam,
+    dictionary,
     importance,
     langid,
     mixing,
@@ -116,6 +117,12 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -130,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_nearest,
         op11_pieces,
+        op13_dictionary,
     )
 }
 SQL: dict[str, str] = {"op8_mixing": mixing.op8_mixing_sql()}
