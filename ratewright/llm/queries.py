@@ -17,6 +17,7 @@ from ratewright.llm import (
     langid,
     mixing,
     pieces,
+    repair,
     simhash,
     substring,
     tokens,
@@ -117,6 +118,18 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repaired_conversations(conversations: DataFrame) -> DataFrame:
+    """The report of damaged and repaired ``conversations``, with a digest of the result."""
+    report, turns = repair.repair(repair.damage(conversations), conversations)
+    digests = repair.digests(turns).withColumnRenamed("conv_id", "_conv")
+    same = F.col("conv_id").eqNullSafe(F.col("_conv"))
+    return report.join(digests, same).drop("_conv")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.resample(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -137,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_nearest,
         op11_pieces,
+        op12_repair,
         op13_dictionary,
     )
 }

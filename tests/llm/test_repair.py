@@ -1,0 +1,234 @@
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ratewright.llm import repair
+
+KIND = "conv_id bigint, turn bigint, role string, text string"
+LEGAL = re.compile("(s?(ua)+)?")
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+def damaged(rows):
+    """The damage by its definition; rows are (conv_id, turn, role, text)."""
+    out = []
+    for conv_id, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        shown = [" " if x is None else x for x in (conv_id, turn)]
+        case = zlib.crc32(f"{shown[0]}:{shown[1]}".encode()) % 20
+        if case == 0:
+            continue
+        text = "" if case == 1 else re.sub("[.!?]", "", text) if case == 2 else text
+        out += [(conv_id, turn, "user" if case == 4 else role, text)] * (2 if case == 3 else 1)
+    return out
+
+
+def faults(rows):
+    """(role, text, fault) in order."""
+    seen, out = set(), []
+    for _, _, role, text in rows:
+        said = re.sub("[\x20\x09-\x0d]", "", text)
+        fault = "blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1] not in ".!?" else ""
+        seen.add((role, text))
+        out.append((role, text, fault))
+    return out
+
+
+def options(role, fault):
+    """(cost, letter, role after) for a row."""
+    yield 3, "D", None
+    if fault not in ("blank", "duplicate"):
+        more = fault == "truncated"
+        yield more, "K", role
+        yield 2 + more, "R", "user"
+        yield 2 + more, "R", "assistant"
+
+
+def cheapest_of_all(rows):
+    """(cost, audit) by trying every edit, with up to three inserts in a gap."""
+    gaps = [x for n in range(4) for x in itertools.product(["user", "assistant"], repeat=n)]
+    best = None
+    for plan in itertools.product(*(itertools.product(gaps, list(options(r, f))) for r, _, f in rows), [(g, None) for g in gaps]):
+        cost, audit, said = 0, "", ""
+        for inserts, edit in plan:
+            cost, audit, said = cost + 2 * len(inserts), audit + "I" * len(inserts), said + "".join(r[0] for r in inserts)
+            if edit:
+                cost, audit = cost + edit[0], audit + edit[1]
+                said += "?" if edit[2] == "" else (edit[2] or "")[:1]
+        if LEGAL.fullmatch(said) and (best is None or (cost, audit) < best):
+            best = (cost, audit)
+    return best
+
+
+def cheapest(rows):
+    """The same by a table of tuples and strings over what was said last."""
+    follow = {"": "su", "s": "u", "u": "a", "a": "u"}
+
+    def inserts(table):
+        for _ in range(3):
+            for last, (cost, audit) in list(table.items()):
+                for x in set(follow[last]) - {"s"}:
+                    new = (cost + 2, audit + "I")
+                    table[x] = min(table.get(x, new), new)
+        return table
+
+    table = {"": (0, "")}
+    for role, _, fault in rows:
+        after = {}
+        # Every way is kept apart: an insert before a row can make a later audit smaller.
+        ways = [(last, c, a) for last, (c, a) in table.items()]
+        for _ in range(2):
+            ways += [(x, c + 2, a + "I") for last, c, a in ways for x in set(follow[last]) - {"s"}]
+        for last, cost, audit in ways:
+            for more, letter, new in options(role, fault):
+                to = last if new is None else new[:1]
+                if new is None or (to and to in follow[last]):
+                    found = (cost + more, audit + letter)
+                    after[to] = min(after.get(to, found), found)
+        table = after
+    table = inserts(table)
+    return min(v for k, v in table.items() if k in ("", "a"))
+
+
+def apply(rows, audit):
+    out, left, said = [], iter(rows), ""
+    for letter in audit:
+        speaker = "assistant" if said.endswith("u") else "user"
+        if letter == "I":
+            out.append((speaker, ""))
+        else:
+            role, text, _ = next(left)
+            if letter == "D":
+                continue
+            out.append((speaker if letter == "R" else role, text))
+        said += out[-1][0][0]
+    assert LEGAL.fullmatch(said)
+    return hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()
+
+
+def brute(all_rows):
+    """conv_id -> the contract's columns."""
+    groups = defaultdict(list)
+    for r in damaged(all_rows):
+        groups[r[0]].append(r)
+    found = {}
+    for conv_id in {r[0] for r in all_rows}:
+        rows = sorted(groups[conv_id], key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3].encode()))
+        known = [r[1] for r in rows if r[1] is not None]
+        gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+        marked = faults(rows)
+        counts = [sum(f == name for *_, f in marked) for name in ("blank", "duplicate", "truncated")]
+        initials = [r[:1] for r, *_ in marked]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+        cost, audit = cheapest(marked)
+        found[conv_id] = (gaps, *counts, illegal, cost, audit, apply(marked, audit))
+    return found
+
+
+def run(spark, rows, partitions=4):
+    from ratewright.llm.queries import repaired_conversations
+
+    frame = spark.createDataFrame(rows, KIND).repartition(partitions)
+    out = repaired_conversations(frame).collect()
+    assert len(out) == len({r.conv_id for r in out})
+    return {r.conv_id: tuple(r)[1:] for r in out}
+
+
+some_rows = st.lists(
+    st.tuples(st.sampled_from(["system", "user", "assistant", "tool", "", "u"]), st.sampled_from(["", "a", "a.", "b!", "c? "])),
+    max_size=9,
+)
+
+
+def own(marked, size):
+    rows = [(role[:1], f in ("blank", "duplicate"), f == "truncated") for role, _, f in marked]
+    chunks = [rows[i : i + size] for i in range(0, len(rows), size)]
+    return repair.decide(
+        repair.chunk_path(c, (0,) if i == 0 else (0, 1, 2, 3)) for i, c in enumerate(chunks)
+    )
+
+
+@given(some_rows.map(lambda rows: rows[:2]))
+@settings(max_examples=40, deadline=None)
+def test_the_integer_minimum_is_the_cheapest_of_all_edits(rows):
+    marked = faults([(1, 1, *r) for r in rows])
+    assert own(marked, 2) == cheapest_of_all(marked) == cheapest(marked)
+
+
+@given(some_rows, st.integers(1, 10))
+@settings(max_examples=500, deadline=None)
+def test_chunks_of_any_size_decide_alike(rows, size):
+    marked = faults([(1, 1, *r) for r in rows])
+    assert own(marked, size) == cheapest(marked)
+
+
+def conversation(n, seed, conv_id):
+    maker = random.Random(seed)
+    texts = ["yes.", "no", "ok!", "", "why?", "so be it", " ", "a\n", "x.\t"]
+    roles = ["user", "assistant"] * 6 + ["system", "tool", None, ""]
+    return [
+        (conv_id, i if maker.random() < 0.97 else None, maker.choice(roles), maker.choice([*texts, f"t{i}.", f"t{i}", None]))
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("limits", [{}, {"CHUNK_ROWS": 3, "GROUPS_PER_BATCH": 2}])
+def test_against_brute_force(spark, limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(repair, name, value)
+    rows = [r for c in range(60) for r in conversation(c % 13, c, c)] + conversation(400, 99, -5)
+    rows += conversation(6, 7, None) + [(1000, 3, "user", "twice.")] * 3 + [(1001, None, None, None)]
+    rows += [(2000 + i, 0, "user", "dropped or not.") for i in range(40)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_a_conversation_beyond_the_hot_limit(spark, monkeypatch):
+    rows = conversation(700, 3, 1) + conversation(5, 4, 2)
+    want = brute(rows)
+    number = repair.number_rows
+    monkeypatch.setattr(repair, "number_rows", lambda frame: number(frame, 100))
+    assert run(spark, rows) == want
+
+
+def test_empty_table_and_other_columns(spark):
+    assert run(spark, []) == {}
+    from ratewright.llm.queries import repaired_conversations
+
+    rows = [(1, 0, "user", "a."), (1, 1, "assistant", "b.")]
+    names = "role_ string, row_num string, content string, audit string, _conv string, chunk string"
+    frame = spark.createDataFrame([(*r, *["x"] * 6) for r in rows], f"{KIND}, {names}")
+    (found,) = repaired_conversations(frame).collect()
+    assert tuple(found)[1:] == brute(rows)[1]
+
+
+def test_all_rows_dropped(spark):
+    gone = next(i for i in range(100) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
+    assert run(spark, [(gone, 0, "user", "a.")]) == {gone: (0, 0, 0, 0, 0, 0, "", EMPTY)}
+
+
+def test_repaired_turns_are_rows(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "a."), (1, 1, "user", "b."), (1, 2, "user", "")], KIND)
+    report, turns = repair.repair(frame)
+    # u u (blank): the second becomes the assistant's, the blank one goes.
+    assert [(r.cost, r.audit) for r in report.collect()] == [(5, "KRD")]
+    shown = [(r.place, r.role, bytes(r.text)) for r in turns.filter("place > 0").orderBy("place").collect()]
+    assert shown == [(1, "user", b"a."), (2, "assistant", b"b.")]
+
+
+def test_query(spark, sf_dir):
+    from ratewright.llm.queries import op12_repair
+
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = [tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()]
+    found = op12_repair(spark, sf_dir)
+    assert found.columns[1:6] == ["gaps", "blank", "duplicate", "truncated", "illegal"]
+    assert {r.conv_id: tuple(r)[1:] for r in found.collect()} == brute(rows)
