@@ -118,7 +118,7 @@ class Normaliser:
         # Every character stands for itself: only spaces change their length.
         width = len(self.space)
         raw = np.frombuffer(text, np.uint8)
-        places = np.arange(len(text) + 1, dtype=np.int64)
+        places = np.arange(len(text) + 1, dtype=np.int32 if len(text) < 1 << 30 else np.int64)
         if width > 1:
             places = np.repeat(places, np.append(np.where(raw == 0x20, width, 1), 1))
         out = text.replace(b" ", self.space)
@@ -126,7 +126,7 @@ class Normaliser:
             return out, places
         if self.marks_behind:
             return out + self.space, np.append(places, np.full(width, places[-1]))
-        return self.space + out, np.concatenate([np.zeros(width, np.int64), places])
+        return self.space + out, np.concatenate([np.zeros(width, places.dtype), places])
 
     def _step(self, text: bytes, at: int) -> tuple[bytes, int]:
         found = self.map.longest(text, at) if self.map else None
@@ -207,19 +207,20 @@ class Codec:
         )
         # Bytes of the normalised text that a piece covers; 0 where the id does not tell.
         whole = (_NORMAL, _USER_DEFINED)
-        self._width = [len(n.encode()) if k in whole else 0 for n, k in zip(names, kinds, strict=True)]
+        self._width = np.array([len(n.encode()) if k in whole else 0 for n, k in zip(names, kinds, strict=True)])
         shown = {_UNKNOWN: proto.trainer_spec.unk_surface.encode(), _CONTROL: b""}
         self._shown = [
             bytes([int(n[1:-1], 16)]) if k == _BYTE else shown.get(k, n.replace(SPACE_MARK, " ").encode())
             for n, k in zip(names, kinds, strict=True)
         ]
+        self._value = np.array([int(n[1:-1], 16) if k == _BYTE else 0 for n, k in zip(names, kinds, strict=True)])
         self._controls = np.array([k == _CONTROL for k in kinds])
         self._bytes = np.array([k == _BYTE for k in kinds])
         self._unknown = np.array([k == _UNKNOWN for k in kinds])
         spec = proto.normalizer_spec
         self._strip = spec.add_dummy_prefix or spec.remove_extra_whitespaces
         self._strip_all = spec.remove_extra_whitespaces
-        self._memo: dict[str, tuple[bytes, bytes]] = {}
+        self._memo: dict[str, bytes] = {}
 
     def _parts(self, normalised: str) -> Iterator[list[str]]:
         if not self._cuts:
@@ -232,39 +233,64 @@ class Codec:
             yield _PARTS.findall(normalised, at, stop)
             at = stop
 
-    def _segment(self, parts: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids and widths of parts that are not remembered."""
-        found = {}
-        for part, ids in zip(parts, self._raw.encode(parts, num_threads=1), strict=True):
-            widths = [self._width[i] for i in ids]
-            if not all(widths):
-                pieces = self._raw.encode(part, return_type="proto").pieces
-                ends = [0, *(p.end for p in pieces)]
-                widths = np.diff(ends)
-            found[part] = (np.array(ids, "<u4").tobytes(), np.array(widths, "<u4").tobytes())
-        return found
+    def _widths(self, ids: np.ndarray, text: str) -> np.ndarray:
+        """Bytes of the normalised text that each piece covers."""
+        widths = self._width[ids]
+        if widths.all():
+            return widths
+        if self._unknown[ids].any():
+            ends = [p.end for p in self._raw.encode(text, return_type="proto").pieces]
+            return np.diff(np.array([0, *ends], np.int64))
+        # Byte pieces: the last of a character has its length.
+        places = np.flatnonzero(self._bytes[ids])
+        values = self._value[ids[places]]
+        leads = values & 0xC0 != 0x80
+        length = 1 + (values >= 0xC0) + (values >= 0xE0) + (values >= 0xF0)
+        widths[places[leads] + length[leads] - 1] = length[leads]
+        return widths
+
+    def _segment(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids and widths, by turns, of parts that are not remembered. Where one part may follow
+        another with a cut between them, they are segmented together."""
+        apart = [p for p in parts if p[0] != SPACE_MARK or p[-1] == SPACE_MARK]
+        if apart and len(parts) > 1:
+            both = set(apart)
+            found = self._segment([p for p in parts if p not in both]) if len(both) < len(parts) else {}
+            for part in apart:
+                found |= self._segment([part])
+            return found
+        joined = "".join(parts)
+        ids = self._raw.encode(joined, return_type="numpy").astype(np.int64)
+        widths = self._widths(ids, joined)
+        sizes = np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts))
+        stops = 8 * (np.searchsorted(np.cumsum(widths), np.cumsum(sizes)) + 1)
+        both = np.stack([ids, widths], axis=1).astype("<u4").tobytes()
+        starts = [0, *stops[:-1].tolist()]
+        return {p: both[a:b] for p, a, b in zip(parts, starts, stops.tolist(), strict=True)}
 
     def encode(self, text: bytes) -> Encoded:
         """The pieces of a whole text, without begin and end."""
         normalised, places = self.normalise(text)
-        ids, widths, memo = [], [], self._memo
+        rows: list[bytes] = []
+        memo = self._memo
         for parts in self._parts(normalised.decode()):
             if len(memo) > REMEMBERED_PARTS:
                 memo.clear()
-            new = self._segment(list({p for p in parts if p not in memo}))
-            long = {p: v for p, v in new.items() if len(p) > LONGEST_REMEMBERED}
-            memo.update((p, v) for p, v in new.items() if p not in long)
-            pairs = [memo[p] if p in memo else long[p] for p in parts]
-            ids += [p[0] for p in pairs]
-            widths += [p[1] for p in pairs]
-        ends = np.cumsum(np.frombuffer(b"".join(widths), "<u4").astype(np.int64))
-        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if len(ends) else ends
-        return Encoded(np.frombuffer(b"".join(ids), "<u4"), places[starts], places[ends])
+            known = list(map(memo.get, parts))
+            if None in known:
+                new = self._segment(list({p for p, v in zip(parts, known, strict=True) if v is None}))
+                memo.update((p, v) for p, v in new.items() if len(p) <= LONGEST_REMEMBERED)
+                known = [v or new[p] for p, v in zip(parts, known, strict=True)]
+            rows += known
+        pieces = np.frombuffer(b"".join(rows), "<u4").reshape(-1, 2)
+        ends = np.cumsum(pieces[:, 1], dtype=np.int64)
+        at = places[np.concatenate([np.zeros(1, np.int64), ends])]
+        return Encoded(pieces[:, 0], at[:-1], at[1:])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that the ids stand for."""
         ids = ids[~self._controls[ids]]
-        shown = [self._shown[i] for i in ids.tolist()]
+        shown = list(map(self._shown.__getitem__, ids.tolist()))
         if self._strip and shown and not (self._bytes[ids[0]] or self._unknown[ids[0]]):
             shown = self._without_prefix(ids, shown)
         joined = b"".join(shown)
