@@ -80,6 +80,18 @@ def split_reconciliation(source: DataFrame, train: DataFrame, test: DataFrame) -
     )
 
 
+def stored_reconciliation(stored: DataFrame, source_rows: int) -> DataFrame:
+    """``split_reconciliation`` of a stored table with its ``split`` column, against the rows an
+    observation counted on their way into it. One scan; the source is not read again."""
+    part = F.col(SPLIT)
+    return stored.agg(
+        F.lit(source_rows).cast("bigint").alias("total_rows"),
+        *(F.count_if(part == p).alias(f"{p}_rows") for p in ("train", "test")),
+    ).withColumn(
+        "reconciled", F.col("train_rows") + F.col("test_rows") == F.col("total_rows")
+    )
+
+
 def with_fold(ratings: DataFrame, k: int = 5, mode: str = XXHASH64) -> DataFrame:
     """Add ``fold`` in 0..k-1. Independent of the train/test bucket."""
     fold = F.pmod(row_hash(S.HASH_COLUMNS, mode, FOLD_SALT), F.lit(k)).cast("int")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,7 @@ from ratewright.plans import workflows
 from ratewright.plans.inputs import basket_ratings, event_run_log, order_ratings, table
 from ratewright.sources import (
     read_double_colon,
-    read_fold,
+    read_folds,
     read_header_csv,
     read_parquet,
     read_tab,
@@ -277,12 +277,11 @@ def hash_split_xxhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) FILTER (WHERE {_BUCKET_SQL} = 9) AS test_rows, true AS reconciled FROM r"""
 )
 def split_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored sets of a split, against the source they were cut from."""
-    ratings, path = order_ratings(spark, sf_dir), work_path(spark, "split")
-    write_parquet(split.with_split_label(ratings, MD5), path, split.SPLIT)
-    stored = spark.read.parquet(path)
-    parts = (stored.filter(F.col(split.SPLIT) == part) for part in ("train", "test"))
-    return split.split_reconciliation(ratings, *parts)
+    """The stored sets of a split, against the source counted on its way into them."""
+    seen, path = Observation(), work_path(spark, "split")
+    source = order_ratings(spark, sf_dir).observe(seen, F.count(F.lit(1)).alias("rows"))
+    write_parquet(split.with_split_label(source, MD5), path, split.SPLIT)
+    return split.stored_reconciliation(spark.read.parquet(path), seen.get["rows"])
 
 
 @_register(f"{_WITH_ORDERS} SELECT {_RATING_COLUMNS_SQL}, {_FOLD_SQL} AS fold FROM r")
@@ -841,14 +840,12 @@ def source_fold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("u%d.%s", F.col("n") + 1, member).alias("part"),
     ).write.partitionBy("part").text(base)
 
-    parts = []
-    for fold in range(1, 6):
-        parsed = read_fold(spark, base, fold, "part=u{fold}.base", "part=u{fold}.test")
-        parts += [
-            rows.select(F.lit(fold).alias("fold"), F.lit(kind).alias("kind"), S.RATING)
-            for kind, rows in zip(("train", "test", "rejected"), parsed, strict=True)
-        ]
-    rows = reduce(DataFrame.unionByName, parts)
+    # One scan of the ten files: kept rows are counted by part, the others as rejected.
+    parsed = read_folds(spark, base, range(1, 6), "part=u{fold}.base", "part=u{fold}.test")
+    kept = parsed.ratings.select("fold", F.col("part").alias("kind"), S.RATING)
+    rows = kept.unionByName(
+        parsed.rejected.select("fold", F.lit("rejected").alias("kind"), S.RATING)
+    )
     return _rounded(
         rows.groupBy("fold").agg(
             *(

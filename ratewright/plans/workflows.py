@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from ratewright import schema as S
 from ratewright.functions.hashing import XXHASH64
-from ratewright.operators import coldstart, profile, runlog, split, sweep
+from ratewright.operators import coldstart, keybits, profile, runlog, split, sweep
 from ratewright.operators.als import ALSParams
 from ratewright.sources import ParsedRatings, write_json, write_parquet, write_single_csv
+from ratewright.sources.ratings import KEPT, READ, REJECTED
 
 CLEAN = "clean"
 # Runs that may be averaged and compared: one dataset, one set of parameters.
@@ -25,44 +26,82 @@ def prepare(
 ) -> DataFrame:
     """Split ratings, mark cold-start test rows, store everything, and report.
 
-    Writes ``{out_dir}/ratings``, one directory per split; the keys of the training set,
-    ``known_users`` and ``known_items``; and ``test``, the test rows with their seen flags,
-    one directory per ``clean``. The source is read once for the ratings and the cold-start
-    joins run once. Each step reads the stored tables of the one before, so a lost executor
-    costs a re-read, not a second parse or a second join.
-
-    The report row holds the cold-start report, the profile of the stored ratings, and
-    ``source_rows`` (counted on their way into the split), ``train_rows``, ``rejected_rows`` (of
-    parsed ratings) and ``reconciled``: the stored sets add up to the source.
+    Writes ``{out_dir}/ratings``, one directory per split; ``key_bits``, the users and items of
+    each split as bitmap words with its counts; ``test``, the test rows with their seen flags,
+    one directory per ``clean``; and ``rejected``, rows that are no ratings, as JSON with the file
+    and block they came from, if there are any. The source is read once for the ratings, and
+    that pass counts the rows it keeps and rejects. Each step reads the stored tables of the one
+    before, so a lost executor costs a re-read, not a second parse or a second join.
+
+    The report row holds the cold-start report, the profile of the stored ratings (the splits'
+    bitmaps merged), and ``source_rows`` (kept on their way into the split), ``train_rows``,
+    ``rejected_rows`` (of parsed ratings) and ``reconciled``: the stored sets add up to the
+    source, and what was kept and rejected to what was read.
     """
     parsed = ratings if isinstance(ratings, ParsedRatings) else ParsedRatings(ratings, None)
     spark = parsed.ratings.sparkSession
     out_dir = out_dir.rstrip("/")
     seen = Observation()
-    source = parsed.ratings.observe(seen, F.count(F.lit(1)).alias("rows"))
-    write_parquet(split.with_split_label(source, mode), f"{out_dir}/ratings", split.SPLIT)
-    source_rows = seen.get["rows"]
-    rejected_rows = 0 if parsed.rejected is None else parsed.rejected.count()
+    write_parquet(
+        split.with_split_label(parsed.observed(seen), mode), f"{out_dir}/ratings", split.SPLIT
+    )
+    counts = seen.get
+    rejected_rows = counts[REJECTED]
+    if parsed.source is None and parsed.rejected is not None:
+        rejected_rows = parsed.rejected.count()
+    if rejected_rows:
+        _store_rejected(parsed.rejected, f"{out_dir}/rejected")
+
     train, test = read_split(spark, out_dir)
-    users = _stored_keys(train, S.USER, f"{out_dir}/known_users")
-    items = _stored_keys(train, S.ITEM, f"{out_dir}/known_items")
-    flagged = coldstart.flag_seen(test, users, items)
+    parts = (f.withColumn(split.SPLIT, F.lit(n)) for f, n in ((train, "train"), (test, "test")))
+    write_parquet(
+        profile.key_bits(next(parts).unionByName(next(parts)), split.SPLIT),
+        f"{out_dir}/key_bits", split.SPLIT, "key",
+    )
+    words = (read_key_words(spark, out_dir, key) for key in (S.USER, S.ITEM))
+    flagged = coldstart.flag_seen(test, *words)
     write_parquet(flagged.withColumn(CLEAN, coldstart.is_clean()), f"{out_dir}/test", CLEAN)
 
     report = coldstart.flag_report(_stored_test(spark, out_dir))
-    whole = profile.matrix_profile(train.unionByName(test))
-    trained = train.agg(F.count("*").alias("train_rows"))
+    bits = _key_bits(spark, out_dir)
+    whole = profile.profile_of(profile.merge_key_bits(bits))
+    own = F.when(F.col(split.SPLIT) == "train", F.col("num_ratings"))
+    trained = bits.agg(F.coalesce(F.sum(own), F.lit(0)).cast("bigint").alias("train_rows"))
+    kept = F.lit(counts[KEPT]).cast("bigint")
+    whole_read = parsed.source is None or counts[KEPT] + counts[REJECTED] == counts[READ]
     return report.select(
         "*",
         *(whole.select(c).scalar().alias(c) for c in whole.columns),
-        F.lit(source_rows).cast("bigint").alias("source_rows"),
+        kept.alias("source_rows"),
         trained.scalar().alias("train_rows"),
         F.lit(rejected_rows).cast("bigint").alias("rejected_rows"),
     ).withColumn(
-        "reconciled", F.col("train_rows") + F.col("test_rows") == F.col("source_rows")
+        "reconciled",
+        (F.col("train_rows") + F.col("test_rows") == F.col("source_rows")) & F.lit(whole_read),
     )
 
 
+def _store_rejected(rejected: DataFrame, path: str) -> None:
+    """Kept as text: the columns of a rejected row depend on what is wrong with it."""
+    text = rejected.select(F.to_json(F.struct(*rejected.columns)).alias("row"))
+    write_parquet(text, path)
+
+
+def _key_bits(spark: SparkSession, out_dir: str) -> DataFrame:
+    kinds = "word BIGINT, bits BIGINT, num_ratings BIGINT, min_rating DOUBLE, max_rating DOUBLE"
+    schema = f"{kinds}, {split.SPLIT} STRING, key STRING"
+    return spark.read.schema(schema).parquet(f"{out_dir.rstrip('/')}/key_bits")
+
+
+def read_key_words(
+    spark: SparkSession, out_dir: str, key: str, part: str = "train"
+) -> DataFrame:
+    """The users or items (``key`` is the column's name) of a stored split, as bitmap words."""
+    bits = _key_bits(spark, out_dir)
+    own = (F.col(split.SPLIT) == part) & (F.col("key") == key)
+    return bits.filter(own).select(keybits.WORD, keybits.BITS)
+
+
 def read_split(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]:
     """Train and raw test ratings stored by ``prepare``."""
     schema = T.StructType([*S.RATINGS.fields, T.StructField(split.SPLIT, T.StringType())])
@@ -77,12 +116,6 @@ def read_clean_test(spark: SparkSession, out_dir: str) -> DataFrame:
     return _stored_test(spark, out_dir).filter(CLEAN).select(*S.RATING_COLUMNS)
 
 
-def _stored_keys(train: DataFrame, key: str, path: str) -> DataFrame:
-    keys = coldstart.key_set(train, key)
-    write_parquet(keys, path)
-    return train.sparkSession.read.schema(keys.schema).parquet(path)
-
-
 def _stored_test(spark: SparkSession, out_dir: str) -> DataFrame:
     flags = (coldstart.USER_SEEN, coldstart.ITEM_SEEN, CLEAN)
     schema = T.StructType(
@@ -145,9 +178,7 @@ def grid_search(
     def accepted() -> Iterator[tuple[int, DataFrame, DataFrame]]:
         for number, train, test, *rejected in folds:
             for rows in rejected:
-                # Kept as text: the columns of a rejected row depend on what is wrong with it.
-                text = rows.select(F.to_json(F.struct(*rows.columns)).alias("row"))
-                write_parquet(text, f"{out_dir.rstrip('/')}/rejected/fold={number}")
+                _store_rejected(rows, f"{out_dir.rstrip('/')}/rejected/fold={number}")
             yield number, train, test
 
     log = sweep.cross_validate(accepted(), grid or sweep.config_grid(), dataset, parallelism)

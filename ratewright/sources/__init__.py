@@ -1,10 +1,12 @@
 """Readers into the canonical ratings schema, run-log readers and sinks."""
 
 from ratewright.sources.ratings import (
+    ParsedFolds,
     ParsedRatings,
     parse_ratings,
     read_double_colon,
     read_fold,
+    read_folds,
     read_header_csv,
     read_parquet,
     read_tab,
@@ -14,10 +16,12 @@ from ratewright.sources.sinks import write_json, write_parquet, write_single_csv
 from ratewright.sources.workspace import work_path
 
 __all__ = [
+    "ParsedFolds",
     "ParsedRatings",
     "parse_ratings",
     "read_double_colon",
     "read_fold",
+    "read_folds",
     "read_header_csv",
     "read_parquet",
     "read_tab",

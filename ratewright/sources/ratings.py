@@ -11,9 +11,12 @@ fields the whole line is parsed, so text sources don't prune columns.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,35 +26,98 @@ RATINGS_DDL = "user_id BIGINT, item_id BIGINT, rating DOUBLE, timestamp BIGINT"
 HEADER_DDL = "userId BIGINT, movieId BIGINT, rating DOUBLE, timestamp BIGINT"
 HEADER_NAMES = {"userId": S.USER, "movieId": S.ITEM}
 CORRUPT = "_corrupt_record"
+USABLE = "usable"
+SOURCE_FILE, SOURCE_BLOCK = "source_file", "source_block"
+READ, KEPT, REJECTED = "read_rows", "kept_rows", "rejected_rows"
 
 
-class ParsedRatings(NamedTuple):
-    """Canonical rows, and the rows that could not become canonical."""
-
+class _Parsed(NamedTuple):
     ratings: DataFrame
-    rejected: DataFrame
+    rejected: DataFrame | None
 
 
-def parse_ratings(frame: DataFrame) -> ParsedRatings:
-    """Cast to the canonical types and separate the rows that do not fit them.
+class ParsedRatings(_Parsed):
+    """Canonical rows, and the rows that could not become canonical: a pair.
 
-    ``frame`` has the canonical names; other columns are kept in ``rejected`` only.
+    ``source``, where the reader has it, is every row that was read: the canonical values and
+    USABLE, which tells the two kinds apart in one pass (see ``observed``).
     """
-    cast = {f.name: F.col(f.name).try_cast(f.dataType) for f in S.RATINGS.fields}
-    usable = F.abs(cast[S.RATING]) < F.lit(float("inf"))  # false for NaN, NULL for NULL
-    for name, value in cast.items():
-        usable &= value.isNotNull()
-        kind = frame.schema[name].dataType
-        if name != S.RATING and isinstance(kind, (T.FractionalType, T.StringType)):
-            usable &= value.cast("double") == F.col(name).try_cast("double")
+
+    source: DataFrame | None = None
+
+    def observed(self, seen: Observation) -> DataFrame:
+        """``ratings``, with ``read_rows``, ``kept_rows`` and ``rejected_rows`` counted by ``seen``
+        in the pass that consumes them. Without ``source`` no rejected rows are seen."""
+        read = F.count(F.lit(1))
+        if self.source is None:
+            none = F.count_if(F.lit(False)).alias(REJECTED)
+            return self.ratings.observe(seen, read.alias(READ), read.alias(KEPT), none)
+        kept, lost = F.count_if(F.col(USABLE)), F.count_if(~F.col(USABLE))
+        rows = self.source.observe(seen, read.alias(READ), kept.alias(KEPT), lost.alias(REJECTED))
+        return rows.filter(USABLE).select(*S.RATING_COLUMNS)
+
+
+def _fits(frame: DataFrame, name: str, value: Column) -> Column:
+    """Whether a column's value became ``value`` unchanged. Only numbers and text can."""
+    kind = frame.schema[name].dataType
+    if not isinstance(kind, (T.NumericType, T.StringType)):
+        return F.lit(False)
+    kept = value.isNotNull()
+    if name == S.RATING:
+        return kept & (F.abs(value) < F.lit(float("inf")))  # false for NaN
+    if isinstance(kind, T.DecimalType):
+        return kept & (value.cast("decimal(38,18)") == F.col(name).try_cast("decimal(38,18)"))
+    if isinstance(kind, (T.FractionalType, T.StringType)):
+        return kept & (value.cast("double") == F.col(name).try_cast("double"))
+    return kept
+
+
+def _usable(frame: DataFrame) -> tuple[Column, dict[str, Column]]:
+    """Whether a row is a rating, and its canonical values."""
+    usable, cast = F.lit(True), {}
+    for field in S.RATINGS.fields:
+        name = field.name
+        convertible = isinstance(frame.schema[name].dataType, (T.NumericType, T.StringType))
+        value = F.col(name).try_cast(field.dataType) if convertible else F.lit(None).cast(field.dataType)
+        cast[name] = value
+        usable &= _fits(frame, name, value)
     if CORRUPT in frame.columns:
         usable &= F.col(CORRUPT).isNull()
-    usable = F.coalesce(usable, F.lit(False))
-    ratings = frame.filter(usable).select(*[c.alias(n) for n, c in cast.items()])
-    return ParsedRatings(ratings, frame.filter(~usable))
+    return F.coalesce(usable, F.lit(False)), cast
 
 
-def _read_text(spark: SparkSession, path: str, ddl: str, **options: object) -> DataFrame:
+def parse_ratings(frame: DataFrame) -> ParsedRatings:
+    """Cast to the canonical types and separate the rows that do not fit them.
+
+    ``frame`` has the canonical names; other columns are kept in ``rejected`` only, which also
+    has ``source_file`` and ``source_block`` (the byte where the read block starts) if the rows
+    come from files. Columns that are neither numbers nor text (booleans, dates, arrays) hold no
+    ratings: all their rows are rejected.
+    """
+    usable, cast = _usable(frame)
+    canonical = [c.alias(n) for n, c in cast.items()]
+    parsed = ParsedRatings(
+        frame.filter(usable).select(*canonical), _with_provenance(frame).filter(~usable)
+    )
+    parsed.source = frame.select(*canonical, usable.alias(USABLE))
+    return parsed
+
+
+def _with_provenance(frame: DataFrame) -> DataFrame:
+    """Where each row was read, if it was read from files."""
+    try:
+        return frame.select(
+            *frame.columns,
+            F.col("_metadata.file_path").alias(SOURCE_FILE),
+            F.col("_metadata.file_block_start").alias(SOURCE_BLOCK),
+        )
+    except AnalysisException:  # rows of no file
+        return frame
+
+
+def _read_text(
+    spark: SparkSession, path: str | list[str], ddl: str, **options: object
+) -> DataFrame:
     return (
         spark.read.options(columnNameOfCorruptRecord=CORRUPT, mode="PERMISSIVE", **options)
         .schema(f"{ddl}, {CORRUPT} STRING")
@@ -59,15 +125,19 @@ def _read_text(spark: SparkSession, path: str, ddl: str, **options: object) -> D
     )
 
 
-def read_tab(spark: SparkSession, path: str, infer_schema: bool = False) -> ParsedRatings:
-    """Tab-separated text without a header; columns are taken by position."""
+def _tab_frame(spark: SparkSession, path: str | list[str], infer_schema: bool) -> DataFrame:
+    ddl = RATINGS_DDL
     if infer_schema:
         # The types only; the rows are read with them, so that further fields are noticed.
         inferred = spark.read.csv(path, sep="\t", inferSchema=True).dtypes
         kinds = [kind for _, kind in inferred[:4]] + ["string"] * (4 - len(inferred))
         ddl = ", ".join(f"{n} {k}" for n, k in zip(S.RATING_COLUMNS, kinds, strict=True))
-        return parse_ratings(_read_text(spark, path, ddl, sep="\t"))
-    return parse_ratings(_read_text(spark, path, RATINGS_DDL, sep="\t"))
+    return _read_text(spark, path, ddl, sep="\t")
+
+
+def read_tab(spark: SparkSession, path: str, infer_schema: bool = False) -> ParsedRatings:
+    """Tab-separated text without a header; columns are taken by position."""
+    return parse_ratings(_tab_frame(spark, path, infer_schema))
 
 
 def read_double_colon(spark: SparkSession, path: str) -> ParsedRatings:
@@ -109,3 +179,59 @@ def read_fold(
         test_rows.rejected.withColumn("part", F.lit("test")), allowMissingColumns=True
     )
     return ParsedFold(train_rows.ratings, test_rows.ratings, rejected)
+
+
+FOLD, PART = "fold", "part"
+
+
+class ParsedFolds(NamedTuple):
+    """All folds in one frame each: canonical rows and rejected ones, with ``fold`` and ``part``
+    ('train' or 'test')."""
+
+    ratings: DataFrame
+    rejected: DataFrame
+
+    def pair(self, fold: int) -> tuple[DataFrame, DataFrame]:
+        """Train and test ratings of one fold."""
+        own = self.ratings.filter(F.col(FOLD) == fold)
+        return tuple(own.filter(F.col(PART) == p).drop(FOLD, PART) for p in ("train", "test"))
+
+
+def read_folds(
+    spark: SparkSession,
+    base: str,
+    folds: Sequence[int] = range(1, 6),
+    train: str = "u{fold}.base",
+    test: str = "u{fold}.test",
+    infer_schema: bool = False,
+) -> ParsedFolds:
+    """Ready-made folds, all files of a template in one scan.
+
+    The fold and the part of a row come from the path of the file it was read from. A file that
+    is missing is an error, as with ``read_fold``.
+    """
+    root = base.rstrip("/")
+    kinds = {"train": train, "test": test}
+    paths = [f"{root}/{name.format(fold=n)}" for n in folds for name in kinds.values()]
+    frame = _tab_frame(spark, paths, infer_schema)
+    # File paths are URIs, so names are decoded before they are compared.
+    path = F.url_decode(F.regexp_replace("_metadata.file_path", "[+]", "%2B"))
+    fold, part = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for label, name in kinds.items():
+        before, after = (re.escape(x) for x in name.split("{fold}"))
+        number = F.regexp_extract(path, f"/{before}(\\d+){after}(/[^/]*)?$", 1)
+        fold = F.when(number != "", number.cast("int")).otherwise(fold)
+        part = F.when(number != "", F.lit(label)).otherwise(part)
+    usable, canonical = _usable(frame)
+    keys = (fold.alias(FOLD), part.alias(PART))
+    marked = frame.select(
+        F.struct(*(canonical[n].alias(n) for n in S.RATING_COLUMNS)).alias("_row"),
+        F.struct(*frame.columns).alias("_line"),
+        usable.alias(USABLE), *keys,
+        F.col("_metadata.file_path").alias(SOURCE_FILE),
+        F.col("_metadata.file_block_start").alias(SOURCE_BLOCK),
+    )
+    return ParsedFolds(
+        marked.filter(USABLE).select("_row.*", FOLD, PART),
+        marked.filter(~F.col(USABLE)).select("_line.*", FOLD, PART, SOURCE_FILE, SOURCE_BLOCK),
+    )

@@ -1,0 +1,96 @@
+from __future__ import annotations
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from data import plan, random_ratings, ratings, rows
+from ratewright.operators import coldstart, keybits, profile
+from ratewright.operators.layout import scoped_conf
+
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+keys = st.lists(st.integers(LOW, HIGH) | st.integers(-130, 130) | st.none(), max_size=40)
+
+
+def frame(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "k bigint")
+
+
+@given(keys, keys)
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_sets_of_any_keys(spark, left, right):
+    a, b = (keybits.key_words(frame(spark, v), "k") for v in (left, right))
+    own, other = ({v for v in vs if v is not None} for vs in (left, right))
+    assert rows(keybits.keys_of(a, "k")) == sorted((v,) for v in own)
+    assert a.agg(keybits.size_of()).first()[0] == len(own)
+    assert rows(keybits.keys_of(keybits.merged(a, b), "k")) == sorted((v,) for v in own | other)
+    assert rows(keybits.keys_of(keybits.difference(a, b), "k")) == sorted((v,) for v in own - other)
+
+
+def test_dense_keys_take_a_64th_of_the_rows(spark):
+    words = keybits.key_words(spark.range(64 * 500).withColumnRenamed("id", "k"), "k")
+    assert words.count() == 500
+
+
+def test_profile_equals_distinct_counts_and_merges(spark):
+    whole = random_ratings(spark, n=5000, users=700, items=90)
+    wide = whole.selectExpr("user_id * 7919191919 - 5 AS user_id", "-item_id AS item_id", "rating", "timestamp")
+    for frame_ in (whole, wide):
+        (found,) = profile.matrix_profile(frame_).collect()
+        users, items = {r[0] for r in rows(frame_)}, {r[1] for r in rows(frame_)}
+        assert tuple(found)[:5] == (5000, len(users), len(items), 1.0, 5.0)
+        assert found.density == pytest.approx(5000 / (len(users) * len(items)))
+        parts = [profile.key_bits(frame_.filter(f"timestamp % 3 = {i}")) for i in range(3)]
+        states = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        assert profile.profile_of(profile.merge_key_bits(states)).collect() == [found]
+
+
+def test_profile_of_nothing(spark):
+    assert tuple(profile.matrix_profile(ratings(spark, [])).first()) == (0, 0, 0, None, None, None, None)
+
+
+def test_profile_has_no_expand_and_no_distinct(spark):
+    found = plan(profile.matrix_profile(random_ratings(spark)))
+    assert "Expand" not in found and "distinct" not in found.lower()
+    assert "ObjectHashAggregate" not in found and "SortAggregate" not in found
+
+
+def test_rows_are_not_shuffled_where_plain_keys_would_be(spark, tmp_path):
+    """A limit between the size of the words and that of the plain keys."""
+    train = spark.range(200_000).selectExpr(
+        "id AS user_id", "id AS item_id", "1.0D AS rating", "0L AS timestamp"
+    )
+    test = random_ratings(spark, users=300_000, items=300_000)
+    sets = {}
+    for key in ("user_id", "item_id"):
+        keybits.key_words(train, key).write.parquet(str(tmp_path / key))
+        sets[key] = spark.read.parquet(str(tmp_path / key))
+        train.select(key).write.option("compression", "none").parquet(str(tmp_path / f"{key}-plain"))
+    with scoped_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.adaptive.enabled": False}):
+        flagged = coldstart.flag_seen(test, sets["user_id"], sets["item_id"])
+        assert "Exchange hashpartitioning" not in plan(flagged)
+        plain = spark.read.parquet(str(tmp_path / "user_id-plain"))
+        assert "Exchange hashpartitioning" in plan(test.join(plain, "user_id", "left_semi"))
+        found = rows(flagged.select("user_id", "item_id", "user_seen", "item_seen"))
+    assert found == sorted((r[0], r[1], r[0] < 200_000, r[1] < 200_000) for r in rows(test))
+
+
+def test_hot_and_wide_keys_agree_with_joins(spark):
+    big = 1 << 45
+    pair = [
+        random_ratings(spark, n=2000, users=400, items=300).selectExpr(
+            f"IF(timestamp < 333, 7, user_id * {big // 1000} - {big}) AS user_id", f"item_id * {sign} AS item_id",
+            "rating", f"timestamp + {sign} AS timestamp",
+        ).filter(f"pmod(timestamp, 2) = {part}")
+        for sign, part in ((1, 0), (1, 1))
+    ]
+    train, test = pair
+    for key, found in (("user_id", coldstart.unseen_users(*pair)), ("item_id", coldstart.unseen_items(*pair))):
+        want = test.select(key).distinct().join(train.select(key).distinct(), key, "left_anti")
+        assert rows(found) == rows(want)
+    users, items = train.select("user_id").distinct(), train.select("item_id").distinct()
+    want = test.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi")
+    assert rows(coldstart.clean_test(*pair)) == rows(want.select(*test.columns))
+    assert rows(coldstart.unseen_item_rows(*pair)) == rows(
+        test.join(items, "item_id", "left_anti").select(*test.columns)
+    )

@@ -7,14 +7,16 @@ from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from data import ratings, rows
+from data import plan, ratings, rows
 from ratewright import schema as S
 from ratewright.sources import (
     parse_ratings,
     read_double_colon,
     read_fold,
+    read_folds,
     read_header_csv,
     read_parquet,
     read_tab,
@@ -111,6 +113,74 @@ def test_fold_files(spark, tmp_path):
     assert [(r.item_id, r.part) for r in rejected.collect()] == [(6, "test")]
 
 
+def test_all_folds_in_one_scan(spark, tmp_path):
+    base = tmp_path / "a b+c%20d"
+    base.mkdir()
+    for n in (1, 2, 12):
+        (base / f"u{n}.base").write_text(f"{n}\t2\t3\t4\n")
+        (base / f"u{n}.test").write_text(f"{n}\t6\t4.5\t8\nx{n}\t6\t4.5\t8\n")
+    parsed = read_folds(spark, str(base), (1, 12))
+    assert rows(parsed.ratings.select("user_id", "item_id", "fold", "part")) == [
+        (1, 2, 1, "train"), (1, 6, 1, "test"), (12, 2, 12, "train"), (12, 6, 12, "test")
+    ]
+    assert [rows(f) for f in parsed.pair(12)] == [[(12, 2, 3.0, 4)], [(12, 6, 4.5, 8)]]
+    bad = parsed.rejected.orderBy("fold").collect()
+    assert [(r.fold, r.part, r.source_block) for r in bad] == [(1, "test", 0), (12, "test", 0)]
+    assert bad[1].source_file.endswith("u12.test")
+    assert plan(parsed.ratings.unionByName(parsed.ratings)).count("FileScan") == 2
+    assert plan(parsed.ratings).count("FileScan") == 1
+    with pytest.raises(AnalysisException):
+        read_folds(spark, str(base), (1, 3))
+
+
+def test_columns_of_other_types_are_rejected_whole(spark, tmp_path):
+    """Booleans and dates have values that a cast would turn into numbers."""
+    others = ["true\tfalse", "2020-01-01\t2020-01-02", "2020-01-01 00:00:00\t2020-01-02 01:00:00"]
+    for i, pair in enumerate(others):
+        for column in range(4):
+            lines = []
+            for value in pair.split("\t"):
+                fields = ["1", "2", "3", "4"]
+                fields[column] = value
+                lines.append("\t".join(fields))
+            path = tmp_path / f"{i}-{column}"
+            path.write_text("\n".join(lines))
+            parsed = read_tab(spark, str(path), infer_schema=True)
+            assert (parsed.ratings.count(), parsed.rejected.count()) == (0, 2)
+    frame = spark.createDataFrame([(1, 1, 1.0, 1)], S.RATINGS)
+    for column in ("array(user_id)", "struct(user_id)", "cast('a' as binary)", "interval 1 day", "current_date()"):
+        parsed = parse_ratings(frame.withColumn("user_id", F.expr(column)))
+        assert (parsed.ratings.count(), parsed.rejected.count()) == (0, 1)
+
+
+def test_decimals_are_compared_exactly(spark):
+    big = 9007199254740993  # 2^53 + 1: equal to a neighbour as DOUBLE
+    frame = spark.sql(
+        f"SELECT CAST(k AS DECIMAL(20,2)) AS user_id, 1L AS item_id, 2.5BD AS rating, 3L AS timestamp"
+        f" FROM VALUES ({big}.00BD), (1.50BD), (99999999999999999.00BD), (-3.00BD) AS t(k)"
+    )
+    parsed = parse_ratings(frame)
+    assert [r[0] for r in rows(parsed.ratings)] == [-3, big, 99999999999999999]
+    assert parsed.rejected.count() == 1
+
+
+def test_rejected_rows_name_their_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in range(3):
+        (tmp_path / "in" / f"{n}.txt").write_text(f"1\t2\t3\t4\n{n}\tx\t3\t4\n")
+    rejected = read_tab(spark, str(tmp_path / "in")).rejected.collect()
+    assert sorted((r.user_id, r.source_file[-5:], r.source_block) for r in rejected) == [
+        (n, f"{n}.txt", 0) for n in range(3)
+    ]
+
+
+def test_one_pass_counts_kept_and_rejected(spark, tmp_path):
+    parsed = read_tab(spark, _file(tmp_path, "1\t2\t3\t4", "x\t2\t3\t4", "5\t6\t4.5\t8"))
+    seen = Observation()
+    assert rows(parsed.observed(seen)) == GOOD
+    assert seen.get == {"read_rows": 3, "kept_rows": 2, "rejected_rows": 1}
+
+
 def test_run_log_frame(spark):
     log = run_log_frame(spark, [{"run": 1, "rmse": 0.5}, {"run": 2, "dataset": "d"}])
     assert log.schema == S.RUN_LOG

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from data import plan, random_ratings, rows
@@ -54,6 +56,9 @@ def test_prepare_counts_rejected_rows_and_notices_a_lost_one(spark, tmp_path, mo
     parsed = read_tab(spark, str(path))
     (report,) = workflows.prepare(parsed, str(tmp_path / "a")).collect()
     assert (report.source_rows, report.rejected_rows, report.reconciled) == (60, 1, True)
+    (kept_apart,) = spark.read.parquet(str(tmp_path / "a" / "rejected")).collect()
+    line = json.loads(kept_apart.row)
+    assert line["_corrupt_record"] == "x\t1\t3.0\t1" and line["source_file"].endswith("r.tsv")
 
     whole = workflows.read_split
     monkeypatch.setattr(
@@ -75,8 +80,7 @@ def test_stored_key_sets_are_broadcast_only_below_the_threshold(spark, tmp_path)
     out = str(tmp_path / "prepared")
     workflows.prepare(random_ratings(spark), out)
     _, test = workflows.read_split(spark, out)
-    users = spark.read.parquet(f"{out}/known_users")
-    items = spark.read.parquet(f"{out}/known_items")
+    users, items = (workflows.read_key_words(spark, out, k) for k in ("user_id", "item_id"))
     found = plan(coldstart.flag_seen(test, users, items))
     assert found.count("BroadcastHashJoin") == 2 and "hashpartitioning" not in found
     with scoped_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": 1}):
