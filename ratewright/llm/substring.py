@@ -41,8 +41,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
-ANCHORS = "_id bigint, _th int, pos int, h bigint, c bigint"
-WINDOWS = "_id bigint, _th int, start int, h bigint, w bigint"
+ANCHORS = "_id bigint, _th bigint, pos int, h bigint, c bigint"
+WINDOWS = "_id bigint, _th bigint, start int, h bigint, w bigint"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -115,7 +115,7 @@ def _rows(ids, ths, lengths, *columns) -> pa.RecordBatch:
     """One row per hit: the document keys repeated, then the columns."""
     arrays = [
         pa.array(np.repeat(np.asarray(ids, np.int64), lengths)),
-        pa.array(np.repeat(np.asarray(ths, np.int32), lengths)),
+        pa.array(np.repeat(np.asarray(ths, np.int64), lengths)),
     ]
     for name, parts, dtype in columns:
         whole = np.concatenate(parts) if parts else np.zeros(0, dtype)

@@ -45,9 +45,15 @@ def id_key(docs: DataFrame, id_col: str) -> Column:
 
 
 def document_keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """``_id`` and ``_th`` (hash of the text): they name a document even where ids are null or
-    repeat with different texts. Rows that repeat both share them."""
-    return [id_key(docs, id_col).alias("_id"), F.hash(F.col(text_col)).alias("_th")]
+    """``_id`` and ``_th`` (64-bit hash of the text): they name a document even where ids are null
+    or repeat with different texts. Rows that repeat both share them. Without an id, ``_id`` is
+    a second hash of the text, so that 128 bits tell such texts apart."""
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    unnamed = F.xxhash64(F.lit("no id"), F.col(text_col).isNull(), text)
+    return [
+        F.when(F.col(id_col).isNull(), unnamed).otherwise(id_key(docs, id_col)).alias("_id"),
+        F.xxhash64(F.col(text_col).isNull(), text).alias("_th"),
+    ]
 
 
 def utf8(text_col: str) -> Column:

@@ -9,9 +9,10 @@ toxic share of it,
 
 and where a batch drives the second term below zero, the step goes the other way on it
 (Kiryo et al., 2017). The classifier is linear in which words and parts of words a text holds,
-with a logistic loss, fitted in numpy by Adam. A quarter of the sample is kept from the fit to
-turn logits into probabilities: prior * density among toxic / density among unlabelled, made
-monotone.
+with a logistic loss, fitted in numpy by Adam. The sample is cut into ``FOLDS`` parts; one model is
+fitted without each, and the classifier is their mean. Every sampled text has a logit from the
+model that has not seen it, and all of these turn logits into probabilities: prior * density
+among toxic / density among unlabelled, made monotone.
 
 The fit uses a bounded sample, chosen by a hash: ``positives`` toxic and ``unlabelled`` rows in
 expectation, and the ``features`` that stand out most among the toxic ones. Every whole text is
@@ -24,6 +25,7 @@ influence a score.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -44,8 +46,8 @@ MIN_DOCUMENTS = 5
 MIN_DEVIATIONS = 4.5
 PART_BYTES = (4, 5)
 STEPS = 3000
-# With fewer toxic texts to spare than this, logits are turned into scores as they are.
-MIN_CALIBRATION = 20
+# Parts of the sample, each kept from one of the models.
+FOLDS = 4
 BATCH = 512
 REMEMBERED_WORDS = 300_000
 STEP = 0.02
@@ -267,29 +269,50 @@ def learn(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Numbers(shared.value)
         for batch in batches:
-            found = [memo.of(t.as_py()) for t in batch.column(1)]
+            texts = [t.as_py() or b"" for t in batch.column(1)]
+            # A toxic text is in the unlabelled part too: by its content it gets the same fold.
+            folds = [zlib.crc32(t) % FOLDS for t in texts]
+            found = [memo.of(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.int32()))],
-                names=["positive", "numbers"],
+                [batch.column(0), pa.array(folds, pa.int32()), pa.array(found, pa.list_(pa.int32()))],
+                names=["positive", "fold", "numbers"],
             )
 
-    rows = sample.mapInArrow(encode, "positive int, numbers array<int>").toArrow()
+    rows = sample.mapInArrow(encode, "positive int, fold int, numbers array<int>").toArrow()
     # A fixed order, whatever the order of arrival, so that every run fits the same model.
-    parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for positive, row in sorted(
-        zip(rows.column(0).to_pylist(), (r.as_py() for r in rows.column(1)), strict=True)
+    parts: dict[int, list[tuple[int, np.ndarray]]] = {0: [], 1: []}
+    for positive, fold, row in sorted(
+        zip(*(c.to_pylist() for c in rows.columns[:2]), (r.as_py() for r in rows.column(2)), strict=True)
     ):
-        parts[positive].append(np.array(row, np.int64))
-    held = {k: x[::4] for k, x in parts.items()}
-    used = {k: [r for i, r in enumerate(x) if i % 4] for k, x in parts.items()}
-    if len(held[1]) < MIN_CALIBRATION or not held[0]:
-        used, held = parts, {0: [], 1: []}
-    if not used[0] or not used[1]:
+        parts[positive].append((fold, np.array(row, np.int64)))
+    if not parts[0] or not parts[1]:
         return NO_MODEL
-    weights, bias = fit(used[1], used[0], len(number_of), prior)
-    logits = {k: np.array([weights[r].sum() + bias for r in x]) for k, x in held.items()}
-    curve = calibrate(logits[1], logits[0], prior) if held[1] else (np.zeros(0), np.zeros(0))
-    return Model(number_of, weights, bias, *curve)
+    weights, bias, toxic, any_text = cross_fit(parts[1], parts[0], len(number_of), prior)
+    return Model(number_of, weights, bias, *calibrate(toxic, any_text, prior))
+
+
+def cross_fit(
+    positive: list[tuple[int, np.ndarray]], unlabelled: list[tuple[int, np.ndarray]],
+    features: int, prior: float, steps: int = STEPS,
+) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Mean weights and bias of one model per fold, and the logit of each text by the model that
+    was fitted without it; texts are (fold, feature numbers). A fold that holds all texts of a
+    kind is not kept from its model."""
+    models = []
+    logits = [np.zeros(len(positive)), np.zeros(len(unlabelled))]
+    for fold in range(FOLDS):
+        used = []
+        for rows in (positive, unlabelled):
+            others = [r for f, r in rows if f != fold]
+            used.append(others or [r for _, r in rows])
+        weights, bias = fit(*used, features, prior, steps)
+        models.append((weights, bias))
+        for own, rows in zip(logits, (positive, unlabelled), strict=True):
+            for i, (f, row) in enumerate(rows):
+                if f == fold:
+                    own[i] = weights[row].sum() + bias
+    mean = np.mean([w for w, _ in models], axis=0)
+    return mean, float(np.mean([b for _, b in models])), *logits
 
 
 def score(

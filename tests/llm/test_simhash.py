@@ -134,3 +134,17 @@ def test_component_labels_on_chains_and_stars(spark):
     assert {labels[i] for i in range(201)} == {0}
     assert {labels[1000 + i] for i in range(100)} == {1000}
     assert component_labels(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_documents_without_id_are_told_apart_by_more_than_32_bits(spark, docs):
+    """Texts whose 32-bit hashes collide."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(300_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    spread = texts.select(F.regexp_replace("text", "(.{8})", "$1 ").alias("text"), F.hash("text").alias("h"))
+    spread = spread.withColumn("h", F.hash("text"))
+    twice = spread.groupBy("h").agg(F.collect_set("text").alias("texts")).filter("size(texts) > 1")
+    rows = [(None, t) for r in twice.collect() for t in r.texts]
+    assert len(rows) >= 4
+    kept = simhash.keep_one(docs(rows)).collect()
+    assert sorted(r.text for r in kept) == sorted(t for _, t in rows)

@@ -48,7 +48,8 @@ def test_few_different_words_and_self_repeats(docs, prose, words):
 
 def test_a_passage_in_every_document(docs, prose):
     passage = prose(60, 7)
-    rows = [(i, f"{prose(20, i)} {passage} {prose(20, 500 + i)}") for i in range(150)]
+    # Marked neighbours: no word around the passage can agree with that of another document.
+    rows = [(i, f"{prose(20, i)} b{i} {passage} a{i} {prose(20, 500 + i)}") for i in range(150)]
     assert check(docs, rows) == 150 * 60
 
 
