@@ -2,6 +2,14 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again, and returns the
 columns of documents.
+
+Defined results: the language stage rejects null texts, texts without letters, and texts of which
+less than ``MIN_SCORE`` is evidence for a target language; a null ``lang`` is replaced by the one
+found; where no document has a language there is nothing to judge by, and all are passed on. Of
+near duplicates the smallest id stays (null last), of repeated rows one; documents without id
+are told apart by their text. Texts that lose all words are empty and stay until the mix, which
+takes no document without words. Ties in the mix are settled by hashes, so reruns agree. An
+empty table gives an empty table; columns other than those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -16,11 +24,21 @@ from ratewright.sources import work_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+# Languages to keep, None for all that documents are labelled with, and the least share of a text's
+# n-grams that speaks for its language.
+TARGET_LANGUAGES: tuple[str, ...] | None = None
+MIN_SCORE = 0.5
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters go."""
+    """Documents that are in a target language by their text, with that language if they had none."""
     model = langid.learn(docs)
+    if not model.languages:
+        return docs.select(*COLUMNS)
     found = langid.identify(docs, model, carry=(*COLUMNS,))
-    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    targets = [x for x in TARGET_LANGUAGES or model.languages if x != langid.UNDETERMINED]
+    kept = found.filter(F.col("lang_pred").isin(targets) & (F.col("score") >= MIN_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
