@@ -9,14 +9,20 @@ them, so a match with e edits shares at least m - q + 1 - q * e q-grams with the
 diagonals (document position minus item position) at most e apart. Shared q-grams are counted
 per item in bands of 2e + 1 diagonals, one starting at every (e + 1)-th diagonal, so that each
 match lies whole in some band. Bands that reach the bound are aligned with the item by a banded
-edit distance, and kept if the distance is within the budget.
+edit distance, and kept if the distance is within the budget. An item of fewer than (e + 1) q
+characters has shorter q-grams of its own, as long as it can share one after e edits, and
+belongs to an index of that length.
+
+Items that are equal when folded are searched as one. Where a text and an item repeat the same
+few words, every q-gram meets every place of the item; the shared q-grams of such texts are
+counted item by item and in pieces of ``HITS``, into one count per band.
 
 The benchmark is a query set: it is cut into blocks of at most ``BLOCK_CHARS`` characters, and
 each block is sent to the tasks for one pass over all documents. Texts are searched whole, and
 no document is shuffled.
 
-Defined results: null and empty texts match nothing; null and empty items, and items shorter
-than a q-gram when folded, match nothing; repeated documents each get their matches; repeated
+Defined results: null and empty texts match nothing; null items, and items that are empty when
+folded, match nothing; shorter items than a q-gram match where they occur as they are; repeated documents each get their matches; repeated
 items match under each of their ids; null ids are kept; other columns are not read.
 """
 
@@ -38,6 +44,8 @@ Q = 12
 RATE = 0.06
 BLOCK_CHARS = 4_000_000
 CHUNK_CHARS = 400_000
+# Meetings of a text's q-gram and a place in an item that are counted at a time.
+HITS = 1 << 20
 _FILTER_BITS = 24
 _SPACE = 32
 # Types of ids that are returned as they are; others become strings.
@@ -83,7 +91,7 @@ class Index(NamedTuple):
     """The q-grams of a block of items."""
 
     q: int
-    ids: list
+    ids: list[list]  # of each item; equal items are one
     items: list[np.ndarray]
     edits: np.ndarray
     least: np.ndarray  # shared q-grams a match must have
@@ -94,17 +102,41 @@ class Index(NamedTuple):
     place_of: np.ndarray
 
 
+def _item_codes(text: str | None) -> np.ndarray:
+    """An item folded, without space around it."""
+    codes, _ = folded([text or ""])
+    codes = codes[1:]
+    start, end = int(codes[:1].tolist() == [_SPACE]), len(codes) - int(codes[-1:].tolist() == [_SPACE])
+    return codes[start:end]
+
+
+def own_q(length: int, q: int, rate: float) -> int:
+    """The longest q-gram, q at most, that a match within the edits of an item must share."""
+    return min(q, length // (int(rate * length) + 1))
+
+
+def build_indexes(rows: list[tuple], q: int = Q, rate: float = RATE) -> list[Index]:
+    """Indexes of (id, text) rows, one for each length of q-grams."""
+    by_q: dict[int, list[tuple]] = {}
+    for row in rows:
+        length = len(_item_codes(row[1]))
+        if length:
+            by_q.setdefault(own_q(length, q, rate), []).append(row)
+    return [build_index(own, k, rate) for k, own in sorted(by_q.items())]
+
+
 def build_index(rows: list[tuple], q: int = Q, rate: float = RATE) -> Index:
     """An index of (id, text) rows."""
-    ids, items = [], []
+    ids, items, number_of = [], [], {}
     for item_id, text in rows:
-        codes, _ = folded([text or ""])
-        codes = codes[1:]
-        start, end = int(codes[:1].tolist() == [_SPACE]), len(codes) - int(codes[-1:].tolist() == [_SPACE])
-        codes = codes[start:end]
-        if len(codes) >= q:
-            ids.append(item_id)
+        codes = _item_codes(text)
+        if len(codes) < q:
+            continue
+        number = number_of.setdefault(codes.tobytes(), len(items))
+        if number == len(items):
+            ids.append([])
             items.append(codes)
+        ids[number].append(item_id)
     lengths = np.array([len(x) for x in items], np.int64)
     # At least one q-gram must be shared, or the lemma says nothing.
     edits = np.minimum((rate * lengths).astype(np.int64), (lengths - q) // q)
@@ -157,6 +189,79 @@ def banded_distance(item: np.ndarray, text: np.ndarray, edits: int, low: int, hi
     return int(cost[k]), int(begin[k]), int(place[k] + len(item))
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _pieces(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive runs whose sizes add up to ``most`` at most, or of one member."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _full_bands(
+    index: Index, at: np.ndarray, slot: np.ndarray, owner: np.ndarray, longest: int
+) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, band, shared q-grams) of the bands that reach the bound, from the places of
+    a text's q-grams in the index."""
+    times = index.first[slot + 1] - index.first[slot]
+    docs, begins = np.unique(owner, return_index=True)
+    hits = np.add.reduceat(times, begins)
+    edges = np.append(begins, len(at))
+    for run in _pieces(hits, HITS):
+        part = slice(int(edges[run.start]), int(edges[run.stop]))
+        if run.stop - run.start == 1 and hits[run.start] > HITS:
+            doc = int(docs[run.start])
+            for found in _full_bands_by_item(index, at[part], slot[part], longest):
+                yield doc, *found
+            continue
+        entry = _spread(index.first[slot[part]], times[part])
+        item, place = index.item_of[entry], index.place_of[entry]
+        band = (np.repeat(at[part], times[part]) - place + longest) // (index.edits[item] + 1)
+        # Width 2e + 1 from every (e + 1)-th diagonal on: a hit is in its own band and, but for the
+        # last diagonal of the own stride, in the one before.
+        bands = int(band.max()) + 2
+        key = (np.repeat(owner[part], times[part]) * len(index.items) + item) * bands + band + 1
+        keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        enough = counts >= index.least[(keys // bands) % len(index.items)]
+        for key, count in zip(keys[enough].tolist(), counts[enough].tolist(), strict=True):
+            pair, number = divmod(key, bands)
+            yield *divmod(pair, len(index.items)), number, count
+
+
+def _full_bands_by_item(
+    index: Index, at: np.ndarray, slot: np.ndarray, longest: int
+) -> Iterator[tuple[int, int, int]]:
+    """The same for one text, with a count per band of one item at a time."""
+    order = np.argsort(slot, kind="stable")
+    used, begins = np.unique(slot[order], return_index=True)
+    ends = np.append(begins[1:], len(slot))
+    sizes = index.first[used + 1] - index.first[used]
+    entry, of = _spread(index.first[used], sizes), np.repeat(np.arange(len(used)), sizes)
+    by_item = np.argsort(index.item_of[entry], kind="stable")
+    entry, of = entry[by_item], of[by_item]
+    items, firsts = np.unique(index.item_of[entry], return_index=True)
+    for item, first, last in zip(items.tolist(), firsts, np.append(firsts[1:], len(entry)), strict=True):
+        stride = int(index.edits[item]) + 1
+        base = (int(at.min()) - len(index.items[item]) + longest) // stride
+        counts = np.zeros((int(at.max()) + longest) // stride - base + 2, np.int64)
+        own, places = of[first:last], index.place_of[entry[first:last]]
+        times = ends[own] - begins[own]
+        for piece in _pieces(times, HITS):
+            here = at[order[_spread(begins[own[piece]], times[piece])]]
+            band = (here - np.repeat(places[piece], times[piece]) + longest) // stride - base
+            found = np.bincount(band, minlength=len(counts))
+            counts += found
+            counts[1:] += found[:-1]
+        for k in np.flatnonzero(counts >= index.least[item]):
+            yield item, int(k) + base, int(counts[k])
+
+
 def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, shared q-grams, distance, start, end): the best match of each item in each
     text, with its place in the original text."""
@@ -173,26 +278,11 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
     maybe, slot = maybe[hit], slot[hit]
     if not len(maybe):
         return []
-    times = index.first[slot + 1] - index.first[slot]
-    at = np.repeat(maybe, times)
-    within = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-    entry = np.repeat(index.first[slot], times) + within
-    item, place = index.item_of[entry], index.place_of[entry]
+    owner = np.searchsorted(starts, maybe, side="right") - 1
     longest = max(len(x) for x in index.items)
-    stride = index.edits[item] + 1
-    band = (at - place + longest) // stride
-    # Width 2e + 1 from every (e + 1)-th diagonal on: a hit is in its own band and, but for the
-    # last diagonal of the own stride, in the one before.
-    bands = int(band.max()) + 2
-    owner = np.searchsorted(starts, at, side="right") - 1
-    key = (owner * len(index.items) + item) * bands + band + 1
-    keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-    enough = counts >= index.least[(keys // bands) % len(index.items)]
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
     ends = np.append(starts[1:], len(codes))
-    for key, count in zip(keys[enough].tolist(), counts[enough].tolist(), strict=True):
-        pair, band = divmod(key, bands)
-        doc, i = divmod(pair, len(index.items))
+    for doc, i, band, count in _full_bands(index, maybe, slot, owner, longest):
         edits = int(index.edits[i])
         first = (band - 1) * (edits + 1) - longest
         body = slice(int(starts[doc]) + 1, int(ends[doc]))
@@ -251,7 +341,8 @@ def matches(
     context = docs.sparkSession.sparkContext
     passes = [
         rows.mapInArrow(
-            _search(context.broadcast(tuple(build_index(block, q, rate))), item_kind), schema
+            _search(context.broadcast([tuple(x) for x in build_indexes(block, q, rate)]), item_kind),
+            schema,
         )
         for block in blocks(benchmark, item_col, item_text_col)
     ]
@@ -277,9 +368,9 @@ def without_matches(
     )
     schema = f"row {rows.schema['row'].dataType.simpleString()}, t string"
     for block in blocks(benchmark, item_col, item_text_col):
-        index = build_index(block, q, rate)
-        if index.ids:
-            rows = rows.mapInArrow(_drop(context.broadcast(tuple(index))), schema)
+        indexes = [tuple(x) for x in build_indexes(block, q, rate)]
+        if indexes:
+            rows = rows.mapInArrow(_drop(context.broadcast(indexes)), schema)
     return rows.select("row.*")
 
 
@@ -297,11 +388,12 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 def _drop(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
+        indexes = [Index(*x) for x in shared.value]
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for first, texts in _chunks(batch.column(1)):
-                keep[[first + hit[0] for hit in search(index, texts)]] = False
+                for index in indexes:
+                    keep[[first + hit[0] for hit in search(index, texts)]] = False
             yield batch.filter(pa.array(keep))
 
     return run
@@ -309,19 +401,24 @@ def _drop(shared):
 
 def _search(shared, item_kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
+        indexes = [Index(*x) for x in shared.value]
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             found: list[tuple] = []
             for first, held in _chunks(texts):
-                found += [(first + hit[0], *hit[1:]) for hit in search(index, held)]
+                for index in indexes:
+                    found += [
+                        (first + doc, item_id, *rest)
+                        for doc, item, *rest in search(index, held)
+                        for item_id in index.ids[item]
+                    ]
             at, item, *rest = zip(*found, strict=True) if found else [()] * 6
             names = ["item", "shared", "distance", "start", "end"]
             kept = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     *(c.take(kept) for c in batch.columns[:-1]),
-                    pa.array([index.ids[i] for i in item], _ITEM_TYPES[item_kind]),
+                    pa.array(item, _ITEM_TYPES[item_kind]),
                     *(pa.array(x, pa.int64()) for x in rest),
                 ],
                 names=[*batch.schema.names[:-1], *names],
