@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewright.functions import ratio
@@ -12,15 +12,24 @@ from ratewright.functions import ratio
 MEAN_TIME = "mean_time"
 SPEEDUP = "speedup"
 EFFICIENCY = "efficiency"
+CONCURRENCY = "concurrency"
+# What a core summary averages: column of the log, and name in the summary.
+CORE_METRICS = {"training_time": "time", "rmse": "rmse", "coverage": "coverage"}
 
 
 def _spread(column: str, name: str) -> list[Column]:
     return [F.avg(column).alias(f"mean_{name}"), F.stddev(column).alias(f"std_{name}")]
 
 
+def _timed_alike(run_log: DataFrame) -> list[str]:
+    """Fits that ran side by side are never averaged with fits that ran alone."""
+    return [c for c in (CONCURRENCY,) if c in run_log.columns]
+
+
 def grid_summary(run_log: DataFrame) -> DataFrame:
-    """Per configuration: RMSE over the folds and mean time; lowest mean RMSE first."""
-    axes = ["rank", "reg_param", "max_iter"]
+    """Per configuration: RMSE over the folds and mean time; lowest mean RMSE first. A log that
+    has ``concurrency`` is also grouped by that."""
+    axes = ["rank", "reg_param", "max_iter", *_timed_alike(run_log)]
     summary = run_log.groupBy(*axes).agg(
         *_spread("rmse", "rmse"),
         F.avg("training_time").alias(MEAN_TIME),
@@ -30,8 +39,8 @@ def grid_summary(run_log: DataFrame) -> DataFrame:
 
 
 def block_summary(run_log: DataFrame) -> DataFrame:
-    """Per pair of block counts: RMSE and time."""
-    return run_log.groupBy("num_user_blocks", "num_item_blocks").agg(
+    """Per pair of block counts (and ``concurrency``): RMSE and time."""
+    return run_log.groupBy("num_user_blocks", "num_item_blocks", *_timed_alike(run_log)).agg(
         *_spread("rmse", "rmse"), *_spread("training_time", "time")
     )
 
@@ -46,6 +55,54 @@ def core_summary(run_log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def moment_state(
+    run_log: DataFrame, keys: Sequence[str], metrics: Sequence[str] = tuple(CORE_METRICS)
+) -> DataFrame:
+    """The mergeable state of a summary: per group ``num_runs`` and for each metric its count,
+    mean and sum of squared deviations from that mean (``n_``, ``avg_``, ``m2_``)."""
+    parts = [F.count("*").alias("num_runs")]
+    for m in metrics:
+        n, value = F.count(m), F.col(m).cast("double")
+        parts += [n.alias(f"n_{m}"), F.avg(value).alias(f"avg_{m}"), (F.var_pop(value) * n).alias(f"m2_{m}")]
+    return run_log.groupBy(*keys).agg(*parts)
+
+
+def merge_moments(
+    states: DataFrame, keys: Sequence[str], metrics: Sequence[str] = tuple(CORE_METRICS)
+) -> DataFrame:
+    """One state per group from those of several logs, without the logs.
+
+    Deviations are taken from the mean of all before they are squared and added, which loses no
+    digits where the means are large and close.
+    """
+    group = Window.partitionBy(*keys)
+    for m in metrics:
+        total = F.sum(F.col(f"n_{m}") * F.col(f"avg_{m}")).over(group)
+        states = states.withColumn(f"_{m}", ratio(total, F.sum(f"n_{m}").over(group)))
+    parts = [F.sum("num_runs").alias("num_runs")]
+    for m in metrics:
+        away = F.col(f"avg_{m}") - F.col(f"_{m}")
+        parts += [
+            F.sum(f"n_{m}").alias(f"n_{m}"),
+            F.first(f"_{m}").alias(f"avg_{m}"),
+            F.sum(F.col(f"m2_{m}") + F.col(f"n_{m}") * away * away).alias(f"m2_{m}"),
+        ]
+    return states.groupBy(*keys).agg(*parts)
+
+
+def core_summary_of(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``core_summary`` from merged states, grouped by ``by`` and ``num_cores``."""
+
+    def spread(m: str) -> list[Column]:
+        n = F.col(f"n_{m}")
+        deviation = F.when(n > 1, F.sqrt(F.col(f"m2_{m}") / (n - 1)))
+        return [F.col(f"avg_{m}").alias(f"mean_{CORE_METRICS[m]}"), deviation.alias(f"std_{CORE_METRICS[m]}")]
+
+    return states.select(
+        *by, "num_cores", *spread("training_time"), *spread("rmse"), spread("coverage")[0], "num_runs"
+    )
+
+
 def size_summary(run_log: DataFrame) -> DataFrame:
     """Per training-set size: time, RMSE and coverage, smallest set first."""
     return (

@@ -6,8 +6,10 @@ cached inputs; only one metrics row per fit comes back.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import replace
+from dataclasses import asdict, replace
 from functools import partial
 from itertools import product
 from multiprocessing.pool import ThreadPool
@@ -16,6 +18,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratewright import schema as S
 from ratewright.functions.hashing import XXHASH64
 from ratewright.operators import split
 from ratewright.operators.als import ALSParams, fit, release
@@ -32,9 +35,11 @@ GRID_MAX_ITERS = (5, 10)
 BLOCK_COUNTS = (2, 4, 10, 20)
 SIZE_FRACTIONS = (0.25, 0.5, 1.0)
 
+POOL = "spark.scheduler.pool"
+
 
 def model_name(rank: int, reg_param: float, max_iter: int) -> str:
-    return f"rank_{rank}_reg_param_{reg_param}_max_iter_{max_iter}"
+    return f"r{rank}-l{reg_param}-i{max_iter}"
 
 
 def config_grid(
@@ -57,9 +62,7 @@ def config_grid(
 def named_configs(run_log: DataFrame) -> DataFrame:
     """The distinct configurations of a run log, each with its composed name."""
     name = F.concat(
-        F.lit("rank_"), F.col("rank"),
-        F.lit("_reg_param_"), F.col("reg_param"),
-        F.lit("_max_iter_"), F.col("max_iter"),
+        F.lit("r"), F.col("rank"), F.lit("-l"), F.col("reg_param"), F.lit("-i"), F.col("max_iter")
     )
     configs = run_log.select("rank", "reg_param", "max_iter").distinct()
     return configs.withColumn("model_name", name)
@@ -83,10 +86,22 @@ def _run_all(
 ) -> list[dict]:
     if parallelism <= 1 or len(steps) <= 1:
         return [step() for step in steps]
-    # Job groups and local properties of the caller carry over to the threads.
+    # Job groups and local properties of the caller carry over to the threads. Each fit has a
+    # scheduler pool of its own: in a session with FAIR scheduling the fits get equal shares of
+    # the executors, where one queue would let the first hold up the others.
     inherit = inheritable_thread_target(spark)
+
+    def pooled(number: int, step: Callable[[], dict]) -> dict:
+        spark.sparkContext.setLocalProperty(POOL, f"fit-{number}")
+        try:
+            return step()
+        finally:
+            spark.sparkContext.setLocalProperty(POOL, None)
+
     with ThreadPool(min(parallelism, len(steps))) as pool:
-        return pool.map(lambda step: step(), [inherit(step) for step in steps])
+        return pool.map(
+            lambda step: step(), [inherit(partial(pooled, i, s)) for i, s in enumerate(steps)]
+        )
 
 
 def repeated_runs(
@@ -178,34 +193,83 @@ def size_sweep(
     return run_log_frame(spark, records)
 
 
+def run_key(fold: int, params: ALSParams, dataset: str | None = None) -> str:
+    """The name of a fit of a grid, the same in every session."""
+    content = json.dumps([dataset, fold, asdict(params)], sort_keys=True)
+    return hashlib.sha256(content.encode()).hexdigest()
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """The records of all fits in a store, each in a directory of its own: fits that end at the
+    same time then don't write to one place."""
+    return spark.read.schema(S.RUN_LOG).option("recursiveFileLookup", True).parquet(store)
+
+
+def _unfinished(
+    spark: SparkSession, store: str | None, wanted: Mapping[str, str]
+) -> dict[str, str]:
+    """Of the wanted fits (key to name) those that the stored log does not hold."""
+    if store is None:
+        return dict(wanted)
+    run_log_frame(spark, []).write.mode("overwrite").parquet(f"{store}/fit=none")
+    done = read_store(spark, store).select("run_key")
+    asked = spark.createDataFrame([(k,) for k in wanted], "run_key string")
+    left = {r[0] for r in asked.join(done, "run_key", "left_anti").collect()}
+    return {k: name for k, name in wanted.items() if k in left}
+
+
 def cross_validate(
     folds: Iterable[tuple[int, DataFrame, DataFrame]],
     grid: Mapping[str, ALSParams],
     dataset: str | None = None,
     parallelism: int = 1,
     cache_folds: bool = True,
+    store: str | None = None,
 ) -> DataFrame:
     """Every configuration on every fold: one record per fit.
 
     ``folds`` yields (number, train, test), for example from ready-made fold files.
     With ``parallelism`` above one, that many fits of a fold run at once. This fills a
-    cluster that one fit leaves idle, at the price that the fits' times affect each other.
+    cluster that one fit leaves idle, at the price that the fits' times affect each other;
+    their records say so in ``concurrency``.
+
+    ``store`` is a log that every fit is added to when it ends. A grid that was
+    stopped and is run again with the same store fits only what is missing there (a fit is
+    named by dataset, fold and parameters, so a store is for one state of the data), and
+    returns all its records.
     """
     records: list[dict] = []
-    spark = None
+    spark, keys = None, []
     for number, train, test in folds:
         spark = train.sparkSession
+        wanted = {run_key(number, params, dataset): name for name, params in grid.items()}
+        keys += wanted
+        missing = _unfinished(spark, store, wanted)
+        if not missing:
+            continue
         with cached(*((train, test) if cache_folds else ())):
             train_count, _ = _materialise(train, test)
-            tags = {"dataset": dataset, "fold": number, "train_count": train_count}
-            steps = [
-                partial(run_once, train, test, params, {**tags, "model_name": name})
-                for name, params in grid.items()
-            ]
+            tags = {
+                "dataset": dataset, "fold": number, "train_count": train_count,
+                "concurrency": max(1, min(parallelism, len(missing))),
+            }
+
+            def step(key: str, name: str, train=train, test=test, tags=tags) -> dict:
+                record = run_once(train, test, grid[name], {**tags, "model_name": name, "run_key": key})
+                if store is not None:
+                    one = run_log_frame(spark, [record]).coalesce(1)
+                    one.write.mode("overwrite").parquet(f"{store}/fit={key}")
+                return record
+
+            steps = [partial(step, key, name) for key, name in missing.items()]
             records += _run_all(spark, steps, parallelism)
     if spark is None:
         raise ValueError("no folds given")
-    return run_log_frame(spark, records)
+    if store is None:
+        return run_log_frame(spark, records)
+    asked = spark.createDataFrame([(k,) for k in keys], "run_key string")
+    stored = read_store(spark, store).join(asked, "run_key", "left_semi")
+    return stored.select(*S.RUN_LOG.fieldNames())
 
 
 def cross_validate_hashed(
@@ -215,6 +279,7 @@ def cross_validate_hashed(
     mode: str = XXHASH64,
     dataset: str | None = None,
     parallelism: int = 1,
+    store: str | None = None,
 ) -> DataFrame:
     """Cross-validation over k hash folds of one table.
 
@@ -222,4 +287,4 @@ def cross_validate_hashed(
     """
     with cached(split.with_fold(ratings, k, mode)) as (folded,):
         folds = ((number, *split.fold_pair(folded, number)) for number in range(k))
-        return cross_validate(folds, grid, dataset, parallelism, cache_folds=False)
+        return cross_validate(folds, grid, dataset, parallelism, cache_folds=False, store=store)

@@ -22,6 +22,7 @@ from ratewright.operators import (
     coldstart,
     evaluate,
     holdout,
+    ids,
     layout,
     profile,
     runlog,
@@ -504,6 +505,28 @@ def als_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*S.RATING_COLUMNS, product.alias("is_product"))
 
 
+_WIDE = 1 << 33
+
+
+@_register(
+    f"""{_WITH_SPLIT} SELECT user_id + {_WIDE} AS user_id, -item_id - {_WIDE} AS item_id, rating,
+    timestamp, true AS is_product FROM test WHERE {_USER_SEEN_SQL} AND {_ITEM_SEEN_SQL}"""
+)
+def als_wide_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``als_predictions`` for keys beyond INT on either side of 0, by a dictionary of dense ids."""
+    wide = {S.USER: F.col(S.USER) + _WIDE, S.ITEM: -F.col(S.ITEM) - _WIDE}
+    train, test = (part.withColumns(wide) for part in _baskets(spark, sf_dir))
+    model = ids.fit_keyed(train, _blocks(spark))
+    users = model.user_factors().withColumnsRenamed({S.USER: "_user", als.FEATURES: "_u"})
+    items = model.item_factors().withColumnsRenamed({S.ITEM: "_item", als.FEATURES: "_v"})
+    scored = model.score_all(test).filter(F.col(als.PREDICTION).isNotNull())
+    joined = scored.join(users, F.col(S.USER) == F.col("_user")).join(
+        items, F.col(S.ITEM) == F.col("_item")
+    )
+    product = F.abs(F.col(als.PREDICTION) - als.product_of("_u", "_v")) < 1e-4
+    return joined.select(*S.RATING_COLUMNS, product.alias("is_product"))
+
+
 @_register("SELECT count(*) AS num_ratings, true AS learned FROM lineitem")
 def als_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit on all line items, with ratings of planted low rank: RMSE against the mean's."""
@@ -575,7 +598,7 @@ _COVERAGE_SQL = """round(prediction_count / CAST(test_count AS DOUBLE), 6) AS co
         SELECT * FROM (SELECT unnest([5, 10, 20]) AS rank),
             (SELECT unnest([0.05, 0.1, 0.15])::DOUBLE AS reg_param),
             (SELECT unnest([5, 10]) AS max_iter))
-    SELECT fold, 'rank_' || rank || '_reg_param_' || reg_param || '_max_iter_' || max_iter
+    SELECT fold, 'r' || rank || '-l' || reg_param || '-i' || max_iter
                AS model_name,
            rank, reg_param, max_iter,
            train_count, test_count, prediction_count, {_COVERAGE_SQL}
@@ -728,7 +751,7 @@ def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(
     f"""{_WITH_LOG} SELECT DISTINCT rank, reg_param, max_iter,
-    'rank_' || rank || '_reg_param_' || reg_param || '_max_iter_' || max_iter AS model_name
+    'r' || rank || '-l' || reg_param || '-i' || max_iter AS model_name
     FROM r"""
 )
 def config_names(spark: SparkSession, sf_dir: str) -> DataFrame:

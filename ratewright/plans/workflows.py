@@ -13,12 +13,21 @@ from ratewright import schema as S
 from ratewright.functions.hashing import XXHASH64
 from ratewright.operators import coldstart, keybits, profile, runlog, split, sweep
 from ratewright.operators.als import ALSParams
-from ratewright.sources import ParsedRatings, write_json, write_parquet, write_single_csv
+from ratewright.sources import (
+    ParsedRatings,
+    read_bucketed,
+    write_bucketed,
+    write_json,
+    write_parquet,
+    write_single_csv,
+)
 from ratewright.sources.ratings import KEPT, READ, REJECTED
 
 CLEAN = "clean"
 # Runs that may be averaged and compared: one dataset, one set of parameters.
-RUN_GROUP = ["dataset", "rank", "reg_param", "max_iter", "num_user_blocks", "num_item_blocks"]
+RUN_GROUP = [
+    "dataset", "rank", "reg_param", "max_iter", "num_user_blocks", "num_item_blocks", "concurrency"
+]
 
 
 def prepare(
@@ -111,6 +120,27 @@ def read_split(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]
     return train, test
 
 
+def bucket_split(spark: SparkSession, out_dir: str, buckets: int) -> None:
+    """Store the split of ``prepare`` once more, train and test bucketed by user, below
+    ``{out_dir}/by_user``: cold start, totals and holdouts by user then start co-located."""
+    path = f"{out_dir.rstrip('/')}/by_user"
+    for part, rows in zip(("train", "test"), read_split(spark, out_dir), strict=True):
+        write_bucketed(rows, f"{path}/{part}", S.USER, buckets)
+    layout = spark.createDataFrame([(buckets,)], "buckets int")
+    write_json(layout.coalesce(1), f"{path}/layout")
+
+
+def read_bucketed_split(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Train and test ratings stored by ``bucket_split``."""
+    path = f"{out_dir.rstrip('/')}/by_user"
+    (layout,) = spark.read.schema("buckets int").json(f"{path}/layout").collect()
+    train, test = (
+        read_bucketed(spark, f"{path}/{part}", S.RATINGS, S.USER, layout.buckets)
+        for part in ("train", "test")
+    )
+    return train, test
+
+
 def read_clean_test(spark: SparkSession, out_dir: str) -> DataFrame:
     """Test ratings whose user and item training has seen, stored by ``prepare``."""
     return _stored_test(spark, out_dir).filter(CLEAN).select(*S.RATING_COLUMNS)
@@ -137,17 +167,23 @@ def timed_training(
     """Repeated runs on this session, stored with their scaling summary; returns the summary.
 
     Every session writes its log to a path of its own, ``{out_dir}/runs/session=<id>``, and the
-    summary is over all sessions in ``out_dir`` and ``earlier_runs``, so nothing that was logged
-    is overwritten. Runs of different datasets or parameters are never averaged together: the
+    counts, means and squared deviations of it to ``{out_dir}/moments/session=<id>``. The summary
+    merges the moments of all sessions in ``out_dir`` and of ``earlier_runs``: nothing that was
+    logged is overwritten or read again. Runs of different datasets or parameters are never averaged together: the
     summary has a group for each, with its own one-core baseline.
     """
     out_dir = out_dir.rstrip("/")
     log = sweep.repeated_runs(train, test, params, runs, True, dataset, num_cores)
-    write_parquet(log, f"{out_dir}/runs/session={uuid.uuid4().hex}")
-    every = read_runs(log.sparkSession, out_dir)
+    session, keys = uuid.uuid4().hex, [*RUN_GROUP, "num_cores"]
+    write_parquet(log, f"{out_dir}/runs/session={session}")
+    state = runlog.moment_state(log, keys)
+    write_parquet(state, f"{out_dir}/moments/session={session}")
+    states = log.sparkSession.read.schema(state.schema).parquet(f"{out_dir}/moments")
+    states = states.select(*state.columns)
     if earlier_runs is not None:
-        every = every.unionByName(earlier_runs.select(*every.columns))
-    summary = runlog.scaling_report(every, RUN_GROUP)
+        states = states.unionByName(runlog.moment_state(earlier_runs, keys))
+    merged = runlog.core_summary_of(runlog.merge_moments(states, keys), RUN_GROUP)
+    summary = runlog.with_scaling(merged, RUN_GROUP).orderBy(*keys)
     write_parquet(summary, f"{out_dir}/summary")
     write_single_csv(summary, f"{out_dir}/summary_csv", *RUN_GROUP, "num_cores")
     return summary
@@ -168,6 +204,9 @@ def grid_search(
 ) -> DataFrame:
     """Every configuration on every fold, stored as JSON lines; returns the summary.
 
+    Each fit is logged in ``{out_dir}/fits`` when it ends; a search that was stopped goes on from
+    there when it is called again.
+
     ``folds`` are (number, train, test), such as
     ``((n, *read_fold(spark, base, n)) for n in range(1, 6))``, with the rows that are not
     ratings as a fourth member if there are any. Those are stored as ``{out_dir}/rejected``,
@@ -181,7 +220,10 @@ def grid_search(
                 _store_rejected(rows, f"{out_dir.rstrip('/')}/rejected/fold={number}")
             yield number, train, test
 
-    log = sweep.cross_validate(accepted(), grid or sweep.config_grid(), dataset, parallelism)
+    log = sweep.cross_validate(
+        accepted(), grid or sweep.config_grid(), dataset, parallelism,
+        store=f"{out_dir.rstrip('/')}/fits",
+    )
     path = f"{out_dir.rstrip('/')}/grid_runs"
     write_json(log, path)
     return runlog.grid_summary(log.sparkSession.read.schema(S.RUN_LOG).json(path))

@@ -47,5 +47,10 @@ RUN_LOG = T.StructType(
         T.StructField("max_iter", T.IntegerType()),
         T.StructField("num_user_blocks", T.IntegerType()),
         T.StructField("num_item_blocks", T.IntegerType()),
+        # Fits that ran at the same time, this one among them: their times are not those of a
+        # fit alone, so summaries keep them apart.
+        T.StructField("concurrency", T.IntegerType()),
+        # Names a fit of a grid: a digest of its fold and parameters.
+        T.StructField("run_key", T.StringType()),
     ]
 )

@@ -12,13 +12,20 @@ from ratewright.sources.ratings import (
     read_tab,
 )
 from ratewright.sources.runlog import run_log_frame
-from ratewright.sources.sinks import write_json, write_parquet, write_single_csv
+from ratewright.sources.sinks import (
+    read_bucketed,
+    write_bucketed,
+    write_json,
+    write_parquet,
+    write_single_csv,
+)
 from ratewright.sources.workspace import work_path
 
 __all__ = [
     "ParsedFolds",
     "ParsedRatings",
     "parse_ratings",
+    "read_bucketed",
     "read_double_colon",
     "read_fold",
     "read_folds",
@@ -27,6 +34,7 @@ __all__ = [
     "read_tab",
     "run_log_frame",
     "work_path",
+    "write_bucketed",
     "write_json",
     "write_parquet",
     "write_single_csv",

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
 import statistics
+from functools import reduce
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrame
 
 from ratewright.operators import runlog
 from ratewright.sources import run_log_frame
@@ -78,3 +81,26 @@ def test_listing_and_best_first(spark):
     listed = runlog.run_listing(log, "num_cores", "run")
     assert [tuple(r) for r in listed.collect()] == [(1, 1), (1, 2), (2, 1), (2, 2)]
     assert runlog.best_first(log, "rmse").first().num_cores == 2
+
+
+def test_merged_moments_equal_the_summary_of_all_runs(spark):
+    """Sessions of different sizes, means far from 0, groups with one run, and missing values."""
+    maker = random.Random(3)
+    rows = [
+        (f"d{i % 3}", 1 + i % 2, 1e6 + maker.random(), None if i % 5 == 0 else maker.random(), maker.random(), i % 7)
+        for i in range(200)
+    ] + [("lone", 1, 5.0, 0.5, 1.0, 0)]
+    names = "dataset string, num_cores int, training_time double, rmse double, coverage double, session int"
+    log = spark.createDataFrame(rows, names)
+    keys = ["dataset", "num_cores"]
+    states = [runlog.moment_state(log.filter(f"session = {s}"), keys) for s in range(7)]
+    merged = runlog.core_summary_of(runlog.merge_moments(reduce(DataFrame.unionByName, states), keys), ["dataset"])
+    want = runlog.core_summary(log, ["dataset"])
+    assert merged.columns == want.columns
+    found, expected = ({(r.dataset, r.num_cores): r for r in f.collect()} for f in (merged, want))
+    assert found.keys() == expected.keys()
+    for group, row in expected.items():
+        for a, b in zip(found[group], row, strict=True):
+            assert a == b or a == pytest.approx(b, rel=1e-9, abs=1e-9)
+    again = runlog.merge_moments(runlog.merge_moments(states[0].unionByName(states[1]), keys), keys)
+    assert again.count() == runlog.merge_moments(states[0].unionByName(states[1]), keys).count()

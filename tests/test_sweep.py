@@ -19,8 +19,8 @@ def ratings(spark):
 def test_full_grid():
     grid = sweep.config_grid()
     assert len(grid) == 18
-    assert next(iter(grid)) == "rank_5_reg_param_0.05_max_iter_5"
-    assert grid["rank_20_reg_param_0.15_max_iter_10"].rank == 20
+    assert next(iter(grid)) == "r5-l0.05-i5"
+    assert grid["r20-l0.15-i10"].rank == 20
     with pytest.raises(ValueError, match="same name"):
         sweep.config_grid(ranks=(5, 5))
 
@@ -91,3 +91,55 @@ def test_repeated_runs(spark, ratings):
     (row,) = runlog.scaling_report(log).collect()
     assert (row.speedup, row.efficiency, row.num_runs) == (1.0, 1.0, 2)
     assert not train.is_cached and not test.is_cached
+
+
+def test_a_stopped_grid_goes_on_where_it_ended(spark, ratings, tmp_path, monkeypatch):
+    store, grid = str(tmp_path / "fits"), sweep.config_grid((1, 2), (0.1, 0.2), (1,), QUICK)
+    fitted, run_once = [], sweep.run_once
+
+    def dies(train, test, params, tags):
+        if len(fitted) == 5:
+            raise RuntimeError("lost")
+        fitted.append(tags["run_key"])
+        return run_once(train, test, params, tags)
+
+    monkeypatch.setattr(sweep, "run_once", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        sweep.cross_validate_hashed(ratings, grid, k=3, store=store)
+    assert sweep.read_store(spark, store).count() == len(fitted) == 5
+
+    def counts(*args):
+        fitted.append(args[-1]["run_key"])
+        return run_once(*args)
+
+    monkeypatch.setattr(sweep, "run_once", counts)
+    log = sweep.cross_validate_hashed(ratings, grid, k=3, store=store, parallelism=2)
+    found = log.collect()
+    assert len(fitted) == len(set(fitted)) == 12
+    assert {(r.fold, r.model_name) for r in found} == {(f, n) for f in range(3) for n in grid}
+    assert len(found) == 12 and log.schema == S.RUN_LOG
+    # Everything is there: nothing is fitted, and other grids and data sets are not taken for it.
+    assert sweep.cross_validate_hashed(ratings, grid, k=3, store=store).count() == 12
+    assert len(fitted) == 12
+    other = sweep.cross_validate_hashed(ratings, {"one": QUICK}, k=3, store=store, dataset="x")
+    assert other.count() == 3 and len(fitted) == 15
+
+
+def test_times_of_fits_side_by_side_are_kept_apart(spark, ratings):
+    grid = sweep.config_grid((1,), (0.1,), (1, 2), QUICK)
+    alone = sweep.cross_validate_hashed(ratings, grid, k=2)
+    together = sweep.cross_validate_hashed(ratings, grid, k=2, parallelism=4)
+    assert {r.concurrency for r in alone.collect()} == {1}
+    assert {r.concurrency for r in together.collect()} == {2}  # two configurations a fold
+    summary = runlog.grid_summary(alone.unionByName(together)).collect()
+    assert sorted((r.max_iter, r.concurrency, r.num_folds) for r in summary) == [
+        (1, 1, 2), (1, 2, 2), (2, 1, 2), (2, 2, 2)
+    ]
+
+
+def test_each_fit_runs_in_a_pool_of_its_own(spark):
+    pools = sweep._run_all(
+        spark, [lambda: {"pool": spark.sparkContext.getLocalProperty(sweep.POOL)}] * 3, 3
+    )
+    assert sorted(p["pool"] for p in pools) == ["fit-0", "fit-1", "fit-2"]
+    assert spark.sparkContext.getLocalProperty(sweep.POOL) is None

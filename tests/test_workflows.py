@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from data import plan, random_ratings, rows
 from ratewright import schema as S
-from ratewright.operators import als, coldstart, split, sweep
+from ratewright.operators import als, coldstart, holdout, split, sweep
 from ratewright.operators.layout import scoped_conf
 from ratewright.plans import workflows
 from ratewright.sources import read_fold, read_tab
@@ -107,3 +107,20 @@ def test_grid_search_over_fold_files(spark, tmp_path):
     assert {(r.fold, r.model_name) for r in stored.collect()} == {
         (n, name) for n in (1, 2) for name in grid
     }
+
+
+def test_bucketed_split_needs_no_shuffle_on_users(spark, tmp_path):
+    out = str(tmp_path / "it's here")
+    workflows.prepare(random_ratings(spark, n=2000), out)
+    workflows.bucket_split(spark, out, 4)
+    train, test = workflows.read_bucketed_split(spark, out)
+    assert [rows(f) for f in (train, test)] == [rows(f) for f in workflows.read_split(spark, out)]
+    with scoped_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": -1}):
+        totals, held = holdout.user_totals(train), holdout.user_holdout(train)
+        known = test.join(train.select("user_id").distinct(), "user_id", "left_semi")
+        for frame in (totals, held, known):
+            found = plan(frame)
+            assert "Exchange hashpartitioning(user_id" not in found and "Exchange rangepart" not in found
+            assert "Bucketed: true" in found
+    plain = workflows.read_split(spark, out)[0]
+    assert rows(held) == rows(holdout.user_holdout(plain)) and rows(totals) == rows(holdout.user_totals(plain))
