@@ -14,47 +14,40 @@ def frame(spark, rows):
 
 
 def exact(queries, rows, k):
-    """{query: [(id, score)]} by sorting everything."""
+    """Sorted (query, rank, id, score): for each query row all other rows, sorted."""
     def good(v):
         return v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
     usable = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and good(v)]
-    out = {}
-    for q, v in usable:
+    out = []
+    for at, (q, v) in enumerate(usable):
         if q not in queries:
             continue
-        best = {}
-        for i, w in usable:
-            if i != q and len(w) == len(v):
-                best[i] = max(best.get(i, -np.inf), float((w * v).sum()))
-        for i, s in best.items():
-            out.setdefault(q, {})[i] = max(out.get(q, {}).get(i, -np.inf), s)
-    return {q: sorted(c.items(), key=lambda x: (-x[1], x[0]))[:k] for q, c in out.items() if c}
+        others = [
+            (-float((w * v).sum()), i) for n, (i, w) in enumerate(usable) if n != at and len(w) == len(v)
+        ]
+        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(others)[:k], 1)]
+    return sorted(out)
 
 
 def found(rows, queries, spark, **options):
     all_rows = frame(spark, rows)
     result = ann.nearest(all_rows.filter(F.col("vec_id").isin(*queries)), all_rows, **options)
-    out = {}
-    for r in sorted(result.collect(), key=lambda r: (r.query_id, r.rank)):
-        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
-        assert r.rank == len(out[r.query_id])
-    return out
+    return sorted(map(tuple, result.collect()))
 
 
 def same(a, b):
-    assert a.keys() == b.keys()
-    for q in a:
-        assert [x[0] for x in a[q]] == [x[0] for x in b[q]]
-        assert [x[1] for x in a[q]] == pytest.approx([x[1] for x in b[q]], rel=1e-12, abs=1e-300)
+    assert [x[:3] for x in a] == [x[:3] for x in b]
+    assert [x[3] for x in a] == pytest.approx([x[3] for x in b], rel=1e-12, abs=1e-300)
 
 
-@pytest.mark.parametrize("tiles", [(4096, 4096), (7, 50)])
-def test_against_sorting_everything(spark, tiles):
+@pytest.mark.parametrize("limits", [(512, 4096), (7, 50)])
+def test_against_sorting_everything(spark, limits, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", limits[0])
     random = np.random.default_rng(4)
     rows = [(i, random.normal(size=16).astype(np.float32).tolist()) for i in range(400)]
     queries = list(range(0, 400, 20))
-    got = found(rows, queries, spark, tile_queries=tiles[0], tile_candidates=tiles[1])
+    got = found(rows, queries, spark, tile_candidates=limits[1])
     same(got, exact(queries, rows, 20))
 
 
@@ -69,6 +62,26 @@ def test_ties_nulls_zeros_lengths_and_repeats(spark):
     same(found(rows, queries, spark, k=20, tile_candidates=5), exact(queries, rows, 20))
 
 
+def test_every_other_row_is_a_candidate_where_ids_repeat(spark):
+    """Equal rows, and rows that share an id only, among the queries and among the candidates."""
+    random = np.random.default_rng(6)
+    rows = [(i, random.normal(size=4).astype(np.float32).tolist()) for i in range(30)]
+    rows += [rows[0]] * 3 + [rows[3]] * 40 + [(20, rows[1][1]), (20, rows[2][1]), (3, rows[5][1])]
+    for size in (4096, 8):
+        same(found(rows, [0, 20], spark, k=20, tile_candidates=size), exact([0, 20], rows, 20))
+    small = [(20, [1.0, 0.0]), (20, [0.5, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (4, [3.0, 0.0])]
+    same(found(small, [20], spark), exact([20], small, 20))
+
+
+def test_candidates_are_shuffled_once_and_queries_to_every_tile(spark):
+    rows = [(i, [1.0 + i, 1.0]) for i in range(200)]
+    every = frame(spark, rows)
+    result = ann.nearest(every.filter("vec_id % 20 = 0"), every, tile_candidates=50)
+    assert found(rows, list(range(0, 200, 20)), spark, tile_candidates=50) == sorted(map(tuple, result.collect()))
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+
+
 def test_bounds_hold():
     random = np.random.default_rng(1)
     for scale in (1e-6, 1.0, 1e6):
@@ -80,9 +93,9 @@ def test_bounds_hold():
 
 def test_fewer_candidates_and_empty_tables(spark):
     rows = [(0, [1.0]), (1, [2.0]), (2, [-1.0])]
-    assert found(rows, [0], spark, k=20) == {0: [(1, 2.0), (2, -1.0)]}
-    assert found([], [0], spark) == {}
-    assert found([(0, [1.0])], [0], spark) == {}
+    assert found(rows, [0], spark, k=20) == [(0, 1, 1, 2.0), (0, 2, 2, -1.0)]
+    assert found([], [0], spark) == []
+    assert found([(0, [1.0])], [0], spark) == []
 
 
 def test_query(spark, sf_dir):
@@ -90,7 +103,4 @@ def test_query(spark, sf_dir):
 
     rows = [tuple(r)[:2] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     queries = {i for i, _ in rows if i % 20 == 0}
-    got = {}
-    for r in sorted(op10_nearest(spark, sf_dir).collect(), key=lambda r: (r.query_id, r.rank)):
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    same(got, exact(queries, rows, 20))
+    same(sorted(map(tuple, op10_nearest(spark, sf_dir).collect())), exact(queries, rows, 20))

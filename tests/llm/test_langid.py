@@ -70,3 +70,57 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
     held = [r for r in found if r.held_out]
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in held]) > 0.98
+
+
+def plain_grams(text):
+    """All n-grams with a letter of the folded text, one by one."""
+    import re
+
+    kept = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    padded = " " + re.sub(" +", " ", kept.strip(" ")) + " "
+    padded = re.sub(" +", " ", padded)
+    return [padded[i : i + n] for n in langid.GRAMS for i in range(len(padded) - n + 1) if padded[i : i + n].strip(" ")]
+
+
+def plain_answers(learned, texts):
+    """[(language, score)] from sets of n-grams, without filters."""
+    from collections import Counter, defaultdict
+
+    counts, docs = defaultdict(Counter), Counter()
+    for lang, text in learned:
+        if lang is not None and text is not None:
+            counts[lang].update(set(plain_grams(text)))
+            docs[lang] += 1
+    own = {
+        x: {g for g, n in counts[x].items() if n >= max(2.0, langid.MIN_SHARE * docs[x])} for x in sorted(counts)
+    }
+    out = []
+    for text in texts:
+        found = plain_grams(text or "")
+        if not found:
+            out.append(("und", 0.0, 0.0))
+            continue
+        shares = sorted(((sum(g in s for g in found) / len(found), x) for x, s in own.items()), key=lambda v: -v[0])
+        lead = shares[0][0] - (shares[1][0] if len(shares) > 1 else 0.0)
+        out.append((shares[0][1], shares[0][0], lead))
+    return out
+
+
+def test_query_against_plain_sets(spark, sf_dir):
+    """The filters err by their false positives only, which the counts are corrected for."""
+    import zlib
+
+    from ratewright.llm.queries import op7_language
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    want = plain_answers([(r.lang, r.text) for r in rows if not held[r.doc_id]], [r.text for r in rows])
+    found = {r.doc_id: r for r in op7_language(spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    for r, (lang, score, lead) in zip(rows, want, strict=True):
+        got = found[r.doc_id]
+        assert got.held_out == held[r.doc_id]
+        assert abs(got.score - score) < 0.02
+        if lead > 0.02:
+            assert got.lang_pred == lang
+    assert sum(lead > 0.02 for *_, lead in want) > 0.9 * len(rows)

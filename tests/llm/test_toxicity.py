@@ -65,3 +65,51 @@ def test_held_out_quality(spark, sf_dir):
     hits = sum(r.predicted == 1 and toxic[r.doc_id] == 1 for r in held)
     assert hits / sum(r.predicted for r in held) > 0.85
     assert hits / sum(toxic[r.doc_id] == 1 for r in held) > 0.75
+
+
+def plain_score(model, text):
+    """The score of a text from its words, one feature at a time."""
+    import math
+    import re
+
+    lowered = re.sub(b"[A-Z]", lambda m: m[0].lower(), text or b"")
+    features = set()
+    for word in re.findall(rb"[a-z\x80-\xff]+", lowered):
+        features.add(b"=" + word)
+        marked = b"^" + word + b"$"
+        features |= {marked[i : i + n] for n in toxicity.PART_BYTES for i in range(len(marked) - n + 1)}
+    logit = model.bias + sum(model.weights[model.number_of[f]] for f in features if f in model.number_of)
+    chance = float(np.interp(logit, model.logits, model.chances))
+    return 0.98 * chance + 0.02 / (1 + math.exp(-min(50, max(-50, logit))))
+
+
+def test_scores_of_a_fitted_model_by_definition(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    folder = sf_dir.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.learn(docs.filter("doc_id % 3 != 0"), spark.read.parquet(f"{folder}/labels.parquet"))
+    assert len(model.number_of) > 5 and len(model.logits) > 2
+    texts = {r[0]: bytes(r[1]) if r[1] is not None else None
+             for r in docs.select("doc_id", F.col("text").cast("binary")).collect()}
+    found = toxicity.score(docs, model).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-9)
+
+
+def test_every_text_has_a_logit_from_a_model_without_it():
+    """Copies share a fold by content, and no fold may be judged by its own model."""
+    random = np.random.default_rng(5)
+    rows = [(int(i % toxicity.FOLDS), random.integers(0, 20, 4)) for i in range(80)]
+    weights, bias, toxic, clean = toxicity.cross_fit(rows[:20], rows, 20, 0.2, steps=40)
+    for fold in range(toxicity.FOLDS):
+        used = [[r for f, r in part if f != fold] for part in (rows[:20], rows)]
+        own, base = toxicity.fit(*used, 20, 0.2, 40)
+        for i, (f, row) in enumerate(rows):
+            if f == fold:
+                assert clean[i] == pytest.approx(own[row].sum() + base)
+                if i < 20:
+                    assert toxic[i] == pytest.approx(own[row].sum() + base)
+    one = toxicity.cross_fit(rows[:1], rows[:2], 20, 0.5, steps=10)  # nothing can be kept apart
+    assert len(one[2]) == 1 and np.isfinite(one[2]).all()
