@@ -10,8 +10,9 @@ Normalising must not change a count: null becomes the empty text, and nothing el
 
 Encoding is the library's. For a byte-level BPE in JSON, a text is cut where the tokenizer's own
 pre-tokenisation always cuts (before a single white-space character between two others), and
-the counts of pieces are remembered in the task; a text with one of the control characters on
-which the two definitions of white space differ is encoded in one piece.
+the counts of pieces are remembered in the task; a text with an added token's string, or with one
+of the control characters on which the two definitions of white space differ, is encoded in one
+piece.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows each get their
 count; null ids are kept; an empty table has no rows; other columns are not read.
@@ -66,9 +67,12 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     if not _splits_at_white_space(path):
         return encoded
     memo: dict[str, int] = {}
+    # An added token in a text ends the piece before it, which moves the cuts.
+    added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    uncut = re.compile("|".join([_DIFFERS.pattern, *added]))
 
     def count(texts: list[str]) -> list[int]:
-        cut = [[t] if _DIFFERS.search(t) else _PIECES.findall(t) for t in texts]
+        cut = [[t] if uncut.search(t) else _PIECES.findall(t) for t in texts]
         if len(memo) > REMEMBERED_PIECES:
             memo.clear()
         new = list({p for pieces in cut for p in pieces if p not in memo})
