@@ -11,10 +11,14 @@ branch reaches [d - r, d + r]; so one that is inside, but within r of the bounda
 the outer branch. One of each pair crosses, which is enough to meet.
 
 A tree over all 64 bits prunes badly, as random distances crowd around 32. The fingerprint is
-cut into two halves, and of two fingerprints within r one half is within r // 2: there is a tree
-over each half, with the small search radius r // 2. The vantage points are the same for all
-nodes of one level, so a fingerprint's shards follow from its distances alone, no tree is
-stored, and any point gives exact results. Radii are the median distances over all classes.
+cut into four parts of 16 bits, and of two fingerprints within r one part is within r // 4: there
+is a tree over each part, with the small search radius r // 4. A part has 65,536 values, so the
+number of classes with each is counted once, and the driver builds the trees from those counts:
+every node takes that of some of its values as vantage point, with that radius, which leaves the
+fewest pairs to compare, and nodes end at ``SHARD_CLASSES`` classes. Up to r = 3 nothing crosses there, and a class is in four
+shards however many classes there are. A leaf that is still large, because one value has very many
+classes, goes on over each of the other three parts, of which one is within r // 3, by trees with
+crossings; these are as fine as the largest leaf needs.
 
 Each shard is searched in blocks, all pairs exactly, and returns its members' smallest partner
 in the shard, not its pairs: the components over those links are the groups.
@@ -27,8 +31,8 @@ columns other than the id and the text are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,17 +42,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewright.llm.components import component_labels
-from ratewright.llm.text import document_keys, mix, utf8
+from ratewright.llm.text import document_keys, utf8
 from ratewright.sources import work_path
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
-# Mean number of classes that call a shard home; sets the depth of the trees.
+# Nodes with more classes are divided further.
 SHARD_CLASSES = 128
+# Values that a node tries as vantage point. Where rows cross, a node is divided if that leaves
+# less than this share of its pairs to be compared.
+VANTAGES = 4
+WORTH = 0.8
+# Leaves this many times larger go on over the other parts.
+LARGE = 8
 # Rows of a shard that are compared with the shard at once: bounds the memory of a search.
 BLOCK_ROWS = 512
-HALF_BITS = 32
+PARTS = 4
+PART_BITS = 16
+VALUES = 1 << PART_BITS
 
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -90,61 +102,122 @@ def fingerprints(
     return rows.mapInArrow(run, f"{kinds}fp bigint")
 
 
-def vantage_points(half: int, levels: int) -> np.ndarray:
-    """One 32-bit vantage point per level, the same on every call."""
-    level = np.arange(levels, dtype=np.uint64) + np.uint64(1000 * half + 1)
-    return (mix(level * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
-
-
-def _distances(fps: np.ndarray, half: int, vantage: int) -> np.ndarray:
-    bits = fps.view(np.uint64) >> np.uint64(HALF_BITS * half)
-    return np.bitwise_count((bits ^ np.uint64(vantage)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
-def _radii(classes: DataFrame, points: list[np.ndarray]) -> list[list[int]]:
-    """The median distance to every vantage point, from 33 counts for each."""
+def part_values(fps: np.ndarray, part: int) -> np.ndarray:
+    """The bits of one part, as numbers below ``VALUES``."""
+    return ((fps.view(np.uint64) >> np.uint64(PART_BITS * part)) & np.uint64(VALUES - 1)).astype(np.int64)
+
+
+class Tree(NamedTuple):
+    """The leaves of every value of a part: ``leaves[first[v]:first[v + 1]]``."""
+
+    first: np.ndarray
+    leaves: np.ndarray
+    sizes: np.ndarray  # classes in each leaf
+
+    def place(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into ``values``, leaf), one for every leaf that a value visits."""
+        begin, n = self.first[values], np.diff(self.first)[values]
+        within = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+        return np.repeat(np.arange(len(values)), n), self.leaves[np.repeat(begin, n) + within]
+
+
+def build_tree(counts: np.ndarray, reach: int, limit: int) -> Tree:
+    """The vantage-point tree over the values of a part, given the classes with each value, for
+    partners within ``reach``. Nodes of up to ``limit`` classes, of one value, or that no radius
+    divides well are leaves."""
+    ends, sizes = [], []
+    nodes = [np.flatnonzero(counts)]
+    while nodes:
+        values = nodes.pop()
+        weight = counts[values]
+        split = None
+        if len(values) > 1 and weight.sum() > limit:
+            worth = (WORTH if reach else 1.0) * weight.sum() ** 2.0
+            for vantage in values[:: -(-len(values) // VANTAGES)]:
+                d = np.bitwise_count(values ^ vantage)
+                below = np.bincount(d, weight, minlength=PART_BITS + 1).cumsum()
+                # By radius: the classes of the inner branch, and of the outer one with those
+                # that cross.
+                inner = below[:-1]
+                outer = below[-1] - np.concatenate([np.zeros(reach), inner])[: len(inner)]
+                pairs = inner**2 + outer**2
+                if pairs.min() < worth:
+                    worth, radius = pairs.min(), int(pairs.argmin())
+                    split = [values[d <= radius], values[d + reach > radius]]
+        if split is None:
+            ends.append(values)
+            sizes.append(int(weight.sum()))
+        else:
+            nodes += split
+    value = np.concatenate(ends)  # one empty leaf, if there are no classes
+    leaf = np.repeat(np.arange(len(ends)), [len(x) for x in ends])
+    order = np.argsort(value, kind="stable")
+    first = np.searchsorted(value[order], np.arange(VALUES + 1))
+    return Tree(first.astype(np.int32), leaf[order].astype(np.int32), np.array(sizes))
+
+
+class Forest(NamedTuple):
+    """A tree over each part, and, if some leaf is large, those that go on below such leaves."""
+
+    trees: list[Tree]
+    further: list[Tree]
+    large: int  # classes above which a leaf goes on
+
+    def place(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of a fingerprint, shard), one for every shard that it visits."""
+        owners, shards = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        parts = [part_values(fps, part) for part in range(PARTS)]
+        for part, tree in enumerate(self.trees):
+            owner, leaf = tree.place(parts[part])
+            shard = (leaf.astype(np.int64) * PARTS + part) << 32
+            large = tree.sizes[leaf] > self.large
+            owners.append(owner[~large])
+            shards.append(shard[~large])
+            if not large.any():
+                continue
+            for other, below in enumerate(self.further):
+                if other != part:
+                    at, branch = below.place(parts[other][owner[large]])
+                    owners.append(owner[large][at])
+                    shards.append(shard[large][at] + (other << 30) + branch)
+        return np.concatenate(owners), np.concatenate(shards)
+
+
+def plant(counts: np.ndarray, max_bits: int) -> Forest:
+    """The trees for classes of which ``counts[part, value]`` have that value in that part."""
+    trees = [build_tree(own, max_bits // PARTS, SHARD_CLASSES) for own in counts]
+    large, largest = LARGE * SHARD_CLASSES, max(int(tree.sizes.max()) for tree in trees)
+    if largest <= large:
+        return Forest(trees, [], large)
+    reach, limit = max_bits // (PARTS - 1), SHARD_CLASSES * int(counts[0].sum()) // largest
+    return Forest(trees, [build_tree(own, reach, limit) for own in counts], large)
+
+
+def value_counts(fps: np.ndarray) -> np.ndarray:
+    """How many fingerprints have each value of each part."""
+    return np.stack([np.bincount(part_values(fps, p), minlength=VALUES) for p in range(PARTS)])
+
+
+def _counts(classes: DataFrame) -> np.ndarray:
+    """``value_counts`` of all classes: at most ``PARTS`` x ``VALUES`` rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, len(points[0]), HALF_BITS + 1), np.int64)
+        counts = np.zeros((PARTS, VALUES), np.int64)
         for batch in batches:
-            fps = batch.column(0).to_numpy()
-            for half, row in enumerate(points):
-                for level, v in enumerate(row):
-                    counts[half, level] += np.bincount(_distances(fps, half, v), minlength=33)
-        half, level, d = (x.ravel() for x in np.indices(counts.shape))
-        yield pa.RecordBatch.from_pydict({"half": half, "level": level, "d": d, "n": counts.ravel()})
+            counts += value_counts(batch.column(0).to_numpy())
+        cell = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"cell": cell, "n": counts.ravel()[cell]})
 
     summed = (
         classes.select("fp")
-        .mapInArrow(count, "half bigint, level bigint, d bigint, n bigint")
-        .groupBy("half", "level", "d")
+        .mapInArrow(count, "cell bigint, n bigint")
+        .groupBy("cell")
         .agg(F.sum("n").alias("n"))
-        .collect()  # 2 x levels x 33 counts
+        .toArrow()
     )
-    table = np.zeros((2, len(points[0]), HALF_BITS + 1), np.int64)
-    for half, level, d, n in summed:
-        table[half, level, d] = n
-    below = table.cumsum(axis=2)
-    return np.abs(2 * below - below[:, :, -1:]).argmin(axis=2).tolist()
-
-
-def shards_of(
-    fps: np.ndarray, points: list[np.ndarray], radii: list[list[int]], reach: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """(index of a fingerprint, shard): its homes, and the shards behind near boundaries."""
-    owners, shards = [], []
-    for half, row in enumerate(points):
-        owner = np.arange(len(fps))
-        path = np.full(len(fps), 2 + half, np.int64)  # the halves' shards differ in the top bits
-        for vantage, radius in zip(row, radii[half], strict=True):
-            d = _distances(fps, half, vantage)[owner]
-            crosses = (d <= radius) & (d + reach > radius)
-            path = path * 2 + (d > radius)
-            owner = np.concatenate([owner, owner[crosses]])
-            path = np.concatenate([path, path[crosses] + 1])
-        owners.append(owner)
-        shards.append(path)
-    return np.concatenate(owners), np.concatenate(shards)
+    counts = np.zeros(PARTS * VALUES, np.int64)
+    counts[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    return counts.reshape(PARTS, VALUES)
 
 
 def shard_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,18 +251,15 @@ def shard_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]
     return fps[linked], fps[label[linked]]
 
 
-def links(classes: DataFrame, max_bits: int = MAX_BITS, count: int | None = None) -> DataFrame:
+def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) between different fingerprints (``fp``) that connect all within reach."""
-    count = classes.count() if count is None else count
-    levels = max(1, math.ceil(math.log2(max(count, 1) / SHARD_CLASSES + 1)))
-    points = [vantage_points(half, levels) for half in range(2)]
-    radii = _radii(classes, points)
-    reach = max_bits // 2
+    forest = plant(_counts(classes), max_bits)
+    shared = classes.sparkSession.sparkContext.broadcast(forest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy()
-            owner, shard = shards_of(fps, points, radii, reach)
+            owner, shard = shared.value.place(fps)
             yield pa.RecordBatch.from_pydict({"fp": fps[owner], "shard": shard})
 
     placed = classes.select("fp").mapInArrow(place, "fp bigint, shard bigint")

@@ -50,33 +50,50 @@ def test_groups_against_all_pairs(spark, seed, max_bits, monkeypatch):
     assert len(groups) == len(set(want.values()))
 
 
-def test_no_near_pair_is_lost_by_the_trees():
-    """Every pair within reach meets in a shard, at any depth."""
+def random_prints(n, seed):
+    return np.unique(np.random.default_rng(seed).integers(-(1 << 63), 1 << 63, n, np.int64))
+
+
+@pytest.mark.parametrize("shard, large", [(8, 1 << 40), (64, 0), (4, 1)])
+@pytest.mark.parametrize("max_bits", [1, 3, 7])
+def test_no_near_pair_is_lost_by_the_trees(monkeypatch, shard, large, max_bits):
+    """Every pair within reach meets in a shard, also where large leaves go on."""
+    monkeypatch.setattr(simhash, "SHARD_CLASSES", shard)
+    monkeypatch.setattr(simhash, "LARGE", large)
     maker = np.random.default_rng(3)
-    base = maker.integers(0, 1 << 63, 4000, np.int64)
-    for bits in (1, 2, 3):
-        near = base.copy()
-        for _ in range(bits):
-            near ^= np.int64(1) << maker.integers(0, 63, len(base))
-        points = [simhash.vantage_points(h, 12) for h in range(2)]
-        radii = [[16] * 12, [15] * 12]
-        together = set()
-        owners, shards = simhash.shards_of(np.concatenate([base, near]), points, radii, 1)
-        homes = {}
-        for owner, shard in zip(owners.tolist(), shards.tolist(), strict=True):
-            homes.setdefault(owner, set()).add(shard)
-        for i in range(len(base)):
-            if homes[i] & homes[i + len(base)]:
-                together.add(i)
-        assert len(together) == len(base)
-
-
-def test_shards_spread_out():
-    fps = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 20_000, np.int64)
-    points = [simhash.vantage_points(h, 8) for h in range(2)]
-    owners, shards = simhash.shards_of(fps, points, [[16] * 8] * 2, 1)
-    assert len(owners) < 8 * len(fps)
-    assert np.unique(shards, return_counts=True)[1].max() < len(fps) / 20
+    base = random_prints(3000, 3)
+    base[1000:] = base[1000] ^ (base[1000:] & 0xFFFF00FF)  # two thirds share values of parts
+    near = base.copy()
+    for _ in range(max_bits):
+        near ^= np.int64(1) << maker.integers(0, 63, len(base))
+    both = np.concatenate([base, near])
+    forest = simhash.plant(simhash.value_counts(np.unique(both)), max_bits)
+    assert bool(forest.further) == (large < 1 << 40)
+    homes = {}
+    for owner, home in zip(*(x.tolist() for x in forest.place(both)), strict=True):
+        homes.setdefault(owner, set()).add(home)
+    assert all(homes[i] & homes[i + len(base)] for i in range(len(base)))
+
+
+def compared(fps):
+    """Compared pairs and shard rows for each class."""
+    owner, shard = simhash.plant(simhash.value_counts(fps), simhash.MAX_BITS).place(fps)
+    sizes = np.unique(shard, return_counts=True)[1].astype(float)
+    return (sizes**2).sum() / len(fps), len(owner) / len(fps)
+
+
+def test_work_grows_with_the_classes():
+    (few, few_rows), (many, many_rows) = (compared(random_prints(n, 1)) for n in (10_000, 1_000_000))
+    assert few_rows == many_rows == simhash.PARTS
+    assert many < 2 * few
+
+
+def test_a_hot_part_is_divided_further():
+    """A third of the classes share one part: their shard goes on over the others."""
+    fps = random_prints(200_000, 2)
+    fps[: len(fps) // 3] &= ~0xFFFF
+    pairs, rows = compared(np.unique(fps))
+    assert pairs < len(fps) / 20 and rows < 40
 
 
 def test_shard_links_of_a_large_group_are_few():
