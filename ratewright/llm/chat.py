@@ -23,7 +23,7 @@ Rows are rendered one by one, without a shuffle. A conversation is read back as
 rows are sorted within their partition and hashed turn by turn, so a conversation of any length
 takes the memory of one turn.
 
-Defined results: null text is empty; a null role and an empty one are the empty name; turns are
+Defined results: null text is empty; bytes that are not UTF-8 are U+FFFD; a null role and an empty one are the empty name; turns are
 ordered by turn (null first), ties by role and text; repeated rows are turns of their own; rows
 without conversation id form one conversation; an empty table has no rows; columns other than
 the four named are not read.
@@ -40,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratewright.llm.text import readable
+
 # Start and end markers by role.
 MARKERS = {"user": ("[INST]", "[/INST]"), "system": ("[SYS]", "[/SYS]"), "assistant": ("[BOT]", "</s>")}
 OTHER = ("[ROLE]", "[/ROLE]")
@@ -144,7 +146,8 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                 names=[*batch.schema.names, "formatted"],
             )
 
-    rows = conversations.select("conv_id", "turn", "role", "text")
+    texts = [readable(F.col(name)).alias(name) for name in ("role", "text")]
+    rows = conversations.select("conv_id", "turn", *texts)
     kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
     return rows.mapInArrow(run, f"{kinds}, formatted string")
 

@@ -21,7 +21,7 @@ The benchmark is a query set: it is cut into blocks of at most ``BLOCK_CHARS`` c
 each block is sent to the tasks for one pass over all documents. Texts are searched whole, and
 no document is shuffled.
 
-Defined results: null and empty texts match nothing; null items, and items that are empty when
+Defined results: null and empty texts match nothing; bytes that are not UTF-8 are spaces; null items, and items that are empty when
 folded, match nothing; shorter items than a q-gram match where they occur as they are; repeated documents each get their matches; repeated
 items match under each of their ids; null ids are kept; other columns are not read.
 """
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.llm.text import mix
+from ratewright.llm.text import mix, readable
 
 Q = 12
 RATE = 0.06
@@ -305,7 +305,7 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
     """The benchmark in parts of about ``BLOCK_CHARS`` characters; the driver holds one."""
-    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(
+    rows = benchmark.select(F.col(id_col).alias("id"), readable(F.col(text_col)).alias("text")).filter(
         F.col("text").isNotNull()
     )
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -334,7 +334,7 @@ def matches(
     inner = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(
         *(F.col(c).alias(n) for c, n in zip(carry, inner, strict=True)),
-        F.col(text_col).cast("string").alias("t"),
+        readable(F.col(text_col)).alias("t"),
     ).filter(F.length("t") > 0)
     kinds = "".join(f"{n} {t}, " for n, t in rows.dtypes[:-1])
     schema = f"{kinds}item {item_kind}, shared bigint, distance bigint, start bigint, end bigint"
@@ -364,7 +364,7 @@ def without_matches(
     context = docs.sparkSession.sparkContext
     columns = docs.columns
     rows = docs.select(
-        F.struct(*columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")
+        F.struct(*columns).alias("row"), F.coalesce(readable(F.col(text_col)), F.lit("")).alias("t")
     )
     schema = f"row {rows.schema['row'].dataType.simpleString()}, t string"
     for block in blocks(benchmark, item_col, item_text_col):

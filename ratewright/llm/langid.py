@@ -14,7 +14,7 @@ Texts are folded first: letters in lower case, runs of anything else one space.
 
 Defined results: a null text or one without letters is ``und`` with score 0; without any labelled
 document everything is ``und``; equal evidence goes to the first language by code point; repeated
-rows get the same answer; null ids are kept; labels, ids and other columns never influence an
+rows get the same answer; null ids are kept; bytes that are not UTF-8 are no letters; labels, ids and other columns never influence an
 answer.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratewright.llm.text import mix
+from ratewright.llm.text import mix, readable
 
 UNDETERMINED = "und"
 GRAMS = (2, 3, 4)
@@ -39,7 +39,7 @@ SLOTS = 1 << 20
 HASHES = 3
 PER_LANGUAGE = 2000
 MIN_SHARE = 0.004
-# Characters that are looked up together.
+# Characters that are looked up together; longer texts are read in parts.
 CHUNK_CHARS = 100_000
 
 _SPACE = 32
@@ -67,8 +67,9 @@ def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.cumsum(codes == 0) - 1
 
 
-def grams(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams within texts, and the text of each."""
+def grams(codes: np.ndarray, owner: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams within texts, and the text of each; without those that lie in the
+    first ``known`` codes."""
     wide, found, owners = codes.astype(np.uint64), [], []
     for n in GRAMS:
         if len(wide) < n:
@@ -82,6 +83,7 @@ def grams(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             whole &= part != 0
             letter |= part > _SPACE
         whole &= letter
+        whole[: max(known - n + 1, 0)] = False
         found.append(mix(value[whole]))
         owners.append(owner[: len(whole)][whole])
     if not found:
@@ -89,6 +91,33 @@ def grams(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(found), np.concatenate(owners)
 
 
+def gram_parts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``grams`` of texts in parts: of all up to ``CHUNK_CHARS`` together, of longer ones bit by
+    bit. A part starts with the last folded codes of the one before it, so that every n-gram is
+    counted once, also where parts meet."""
+    long = [i for i, t in enumerate(texts) if t is not None and len(t) > CHUNK_CHARS]
+    yield grams(*folded([None if i in long else t for i, t in enumerate(texts)] if long else texts))
+    for i in long:
+        last = np.zeros(0, np.uint32)
+        for at in range(0, len(texts[i]), CHUNK_CHARS):
+            part = texts[i][at : at + CHUNK_CHARS]
+            codes = folded([part])[0][1:]
+            # The space at either end goes where the part cuts a word.
+            if at and _is_letter(part[0]):
+                codes = codes[1:]
+            if at + CHUNK_CHARS < len(texts[i]) and _is_letter(part[-1]):
+                codes = codes[:-1]
+            if len(last) and last[-1] == _SPACE and len(codes) and codes[0] == _SPACE:
+                codes = codes[1:]
+            codes = np.concatenate([last, codes])
+            yield grams(codes, np.full(len(codes), i), len(last))
+            last = codes[-(max(GRAMS) - 1) :]
+
+
+def _is_letter(char: str) -> bool:
+    return _folding()[ord(char)] > _SPACE
+
+
 def _slots(hashes: np.ndarray, i: int) -> np.ndarray:
     step = (hashes >> np.uint64(32)) | np.uint64(1)
     return ((hashes + np.uint64(i) * step) % np.uint64(SLOTS)).astype(np.int64)
@@ -107,15 +136,14 @@ class Model(NamedTuple):
         return np.unpackbits(mask, axis=1, bitorder="little")[:, : len(self.languages)]
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        codes, owner = folded(texts)
-        hashes, of = grams(codes, owner)
-        total = np.bincount(of, minlength=len(texts)).astype(float)
-        if not self.languages or not len(hashes):
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        bits = self.contained(hashes)
-        counts = np.stack(
-            [np.bincount(of[bits[:, k] > 0], minlength=len(texts)) for k in range(bits.shape[1])], 1
-        )
+        total, counts = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
+        if not self.languages:
+            return [UNDETERMINED] * len(texts), total
+        for hashes, of in gram_parts(texts):
+            total += np.bincount(of, minlength=len(texts))
+            bits = self.contained(hashes)
+            for k in range(bits.shape[1]):
+                counts[:, k] += np.bincount(of[bits[:, k] > 0], minlength=len(texts))
         rate = self.false_positives[None, :]
         true = np.clip((counts - rate * total[:, None]) / (1 - rate), 0, None)
         best = true.argmax(axis=1)
@@ -138,7 +166,7 @@ def learn(
     """
     rows = labelled.select(
         F.col(lang_col).alias("lang"),
-        F.col(text_col).alias("text"),
+        readable(F.col(text_col)).alias("text"),
         F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)).alias("at"),
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -158,7 +186,10 @@ def learn(
                 own = np.flatnonzero(langs == lang)
                 parts, docs = [np.zeros(0, np.uint64)], 0
                 for i in own:
-                    parts.append(np.unique(grams(*folded([texts[int(i)].as_py()]))[0]))
+                    held = np.zeros(0, np.uint64)
+                    for found, _ in gram_parts([texts[int(i)].as_py()]):
+                        held = np.union1d(held, found)
+                    parts.append(held)
                     docs += 1
                 gram, n = np.unique(np.concatenate(parts), return_counts=True)
                 # Hash 0 counts the documents.
@@ -204,10 +235,10 @@ def identify(
             scores: list[np.ndarray] = [np.zeros(0)]
             held: list[str | None] = []
             chars = 0
-            texts = batch.column(at)
+            texts = batch.column(at).cast(pa.binary())
             for i, text in enumerate(texts):
-                held.append(text.as_py())
-                chars += len(held[-1] or "") + 3
+                held.append((text.as_py() or b"").decode("utf-8", "replace"))
+                chars += len(held[-1]) + 3
                 if chars > CHUNK_CHARS or i + 1 == len(texts):
                     found, score = own.decide(held)
                     names += found
@@ -227,6 +258,7 @@ def identify(
     inner = [f"c{i}" for i in range(len(carry))]
     columns = [F.col(c).alias(n) for c, n in zip(carry, inner, strict=True)]
     at = len(carry)
+    at = len(carry)
     if text_col in carry and docs.schema[text_col].dataType == T.StringType():
         at = carry.index(text_col)
     else:

@@ -56,6 +56,11 @@ def document_keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     ]
 
 
+def readable(column: Column) -> Column:
+    """A text as a string, bytes that are not UTF-8 as U+FFFD."""
+    return F.make_valid_utf8(column.cast("string"))
+
+
 def utf8(text_col: str) -> Column:
     """A text as bytes, null as empty."""
     return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))

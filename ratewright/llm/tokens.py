@@ -14,7 +14,8 @@ the counts of pieces are remembered in the task; a text with an added token's st
 of the control characters on which the two definitions of white space differ, is encoded in one
 piece.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows each get their
+Defined results: null and empty texts have 0 bytes and 0 tokens; bytes that are not UTF-8 count
+as U+FFFD; repeated rows each get their
 count; null ids are kept; an empty table has no rows; other columns are not read.
 """
 
@@ -30,6 +31,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratewright.llm.text import readable
+
 CACHE = "tokenizer string, digest binary, n_tokens bigint"
 OVER_LIMIT = 512
 # Characters that are encoded together, and pieces that a task remembers.
@@ -158,7 +161,7 @@ def count_tokens(
         cache = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version)
         return cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
-    content = F.coalesce(F.col(text_col), F.lit(""))
+    content = F.coalesce(readable(F.col(text_col)), F.lit(""))
     digest = F.unhex(F.sha2(content, 256)).alias("digest")
     distinct = docs.select(digest, content.alias("text")).dropDuplicates(["digest"])
     misses = distinct.join(stored().select("digest"), "digest", "left_anti")
