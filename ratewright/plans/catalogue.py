@@ -42,6 +42,7 @@ from ratewright.sources import (
     write_parquet,
     write_single_csv,
 )
+from ratewright.sources.ratings import USABLE
 
 # The user of the query that lists one user's ratings: any that every scale holds.
 ONE_USER = 101
@@ -858,17 +859,18 @@ def source_fold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = F.explode(F.sequence(F.lit(0), F.lit(4)))
     rating = F.when(F.col(S.ITEM) % 7 == 0, F.lit("")).otherwise(F.col(S.RATING).cast("string"))
     member = F.when(F.col("n") == F.col(split.FOLD), F.lit("test")).otherwise(F.lit("base"))
-    split.with_fold(order_ratings(spark, sf_dir), 5, MD5).withColumn("n", numbers).select(
-        F.concat_ws("\t", S.USER, S.ITEM, rating, S.TIMESTAMP).alias("value"),
-        F.format_string("u%d.%s", F.col("n") + 1, member).alias("part"),
+    # A rating's line is made once and then goes to its five files.
+    line = F.concat_ws("\t", S.USER, S.ITEM, rating, S.TIMESTAMP).alias("value")
+    lines = split.with_fold(order_ratings(spark, sf_dir), 5, MD5).select(line, split.FOLD)
+    number = (F.col("n") + 1).cast("string")
+    lines.withColumn("n", numbers).select(
+        "value", F.concat(F.lit("u"), number, F.lit("."), member).alias("part")
     ).write.partitionBy("part").text(base)
 
     # One scan of the ten files: kept rows are counted by part, the others as rejected.
     parsed = read_folds(spark, base, range(1, 6), "part=u{fold}.base", "part=u{fold}.test")
-    kept = parsed.ratings.select("fold", F.col("part").alias("kind"), S.RATING)
-    rows = kept.unionByName(
-        parsed.rejected.select("fold", F.lit("rejected").alias("kind"), S.RATING)
-    )
+    kind = F.when(F.col(USABLE), F.col("part")).otherwise("rejected").alias("kind")
+    rows = parsed.source.select("fold", kind, S.RATING)
     return _rounded(
         rows.groupBy("fold").agg(
             *(

@@ -11,7 +11,6 @@ fields the whole line is parsed, so text sources don't prune columns.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -184,13 +183,21 @@ def read_fold(
 FOLD, PART = "fold", "part"
 
 
-class ParsedFolds(NamedTuple):
-    """All folds in one frame each: canonical rows and rejected ones, with ``fold`` and ``part``
-    ('train' or 'test')."""
-
+class _Folds(NamedTuple):
     ratings: DataFrame
     rejected: DataFrame
 
+
+class ParsedFolds(_Folds):
+    """All folds in one frame each: canonical rows and rejected ones, with ``fold`` and ``part``
+    ('train' or 'test').
+
+    ``source`` is every row that was read: the canonical values, USABLE, ``fold`` and ``part``.
+    Who wants both kinds of row reads the files once there, not once for each kind.
+    """
+
+    source: DataFrame | None = None
+
     def pair(self, fold: int) -> tuple[DataFrame, DataFrame]:
         """Train and test ratings of one fold."""
         own = self.ratings.filter(F.col(FOLD) == fold)
@@ -214,14 +221,22 @@ def read_folds(
     kinds = {"train": train, "test": test}
     paths = [f"{root}/{name.format(fold=n)}" for n in folds for name in kinds.values()]
     frame = _tab_frame(spark, paths, infer_schema)
-    # File paths are URIs, so names are decoded before they are compared.
-    path = F.url_decode(F.regexp_replace("_metadata.file_path", "[+]", "%2B"))
+    # File paths are URIs, so names are decoded before they are compared, where they need it.
+    path = F.col("_metadata.file_path")
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    path = F.when(F.contains(path, F.lit("%")), decoded).otherwise(path)
     fold, part = F.lit(None).cast("int"), F.lit(None).cast("string")
     for label, name in kinds.items():
-        before, after = (re.escape(x) for x in name.split("{fold}"))
-        number = F.regexp_extract(path, f"/{before}(\\d+){after}(/[^/]*)?$", 1)
-        fold = F.when(number != "", number.cast("int")).otherwise(fold)
-        part = F.when(number != "", F.lit(label)).otherwise(part)
+        # The last names of the path are a fold's, of the file itself or of its directory. They
+        # are looked up: a regular expression would cost each row more than its parsing.
+        depth = name.count("/") + 1
+        folder = F.substring_index(F.substring_index(path, "/", -depth - 1), "/", depth)
+        number = F.lit(None).cast("int")
+        for tail in (F.substring_index(path, "/", -depth), folder):
+            for n in folds:
+                number = F.when(tail == name.format(fold=n), F.lit(n)).otherwise(number)
+        fold = F.coalesce(number, fold)
+        part = F.when(number.isNotNull(), F.lit(label)).otherwise(part)
     usable, canonical = _usable(frame)
     keys = (fold.alias(FOLD), part.alias(PART))
     marked = frame.select(
@@ -231,7 +246,9 @@ def read_folds(
         F.col("_metadata.file_path").alias(SOURCE_FILE),
         F.col("_metadata.file_block_start").alias(SOURCE_BLOCK),
     )
-    return ParsedFolds(
+    parsed = ParsedFolds(
         marked.filter(USABLE).select("_row.*", FOLD, PART),
         marked.filter(~F.col(USABLE)).select("_line.*", FOLD, PART, SOURCE_FILE, SOURCE_BLOCK),
     )
+    parsed.source = marked.select("_row.*", USABLE, FOLD, PART)
+    return parsed

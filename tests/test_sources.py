@@ -133,6 +133,23 @@ def test_all_folds_in_one_scan(spark, tmp_path):
         read_folds(spark, str(base), (1, 3))
 
 
+@pytest.mark.parametrize("names", [("u{fold}.base", "u{fold}.test"), ("f{fold}/train", "f{fold}/test")])
+def test_folds_in_directories_and_both_kinds_of_row_in_one_scan(spark, tmp_path, names):
+    for n in (1, 11):
+        for name in names:
+            path = tmp_path / name.format(fold=n)
+            path.mkdir(parents=True)
+            (path / "part-0").write_text(f"{n}\t2\t3\t4\n{n}\t2\tx\t4\n")
+    parsed = read_folds(spark, str(tmp_path), (1, 11), *names)
+    want = [(n, part) for n in (1, 11) for part in ("test", "train")]
+    for frame in (parsed.ratings, parsed.rejected):
+        assert rows(frame.select("fold", "part")) == want
+    counted = parsed.source.groupBy("fold", "part", "usable").count()
+    assert rows(counted) == [(*key, usable, 1) for key in want for usable in (False, True)]
+    found = plan(parsed.source)
+    assert found.count("FileScan") == 1 and "regexp" not in found
+
+
 def test_columns_of_other_types_are_rejected_whole(spark, tmp_path):
     """Booleans and dates have values that a cast would turn into numbers."""
     others = ["true\tfalse", "2020-01-01\t2020-01-02", "2020-01-01 00:00:00\t2020-01-02 01:00:00"]
