@@ -75,6 +75,19 @@ def test_block_sweep(ratings):
         assert r.std_rmse == pytest.approx(0, abs=1e-9)
 
 
+def test_block_sweep_side_by_side(ratings):
+    pair = split.hash_split(ratings)
+
+    def results(parallelism):
+        log = sweep.block_sweep(*pair, blocks=(1, 3), runs=2, params=QUICK, parallelism=parallelism)
+        return [(r.num_user_blocks, r.run, round(r.rmse, 9)) for r in log.collect()], log
+
+    alone, _ = results(1)
+    together, log = results(3)
+    assert alone == together
+    assert {r.concurrency for r in log.collect()} == {3}
+
+
 @pytest.mark.parametrize("sample", [split.hash_sample, split.bernoulli_sample])
 def test_size_sweep(ratings, sample):
     train, test = split.hash_split(ratings)
