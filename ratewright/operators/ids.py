@@ -2,8 +2,8 @@
 
 Spark's ALS takes INT ids. The distinct users and items of the training set are numbered from 0
 by a distributed sort (``ranking.numbered``) and stored; training rows are joined to the numbers
-before the fit, and factors and predictions are joined back to their keys. Up to 2^31 different
-keys of a kind can be numbered.
+and stored before the fit, and factors and predictions are joined back to their keys. Up to 2^31
+different keys of a kind can be numbered.
 """
 
 from __future__ import annotations
@@ -79,4 +79,5 @@ def _numbered(rows: DataFrame, users: DataFrame, items: DataFrame, how: str) ->
 def fit_keyed(train: DataFrame, params: als.ALSParams = als.ALSParams()) -> KeyedModel:
     """Train on canonical ratings with keys of any size."""
     users, items = dictionary(train, S.USER), dictionary(train, S.ITEM)
-    return KeyedModel(als.fit(_numbered(train, users, items, "inner"), params), users, items)
+    rows = als.stored(_numbered(train, users, items, "inner"))
+    return KeyedModel(als.fit(rows, params), users, items)
