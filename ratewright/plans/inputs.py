@@ -13,10 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def epoch_seconds(column: str) -> Column:
-    """Seconds since 1970 of a zone-less timestamp, whatever the session time zone."""
+    """Seconds since 1970 of a zone-less timestamp, whatever the session time zone.
+
+    Spark's ``unix_timestamp`` makes no calendar objects, but drops a fraction toward zero: before
+    1970 the fields are added up, so that fractions are dropped downwards there too.
+    """
     c = F.col(column)
+    plain = c.cast("timestamp_ntz")
     days = F.unix_date(c.cast("date")).cast("bigint")
-    return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    by_field = days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    since = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.when(plain >= since, F.unix_timestamp(plain)).otherwise(by_field)
 
 
 def _stars() -> Column:

@@ -80,3 +80,15 @@ def test_histogram_aggregates_before_the_shuffle(spark, sf_dir):
     with layout.scoped_conf(spark, {"spark.sql.adaptive.enabled": False}):
         found = plan(frame.groupBy("rating").agg(F.count("*")))
     assert "partial_count" in found.split("Exchange")[1]
+
+
+def test_epoch_seconds_round_down_in_any_zone(spark):
+    """Whole seconds of the wall clock, by calendar fields only before 1970."""
+    texts = {"1969-12-31 23:59:59.5": -1, "1969-12-31 00:00:00": -86400, "1900-01-01 00:00:00.25": -2208988800,
+             "1970-01-01 00:00:00.75": 0, "2024-03-10 02:30:00": 1710037800, "2262-04-11 23:47:16.9": 9223372036}
+    frame = spark.createDataFrame([(t, s) for t, s in texts.items()] + [(None, None)], "t string, s bigint")
+    for zone in ("UTC", "America/New_York"):
+        with layout.scoped_conf(spark, {"spark.sql.session.timeZone": zone}):
+            found = frame.withColumn("c", F.col("t").cast("timestamp_ntz")).withColumn("n", inputs.epoch_seconds("c"))
+            assert found.filter("NOT n <=> s").count() == 0
+            assert "unix_timestamp" in found._jdf.queryExecution().analyzed().toString()
