@@ -13,7 +13,8 @@ such a place, so the text is cut there, and the pieces of a part are remembered
 A text of any length is cut into blocks at these places, never shortened.
 
 Decoding joins the pieces' bytes, drops control pieces, turns space marks into spaces and takes
-off the marked prefix that encoding added; bytes that are not UTF-8 become U+FFFD.
+off the marked prefix that encoding added; bytes that are not UTF-8 become U+FFFD. Byte pieces
+on either side of a control piece are not joined to one character.
 
 Defined results: null and empty texts have no pieces but the begin and end ids that were asked
 for; each byte that is not UTF-8 is read as U+FFFD, as the library does; repeated rows each get
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -174,6 +176,19 @@ def _readable(text: bytes) -> bool:
     return True
 
 
+def _text(joined: bytes) -> str:
+    """The text of bytes, U+FFFD for each that is not UTF-8."""
+    try:
+        return joined.decode()
+    except UnicodeDecodeError:
+        out, at = bytearray(), 0
+        while at < len(joined):
+            one, length = _character(joined, at)
+            out += one
+            at += length
+        return out.decode()
+
+
 class Encoded(NamedTuple):
     """Piece ids, and the source bytes that each piece stands for: [begin, end)."""
 
@@ -289,20 +304,15 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that the ids stand for."""
-        ids = ids[~self._controls[ids]]
+        kept = np.flatnonzero(~self._controls[ids])
+        ids = ids[kept]
         shown = list(map(self._shown.__getitem__, ids.tolist()))
         if self._strip and shown and not (self._bytes[ids[0]] or self._unknown[ids[0]]):
             shown = self._without_prefix(ids, shown)
-        joined = b"".join(shown)
-        try:
-            return joined.decode()
-        except UnicodeDecodeError:
-            out, at = bytearray(), 0
-            while at < len(joined):
-                one, length = _character(joined, at)
-                out += one
-                at += length
-            return out.decode()
+        byte = self._bytes[ids]
+        cuts = np.flatnonzero(byte[:-1] & byte[1:] & (np.diff(kept) > 1)) + 1
+        parts = pairwise([0, *cuts.tolist(), len(shown)])
+        return "".join(_text(b"".join(shown[a:b])) for a, b in parts)
 
     def _without_prefix(self, ids: np.ndarray, shown: list[bytes]) -> list[bytes]:
         if not self._strip_all:

@@ -85,6 +85,11 @@ def test_any_ids_decode_like_the_librarys(ids):
     assert CODEC.decode(np.array(ids, np.int64)) == LIBRARY.decode(ids)
 
 
+@pytest.mark.parametrize("ids", [[197, 1, 131], [197, 131], [198, 172, 2, 131], [1, 197, 131, 2], [197, 1, 1, 300, 131]])
+def test_bytes_beside_a_control_piece(ids):
+    assert CODEC.decode(np.array(ids, np.int64)) == LIBRARY.decode(ids)
+
+
 def test_no_prefix_and_no_escape():
     for fields in ({"add_dummy_prefix": False}, {"escape_whitespaces": False}, {"remove_extra_whitespaces": True}):
         model = changed(**fields)
