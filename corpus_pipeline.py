@@ -10,6 +10,8 @@ near duplicates the smallest id stays (null last), of repeated rows one; documen
 are told apart by their text. Texts that lose all words are empty and stay until the mix, which
 takes no document without words. Ties in the mix are settled by hashes, so reruns agree. An
 empty table gives an empty table; columns other than those of documents are dropped.
+
+The stages bound what a task hands to Python at a time (``bound_batches``), for the whole session.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright.llm import decontam, langid, mixing, simhash, substring
+from ratewright.llm.text import bound_batches
 from ratewright.plans.inputs import table
 from ratewright.sources import work_path
 
@@ -32,6 +35,7 @@ MIN_SCORE = 0.5
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in a target language by their text, with that language if they had none."""
+    bound_batches(spark)
     model = langid.learn(docs)
     if not model.languages:
         return docs.select(*COLUMNS)
@@ -43,11 +47,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group."""
+    bound_batches(spark)
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that repeat anywhere."""
+    bound_batches(spark)
     cut = substring.dedup_substrings(docs)
     rows = cut.select("row.*", F.col("kept").alias("text"))
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
@@ -56,6 +62,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    bound_batches(spark)
     return decontam.without_matches(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 

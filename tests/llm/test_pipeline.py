@@ -4,10 +4,13 @@ import random
 from collections import Counter
 
 import brute
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def corpus(spark, docs, prose, tmp_path_factory):
@@ -112,3 +115,21 @@ def test_the_language_stage_decides(spark, docs, prose, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "TARGET_LANGUAGES", ("de",))
     found = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs(rows), "").collect()}
     assert found == {r[0] for r in rows if r[2] == "de"} | {201}
+
+
+def test_stages_bound_the_batches_that_python_gets(spark, docs, prose):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = docs([(i, "x" * 500_000, None, None) for i in range(40)], 1).select("text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        spark.conf.unset(limit)
+        stage(spark, docs([(1, prose(60, 1), None, "s")]), SF_DIR)
+        assert max(r.n for r in rows.mapInArrow(sizes, "n bigint").collect()) < 6_000_000
+    spark.conf.set(limit, "1m")  # a session's own limit stands
+    corpus_pipeline.keep_known_languages(spark, docs([]), "")
+    assert spark.conf.get(limit) == "1m"
+    spark.conf.unset(limit)
