@@ -1,16 +1,17 @@
 """Importance resampling towards a target, its n-grams read through a dictionary automaton.
 
 A text is lower-cased (A-Z) and every byte that is in no word becomes one delimiter. A task
-keeps a dictionary of the distinct words it has met, each between two delimiters in an
-Aho-Corasick automaton, with a payload: the word's CRC-32, that of the word and a space, and its
-length. Scanning a text emits the payloads of its words in order. The CRC of two words joined by
-a space follows from the two payloads alone: the first CRC is shifted by as many zero bytes as
-the second word has (a linear map, one table per length) and XORed with the second CRC. No pair
-of words is ever built as a string.
-
-Words that a scan passes over are new: they are taken from the gaps between matches, added to
-the dictionary, and the text is scanned again. A word of more than LONGEST bytes is no part of
-the automaton; its payload is computed where it occurs. A full dictionary is begun anew.
+keeps a dictionary of the words it has met again, each between two delimiters in an
+Aho-Corasick automaton, with the word's CRC-32 as payload. Scanning texts emits the payloads of
+their words in order. The CRC of two words joined by a space follows from the two payloads and
+the second word's length alone: the first CRC is shifted by as many zero bytes as the space and
+the second word have (a linear map, one table per length) and XORed with the second CRC and with
+that of the space, shifted by the second word. No pair of words is ever built as a string.
+
+Words that a scan passes over are not in the dictionary: their payloads are computed where they
+occur, in the gaps between matches. Once more were passed over than the dictionary has words,
+those seen more than once are added, as far as there is room. A word of more than LONGEST bytes
+is no part of the automaton. A full dictionary that passes over most words is begun anew.
 
 A feature's CRC modulo BUCKETS is its bucket. Features are counted over all whole texts, per
 task before the shuffle. A bucket's gain is the floored, scaled log ratio of its smoothed shares
@@ -29,7 +30,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -45,7 +48,7 @@ BUCKETS = 10_000
 MIN_WORDS = 20
 DRAWN_PERCENT = 25
 SEED = 7
-# Bytes of the longest word in the automaton, and its words before it is begun anew.
+# Bytes of the longest word in the automaton, and its words when it is full.
 LONGEST = 64
 MOST_WORDS = 100_000
 # Bytes of text scanned together, and of one piece of a long text.
@@ -74,162 +77,144 @@ def shifted(crc: int, length: int) -> int:
 
 
 def _shift_tables() -> np.ndarray:
-    """``shifted`` for every length up to LONGEST and each byte of a CRC, by linearity."""
+    """``shifted`` for every length up to LONGEST and a space, and each byte of a CRC, by
+    linearity."""
     bits = np.array(
-        [[shifted(1 << bit, n) for bit in range(32)] for n in range(LONGEST + 1)], np.uint32
-    ).reshape(LONGEST + 1, 4, 8)
-    tables = np.zeros((LONGEST + 1, 4, 256), np.uint32)
+        [[shifted(1 << bit, n) for bit in range(32)] for n in range(LONGEST + 2)], np.uint32
+    ).reshape(LONGEST + 2, 4, 8)
+    tables = np.zeros((LONGEST + 2, 4, 256), np.uint32)
     for bit in range(8):
         has = np.arange(256) >> bit & 1 == 1
         tables[:, :, has] ^= bits[:, :, bit, None]
     return tables
 
 
-class Payloads:
-    """CRC, CRC with a space behind, and length of words in order."""
-
-    def __init__(self, crc: np.ndarray, spaced: np.ndarray, length: np.ndarray) -> None:
-        self.crc, self.spaced, self.length = crc, spaced, length
-
-    @staticmethod
-    def join(parts: list[Payloads]) -> Payloads:
-        return Payloads(
-            *(np.concatenate([getattr(p, n) for p in parts]) for n in ("crc", "spaced", "length"))
-        )
-
-
-def _payload(word: str) -> tuple[int, int, int]:
-    crc = zlib.crc32(word.encode("latin-1"))
-    return crc, zlib.crc32(b" ", crc), len(word)
-
-
 class Dictionary:
-    """The automaton of a task: distinct words with their payloads, growing as texts come."""
+    """The automaton of a task: repeated words with their payloads, growing as texts come."""
 
     def __init__(self) -> None:
         self._tables = _shift_tables()
+        space = zlib.crc32(b" ")
+        self._space = np.array([shifted(space, n) for n in range(LONGEST + 1)], np.uint32)
         self._clear()
 
     def _clear(self) -> None:
         self._automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self._payloads: list[tuple[int, int, int]] = []
-        self._columns = np.zeros((0, 3), np.int64)
-
-    def _add(self, words: Iterable[str]) -> None:
-        for word in words:
-            if self._automaton.add_word(f" {word} ", len(self._payloads)):
-                self._payloads.append(_payload(word))
-        self._automaton.make_automaton()
-        self._columns = np.array(self._payloads, np.int64).reshape(-1, 3)
-
-    def _matches(self, text: str) -> list[tuple[int, int]]:
-        return list(self._automaton.iter(text)) if self._payloads else []
-
-    def _scan(self, text: str, missed: set[str]) -> Payloads:
-        """The payloads of all words of a delimited text; words that the automaton should have
-        but has not are added to ``missed`` (the payloads are then incomplete)."""
-        raw = np.frombuffer(text.encode("latin-1"), np.uint8) != 0x20
-        words = int((raw[1:] & ~raw[:-1]).sum())
-        found = self._matches(text)
-        rows = self._columns[[v for _, v in found]]
-        if len(found) < words:
-            rows = self._with_gaps(text, found, rows, missed)
-        return Payloads(rows[:, 0].astype(np.uint32), rows[:, 1].astype(np.uint32), rows[:, 2])
-
-    def _with_gaps(
-        self, text: str, found: list[tuple[int, int]], rows: np.ndarray, missed: set[str]
-    ) -> np.ndarray:
-        at, places, long = 0, [], []
-        for i, (end, value) in enumerate([*found, (len(text), -1)]):
-            start = end - self._payloads[value][2] - 1 if value >= 0 else end
-            if start > at:
-                for word in filter(None, text[at:start].split(" ")):
-                    if len(word) > LONGEST:
-                        places.append(i)
-                        long.append(_payload(word))
-                    else:
-                        missed.add(word)
-            at = end
-        return np.insert(rows, places, np.array(long, np.int64).reshape(-1, 3), axis=0)
-
-    def scan(self, texts: list[bytes]) -> list[Payloads]:
-        """The payloads of the words of every text."""
-        if len(self._payloads) > MOST_WORDS:
+        # The last payload is no word's: a missed word points to it.
+        self._payloads = np.zeros(1, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._missed: Counter[bytes] = Counter()
+        self._misses = self._scanned = 0
+
+    def _learn(self) -> None:
+        """Takes up the words missed more than once since the last call, the most frequent first
+        (a node's branches are tried in the order they came). A full dictionary that missed most
+        words is begun anew."""
+        known = len(self._automaton)
+        again = sorted((n, word) for word, n in self._missed.items() if n > 1)[::-1]
+        added = [word for _, word in again[: MOST_WORDS - known]]
+        for number, word in enumerate(added, known):
+            self._automaton.add_word(f" {word.decode('latin-1')} ", number)
+        if added:
+            self._automaton.make_automaton()
+            payloads = np.array([zlib.crc32(word) for word in added], np.uint32)
+            self._payloads = np.concatenate([self._payloads[:-1], payloads, self._payloads[-1:]])
+        elif known >= MOST_WORDS and self._misses > self._scanned // 2:
             self._clear()
-        pieces = [list(_pieces(text)) for text in texts]
-        out: list[list[Payloads]] = []
-        again: list[tuple[int, int]] = []
-        missed: set[str] = set()
-        for i, parts in enumerate(pieces):
-            out.append([])
-            for j, part in enumerate(parts):
-                new: set[str] = set()
-                out[i].append(self._scan(part, new))
-                if new:
-                    again.append((i, j))
-                    missed |= new
-        if missed:
-            self._add(sorted(missed))
-            none: set[str] = set()
-            for i, j in again:
-                out[i][j] = self._scan(pieces[i][j], none)
-        return [Payloads.join(parts) if len(parts) > 1 else parts[0] for parts in out]
-
-    def features(self, words: Payloads, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """CRCs of all words, and of all pairs of neighbours; ``starts`` says which words begin a
-        text, whose pair with the word before is 0 and not to be used."""
-        first, second, length = words.spaced[:-1], words.crc[1:], words.length[1:]
-        short = np.minimum(length, LONGEST)
-        moved = np.zeros(len(first), np.uint32)
+        self._forget()
+
+    def _matches(self, text: bytes) -> np.ndarray:
+        """Rows of end and number of the dictionary's words in a text."""
+        if not len(self._automaton):
+            return np.zeros((0, 2), np.int64)
+        found = chain.from_iterable(self._automaton.iter(text.decode("latin-1")))
+        return np.fromiter(found, np.int64).reshape(-1, 2)
+
+    def _scan(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The payloads of all words of a delimited text, and where they start and end."""
+        raw = np.frombuffer(text, np.uint8) != 0x20
+        starts = np.flatnonzero(raw[1:] & ~raw[:-1]) + 1
+        ends = np.flatnonzero(raw[:-1] & ~raw[1:]) + 1
+        found = self._matches(text)
+        numbers = np.full(len(ends), -1)
+        numbers[np.searchsorted(ends, found[:, 0])] = found[:, 1]
+        crc = self._payloads[numbers]
+        gaps = np.flatnonzero(numbers < 0)
+        spans = zip(starts[gaps].tolist(), ends[gaps].tolist(), strict=True)
+        words = [text[start:end] for start, end in spans]
+        crc[gaps] = [zlib.crc32(word) for word in words]
+        if len(self._automaton) < MOST_WORDS:
+            self._missed.update(word for word in words if len(word) <= LONGEST)
+        self._misses += len(words)
+        self._scanned += len(ends)
+        return crc, starts, ends
+
+    def scan(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The payloads and lengths of the words of all texts, and how many words each has."""
+        found, places = [], []
+        for at, piece in _pieces(texts):
+            crc, starts, ends = self._scan(piece)
+            found.append((crc, ends - starts))
+            places.append(starts + at)
+            if self._misses > len(self._automaton):  # learning takes as long as the misses took
+                self._learn()
+        crc, length = (np.concatenate(parts) for parts in zip(*found, strict=True))
+        first = np.cumsum([0, *(len(text) + 1 for text in texts)])  # of each text, its delimiter
+        return crc, length, np.diff(np.searchsorted(np.concatenate(places), first))
+
+    def pairs(self, crc: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """CRCs of all words but the first, each joined by a space to the word before it."""
+        first, behind = crc[:-1], length[1:]
+        short = np.minimum(behind, LONGEST)
+        pairs = self._space[short] ^ crc[1:]
         for byte in range(4):
-            moved ^= self._tables[short, byte, first >> np.uint32(8 * byte) & np.uint32(255)]
-        for i in np.flatnonzero(length > LONGEST):
-            moved[i] = shifted(int(first[i]), int(length[i]))
-        pairs = np.zeros(len(words.crc), np.uint32)
-        pairs[1:] = moved ^ second
-        pairs[starts] = 0
-        return words.crc, pairs
-
-
-def _pieces(text: bytes) -> Iterator[str]:
-    """A text in delimited form, one character a byte, cut at delimiters if it is long."""
-    whole = f" {text.translate(_TABLE).decode('latin-1')} "
+            pairs ^= self._tables[short + 1, byte, first >> np.uint32(8 * byte) & np.uint32(255)]
+        for i in np.flatnonzero(behind > LONGEST):
+            spaced = zlib.crc32(b" ", int(first[i]))
+            pairs[i] = shifted(spaced, int(behind[i])) ^ int(crc[i + 1])
+        return pairs
+
+
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Texts in delimited form, one behind the other, cut at delimiters into pieces, and where
+    each piece begins."""
+    whole = b" ".join([b"", *texts, b""]).translate(_TABLE)
     at = 0
     while len(whole) - at > PIECE_BYTES:
-        cut = whole.find(" ", at + PIECE_BYTES)
+        cut = whole.find(b" ", at + PIECE_BYTES)
         if cut < 0 or cut == len(whole) - 1:
             break
-        yield whole[at : cut + 1]
+        yield at, whole[at : cut + 1]
         at = cut
-    yield whole[at:] if at else whole
+    yield at, whole[at:]
 
 
 class _Block:
-    """Buckets of the features of some texts, with the text of each."""
+    """Buckets of the words of some texts, and of the pair that each word but the first of all
+    ends; ``inner`` says which of these pairs lie in one text."""
 
     def __init__(self, dictionary: Dictionary, texts: list[bytes]) -> None:
-        found = dictionary.scan(texts)
-        self.words = np.array([len(p.crc) for p in found], np.int64)
-        joined = Payloads.join(found)
-        self.owner = np.repeat(np.arange(len(texts)), self.words)
+        crc, length, self.words = dictionary.scan(texts)
+        self.single = crc % np.uint32(BUCKETS)
+        self.pair = dictionary.pairs(crc, length) % np.uint32(BUCKETS)
         starts = (np.cumsum(self.words) - self.words)[self.words > 0]
-        crc, pairs = dictionary.features(joined, starts)
-        self.single = (crc % np.uint32(BUCKETS)).astype(np.int64)
-        inner = np.ones(len(crc), bool)
-        inner[starts] = False
-        self.pair = (pairs[inner] % np.uint32(BUCKETS)).astype(np.int64)
-        self.pair_owner = self.owner[inner]
+        self.inner = np.ones(len(self.pair), bool)
+        self.inner[starts[1:] - 1] = False
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.single, minlength=BUCKETS) + np.bincount(
-            self.pair, minlength=BUCKETS
+            self.pair[self.inner], minlength=BUCKETS
         )
 
     def sums(self, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Features of each text and the sum of their gains."""
-        sums = np.zeros(len(self.words), np.int64)
-        np.add.at(sums, self.owner, gains[self.single])
-        np.add.at(sums, self.pair_owner, gains[self.pair])
+        each = gains[self.single]
+        each[1:] += gains[self.pair] * self.inner
+        upto = np.concatenate([[0], np.cumsum(each)])
+        last = np.cumsum(self.words)
+        sums = upto[last] - upto[last - self.words]
         return self.words + np.maximum(self.words - 1, 0), sums
 
 

@@ -88,6 +88,37 @@ def test_any_bytes_limits_and_pieces(monkeypatch, prose):
                 assert {b: int(counts[b]) for b in np.flatnonzero(counts)} == dict(sum(want, Counter()))
 
 
+def test_each_text_is_scanned_once_by_a_full_dictionary(monkeypatch):
+    """More distinct words than the dictionary takes: no second scan, and it is not emptied."""
+    monkeypatch.setattr(dictionary, "MOST_WORDS", 20)
+    scanned, plain = [], dictionary.Dictionary._matches
+    monkeypatch.setattr(
+        dictionary.Dictionary, "_matches",
+        lambda self, text: scanned.append(len(text)) or plain(self, text),
+    )
+    own, given = dictionary.Dictionary(), 0
+    for k in range(8):
+        group = [f"the Cat and {'the and ' * i} rare{k}n{i}, rare{k}n{i}".encode() for i in range(40)]
+        want = sum((buckets(t) for t in group), Counter())
+        counts = dictionary._Block(own, group).counts()
+        assert {b: int(counts[b]) for b in np.flatnonzero(counts)} == dict(want)
+        given += sum(len(t) + 2 for t in group)
+    assert sum(scanned) <= given
+    assert len(plain(own, b" the cat and ")) == 3
+
+
+def test_a_full_dictionary_follows_a_change_of_words(monkeypatch):
+    monkeypatch.setattr(dictionary, "MOST_WORDS", 5)
+    own = dictionary.Dictionary()
+    for name in ("old", "new"):
+        group = [" ".join(f"{name}{i}" for i in range(10) for _ in range(3)).encode()] * 2
+        want = sum((buckets(t) for t in group), Counter())
+        for _ in range(4):
+            counts = dictionary._Block(own, group).counts()
+            assert {b: int(counts[b]) for b in np.flatnonzero(counts)} == dict(want)
+    assert len(own._matches(" ".join(f" new{i} " for i in range(10)).encode())) == 5
+
+
 def run(spark, docs, target, **kwargs):
     frame = spark.createDataFrame([(t,) for t in target], "text string")
     return dictionary.resample(docs, frame, **kwargs).collect()
