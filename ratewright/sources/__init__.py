@@ -19,11 +19,12 @@ from ratewright.sources.sinks import (
     write_parquet,
     write_single_csv,
 )
-from ratewright.sources.workspace import work_path
+from ratewright.sources.workspace import checkpoint_folder, work_path
 
 __all__ = [
     "ParsedFolds",
     "ParsedRatings",
+    "checkpoint_folder",
     "parse_ratings",
     "read_bucketed",
     "read_double_colon",

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 
 from data import random_ratings
 from ratewright import schema as S
 from ratewright.operators import als, runlog, split, sweep
+from ratewright.plans.catalogue import CATALOGUE
 
 QUICK = als.ALSParams(rank=2, max_iter=1, num_user_blocks=2, num_item_blocks=2)
 
@@ -156,3 +159,23 @@ def test_each_fit_runs_in_a_pool_of_its_own(spark):
     )
     assert sorted(p["pool"] for p in pools) == ["fit-0", "fit-1", "fit-2"]
     assert spark.sparkContext.getLocalProperty(sweep.POOL) is None
+
+
+def test_block_sweep_drops_shuffles_during_its_fits(spark, sf_dir, monkeypatch):
+    """Its fits checkpoint, in a session without a checkpoint folder too, which stays without."""
+    context, seen, run_once = spark.sparkContext, [], sweep.run_once
+
+    def sees(train, test, params, tags):
+        seen.append((params.checkpoint_interval, context.getCheckpointDir()))
+        return run_once(train, test, replace(params, max_iter=1), tags)
+
+    monkeypatch.setattr(sweep, "run_once", sees)
+    before = context._jsc.sc().checkpointDir()
+    getattr(context._jsc.sc(), "checkpointDir_$eq")(context._jvm.scala.Option.empty())
+    try:
+        assert CATALOGUE["als_block_sweep"].query(spark, sf_dir).count() == 12
+        assert context.getCheckpointDir() is None
+    finally:
+        getattr(context._jsc.sc(), "checkpointDir_$eq")(before)
+    assert len(seen) == 12 and all(0 < often <= 2 and folder for often, folder in seen)
+    assert all("ratewright-checkpoints" in folder for _, folder in seen)
