@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import time
 from dataclasses import replace
+from functools import partial
 
 import pytest
 
@@ -161,6 +163,19 @@ def test_each_fit_runs_in_a_pool_of_its_own(spark):
     assert spark.sparkContext.getLocalProperty(sweep.POOL) is None
 
 
+def test_side_by_side_the_costliest_fits_start_first(spark):
+    started = []
+
+    def step(i):
+        started.append(i)
+        time.sleep(0.2)
+        return {"i": i}
+
+    found = sweep._run_all(spark, [partial(step, i) for i in range(9)], 2, [5, 1, 2, 3, 9, 0, 4, 8, 6])
+    assert [r["i"] for r in found] == list(range(9))
+    assert set(started[:2]) == {4, 7} and set(started[-2:]) == {1, 5}
+
+
 def test_block_sweep_drops_shuffles_during_its_fits(spark, sf_dir, monkeypatch):
     """Its fits checkpoint, in a session without a checkpoint folder too, which stays without."""
     context, seen, run_once = spark.sparkContext, [], sweep.run_once
