@@ -526,7 +526,7 @@ def als_wide_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``als_predictions`` for keys beyond INT on either side of 0, by a dictionary of dense ids."""
     wide = {S.USER: F.col(S.USER) + _WIDE, S.ITEM: -F.col(S.ITEM) - _WIDE}
     train, test = (part.withColumns(wide) for part in _baskets(spark, sf_dir))
-    model = ids.fit_keyed(train, _blocks(spark))
+    model = ids.fit_keyed(train, _basket_blocks(spark, sf_dir))
     users = model.user_factors().withColumnsRenamed({S.USER: "_user", als.FEATURES: "_u"})
     items = model.item_factors().withColumnsRenamed({S.ITEM: "_item", als.FEATURES: "_v"})
     scored = model.score_all(test).filter(F.col(als.PREDICTION).isNotNull())
