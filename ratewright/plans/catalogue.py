@@ -509,7 +509,7 @@ def als_factor_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def als_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test rows a model predicts, and whether each prediction is the factors' product."""
     train, test = _baskets(spark, sf_dir)
-    model = als.fit(train, _blocks(spark))
+    model = als.fit(train, _basket_blocks(spark, sf_dir))
     product = F.abs(F.col(als.PREDICTION) - F.col("product")) < 1e-4
     scored = als.with_product(model, als.score(model, test))
     return scored.select(*S.RATING_COLUMNS, product.alias("is_product"))
