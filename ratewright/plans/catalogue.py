@@ -574,7 +574,7 @@ def als_logged_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def als_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _baskets(spark, sf_dir)
-    scored = als.score_all(als.fit(train, _blocks(spark)), test)
+    scored = als.score_all(als.fit(train, _basket_blocks(spark, sf_dir)), test)
     metrics = evaluate.prediction_metrics(scored)
     return _rounded(metrics.select("test_count", "prediction_count", "coverage"))
 
